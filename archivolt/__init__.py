@@ -1,0 +1 @@
+"""Analytics over large, changing document archives, as Spark DataFrame transformations."""
