@@ -6,9 +6,11 @@ distinct pairs that an equi-join has blocked.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that are read for each other at half cost, and pairs read as one T.
@@ -85,12 +87,29 @@ def one_edit(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= 1 and osa(a, b) <= 1
 
 
-@F.pandas_udf("double")
-def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+@functools.cache
+def _osa_udf():
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
+    return run
 
-@F.pandas_udf("struct<tier:int,distance:double>")
-def match_tier(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    found = [None if x is None or y is None else tier(x, y) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame({"tier": pd.array([f[0] if f else None for f in found], "Int32"), "distance": [f[1] if f else None for f in found]})
+
+@functools.cache
+def _tier_udf():
+    @F.pandas_udf("struct<tier:int,distance:double>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [None if x is None or y is None else tier(x, y) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame({"tier": pd.array([f[0] if f else None for f in found], "Int32"), "distance": [f[1] if f else None for f in found]})
+
+    return run
+
+
+def osa_distance(a: Column | str, b: Column | str) -> Column:
+    return _osa_udf()(a, b)
+
+
+def match_tier(a: Column | str, b: Column | str) -> Column:
+    """Struct of tier and distance; tier null where the names are not close."""
+    return _tier_udf()(a, b)
