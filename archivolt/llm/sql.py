@@ -1,3 +1,59 @@
 """DuckDB SQL for the operators that SQL can express over whole tables."""
 
-ORACLE: dict[str, str] = {}
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANKS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+NEAR_DEDUP = rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, g from (
+  select doc_id, case when len(w) < 5 then array_to_string(w, ' ') else unnest([array_to_string(w[i:i + 4], ' ') for i in generate_series(1, greatest(1, len(w) - 4))]) end g from w where len(w) >= 5
+  union all select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 4) x),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+e as (select a, b from l union select b, a from l),
+r as (select a, b from e union select r.a, e.b from r join e on e.a = r.b),
+c as (select a, least(a, min(b)) c from r group by a)
+select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, coalesce(c.c, w.doc_id) component_id, coalesce(c.c, w.doc_id) = w.doc_id kept from w left join n on n.doc_id = w.doc_id left join c on c.a = w.doc_id"""
+
+LINE_DEDUP = f"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from documents),
+k as (select *, {_LOW.format(f"trim(line, {_BLANKS})")} key from l),
+gone as (select key from k where len(key) >= 1 group by key having count(distinct doc_id) >= 10),
+m as (select k.*, gone.key is not null out from k left join gone on gone.key = k.key)
+select doc_id, count(*)::bigint n_lines, count(*) filter (out)::bigint n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not out), '')) kept_sha256 from m group by doc_id"""
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+DECONTAMINATE = f"""
+with d as (select doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_WORD}') w from documents),
+b as (select item_id, regexp_extract_all({_LOW.format("text")}, '{_WORD}') w from benchmark),
+bw as (select item_id, least(10, len(w)) s, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') g from (select *, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) i from b where len(w) > 0) x),
+dw as (select doc_id, i, s, array_to_string(w[i:i + s - 1], ' ') g from (select doc_id, w, s, unnest(generate_series(1, len(w) - s + 1)) i from d, (select distinct s from bw) t where len(w) >= s) x),
+h as (select doc_id, i, dw.s, item_id from dw join bw on bw.s = dw.s and bw.g = dw.g),
+hit as (select doc_id, count(distinct p)::bigint n from (select doc_id, unnest(generate_series(i, i + s - 1)) p from h) x group by all),
+it as (select doc_id, count(*)::bigint n, string_agg(item_id::varchar, ',' order by item_id::varchar) x from (select distinct doc_id, item_id from h) y group by all)
+select d.doc_id, len(w)::bigint n_words, coalesce(hit.n, 0) n_hit, coalesce(it.n, 0) n_items, sha256(coalesce(it.x, '')) items_sha256, coalesce(hit.n, 0) > 0 contaminated
+from d left join hit on hit.doc_id = d.doc_id left join it on it.doc_id = d.doc_id"""
+
+QUALITY_RULES = rf"""
+with w as (select doc_id, lang, source, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+g as (select doc_id, i, count(*) over (partition by doc_id, g) n from (select doc_id, i, array_to_string(w[i:i + 2], ' ') g from (select doc_id, w, unnest(generate_series(1, len(w) - 2)) i from w where len(w) > 2) x) y),
+rep as (select doc_id, count(distinct p)::bigint n from (select doc_id, unnest([i, i + 1, i + 2]) p from g where n >= 2) x group by all),
+lines as (select doc_id, count(*)::bigint n, (count(*) - count(distinct line))::bigint dup from (select doc_id, unnest(string_split(text, chr(10))) line from w) x where regexp_matches(line, '[^\x20\x09-\x0D]') group by all),
+m as (select w.doc_id, lang, source, len(w)::bigint n_words, coalesce(list_sum([len(x) for x in w]), 0)::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols,
+  coalesce(dup, 0) n_dup_lines, coalesce(lines.n, 0) n_lines, coalesce(rep.n, 0) n_repeat_words from w left join rep on rep.doc_id = w.doc_id left join lines on lines.doc_id = w.doc_id),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m),
+r as (select f.*, unnest(['symbol_rate', 'repeat_rate', 'dup_line_rate', 'word_length']) rate,
+  unnest([n_symbols / greatest(word_chars, 1)::double, n_repeat_words / greatest(n_words, 1)::double, n_dup_lines / greatest(n_lines, 1)::double, word_chars / greatest(n_words, 1)::double]) x from f),
+k as (select lang, source, rate, case when x <= 0.0001 then 0 else ceil(ln(x / 0.0001) / ln(1.05))::int end bucket, count(*) n from r where not base_failed group by all),
+lev as (select 0 lev, lang, source, rate, bucket, n from k union all select 1, lang, null, rate, bucket, sum(n) from k group by all union all select 2, null, null, rate, bucket, sum(n) from k group by all),
+cum as (select *, sum(n) over (partition by lev, lang, source, rate order by bucket) upto, sum(n) over (partition by lev, lang, source, rate) total from lev),
+q as (select lev, lang, source, rate, total, min(bucket) filter (upto >= total * 0.25) b1, min(bucket) filter (upto >= total * 0.75) b3 from cum group by all),
+v as (select *, case when b1 = 0 then 0 else 0.0001 * pow(1.05, b1) end q1, case when b3 = 0 then 0 else 0.0001 * pow(1.05, b3) end q3 from q),
+fence as (select lev, lang, source, rate, total, q3 + 3 * (q3 - q1) + case rate when 'symbol_rate' then 0.10 when 'word_length' then 6.0 else 0.20 end fence from v),
+best as (select o.lang, o.source, o.rate, case when o.total >= 100 then o.fence when l.total >= 100 then l.fence else e.fence end fence
+  from fence o join fence l on l.lev = 1 and l.lang is not distinct from o.lang and l.rate = o.rate join fence e on e.lev = 2 and e.rate = o.rate where o.lev = 0),
+over as (select r.doc_id, bool_or(x > fence) over_ from r join best on best.lang is not distinct from r.lang and best.source is not distinct from r.source and best.rate = r.rate group by all)
+select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(over_, false) kept from f left join over on over.doc_id = f.doc_id"""
+
+ORACLE: dict[str, str] = {"op4_near_dedup": NEAR_DEDUP, "op5_line_dedup": LINE_DEDUP, "op8_decontaminate": DECONTAMINATE, "op9_quality_rules": QUALITY_RULES}
