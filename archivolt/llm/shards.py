@@ -18,11 +18,13 @@ from .base import Shared, columns
 #: A group above 1/LARGE_PARTS of a shard in any dimension is an item of its own.
 LARGE_PARTS = 16
 #: Bundles by level and shard; a bundle of a level has about 1/FALL of the hashes of one of the level before.
-BUNDLES, LEVELS, FALL = 8, 6, 4
+BUNDLES, LEVELS, FALL = 32, 6, 3
 DIMS = ("bytes", "tokens", "rows")
+#: Weight of each dimension in the dot product: the law is about bytes, the others follow where they can.
+WEIGHTS = (4.0, 1.0, 1.0)
 
 
-def pack(items: list[tuple[int, tuple[float, ...]]], shards: int) -> dict[int, int]:
+def pack(items: list[tuple[int, tuple[float, ...]]], shards: int, weights: tuple[float, ...] = WEIGHTS) -> dict[int, int]:
     """Shard of each item (key, vector). Ties go to the lower shard.
 
     Capacity is the even share of each dimension; vectors are measured in shares, so
@@ -34,7 +36,7 @@ def pack(items: list[tuple[int, tuple[float, ...]]], shards: int) -> dict[int, i
     left = [[1.0] * len(share) for _ in range(shards)]
     out = {}
     for key, v in sorted(unit, key=lambda x: (-max(x[1], default=0), x[0])):
-        best = max(range(shards), key=lambda s: (sum(a * b for a, b in zip(v, left[s], strict=True)), -s))
+        best = max(range(shards), key=lambda s: (sum(w * a * b for w, a, b in zip(weights, v, left[s], strict=True)), -s))
         for d in dims:
             left[best][d] -= v[d]
         out[key] = best
