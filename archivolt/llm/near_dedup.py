@@ -226,7 +226,10 @@ def near_dedup(docs: DataFrame, *, percent: int = 80, k: int = 5, block: int = B
     rows = shared.keep(signatures(src, k))
     named = rows.where("doc_id is not null and n > 0")
     nodes = shared.keep(named.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "keys")).alias("x"), F.count("*").alias("copies")).select("s1", "s2", F.col("x.doc_id").alias("node"), F.col("x.keys").alias("keys"), "copies"))
-    found = links(shared, src.where("doc_id is not null"), nodes, percent, k, block)
+    # Sets of one doc_id belong together: the id is linked with the node of each.
+    several = named.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo <> hi").select("doc_id")
+    tied = named.join(several, "doc_id").join(nodes.select("s1", "s2", "node"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = links(shared, src.where("doc_id is not null"), nodes, percent, k, block).union(tied)
     comps = shared.keep(components(shared, found))
     # Only sets with copies or links differ from their own doc_id.
     moved = shared.keep(nodes.select("s1", "s2", "node", "copies").join(comps, "node", "left").where("copies > 1 or component is not null").select("s1", "s2", F.coalesce("component", "node").alias("component")))
