@@ -142,7 +142,7 @@ def columns_of(line: Column) -> Column:
 def pages_of(text: Column) -> Column:
     """Pages parted by form feeds; a blank last one goes."""
     p = F.split(text, "\f")
-    return F.when((F.size(p) > 1) & (F.trim(F.element_at(p, -1)) == ""), F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    return F.when((F.size(p) > 1) & F.element_at(p, -1).rlike(r"^\s*$"), F.slice(p, 1, F.size(p) - 1)).otherwise(p)
 
 
 def path_segment(c: Column) -> Column:

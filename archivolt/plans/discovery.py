@@ -88,11 +88,11 @@ w as (select doc_id, lang, tf.term, (1 + ln(tf)) * (ln((1 + n) / (1.0 + df)) + 1
 u as (select *, w / sqrt(sum(w * w) over (partition by doc_id)) x from w),
 g as (select lang, count(*) ng from documents group by all), s as (select lang, term, sum(x) s from u group by all), a as (select term, sum(s) sa from s group by all),
 l as (select s.lang, s.term, round(s / ng - sa / n, 9) lift from s join g on g.lang = s.lang join a on a.term = s.term, n), r as (select *, row_number() over (partition by lang order by lift desc, term) k from l)
-select lang, term, round(lift, 6) as lift from r where k <= 8""")
+select lang, term, lift from r where k <= 8""")
 def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     """Terms by language."""
     docs = table(spark, d, "documents")
-    return X.distinctive(X.tfidf(docs, "doc_id", "text"), docs, "doc_id", "lang", 8).select("lang", "term", F.round("lift", 6).alias("lift"))
+    return X.distinctive(X.tfidf(docs, "doc_id", "text"), docs, "doc_id", "lang", 8).select("lang", "term", "lift")
 
 
 @query()
@@ -112,23 +112,23 @@ def query_route(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with r as (select a.vec_id, b.vec_id as other, a.label <> b.label as cross, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) score from embeddings a join embeddings b on a.vec_id <> b.vec_id),
-k as (select *, (row_number() over (partition by vec_id order by score desc, other) - 1)::int as rank from r) select vec_id, other, round(score, 6) as score, rank, "cross" from k where rank < 20""".replace("as cross,", 'as "cross",'))
+k as (select *, (row_number() over (partition by vec_id order by score desc, other) - 1)::int as rank from r) select vec_id, other, score, rank, "cross" from k where rank < 20""".replace("as cross,", 'as "cross",'))
 def related_topk(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of rows multiplied, the best 20 of each row."""
     e = table(spark, d, "embeddings")
     pairs = V.related(e, "vec_id", "embedding", block=256)
     labels = e.select("vec_id", "label")
     other = labels.select(F.col("vec_id").alias("other"), F.col("label").alias("o_label"))
-    return pairs.join(labels, "vec_id").join(other, "other").select("vec_id", "other", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), (F.col("label") != F.col("o_label")).alias("cross"))
+    return pairs.join(labels, "vec_id").join(other, "other").select("vec_id", "other", "score", F.col("rank").cast("int").alias("rank"), (F.col("label") != F.col("o_label")).alias("cross"))
 
 
 @query("""
 with r as (select a.vec_id, b.vec_id as other, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) score from embeddings a join embeddings b on a.vec_id <> b.vec_id),
-k as (select *, row_number() over (partition by vec_id order by score desc, other) k from r) select vec_id, other, round(score, 6) as score from k where k <= 20 and score >= 0.35 and vec_id < other""")
+k as (select *, row_number() over (partition by vec_id order by score desc, other) k from r) select vec_id, other, score from k where k <= 20 and score >= 0.35 and vec_id < other""")
 def near_dupes_cosine(spark: SparkSession, d: str) -> DataFrame:
     """V5: only among the best 20, and from the smaller key's list. The tables' vectors call for a lower threshold than .97."""
     pairs = V.related(table(spark, d, "embeddings"), "vec_id", "embedding", block=256)
-    return V.near_within_top(pairs, "vec_id", 0.35).withColumn("score", F.round("score", 6))
+    return V.near_within_top(pairs, "vec_id", 0.35)
 
 
 @query("""
@@ -159,12 +159,12 @@ def centroid_membership(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 with p as (select unnest([1, 5, 9]) vec_id, unnest([0, 1, 2]) place), r as (select b.vec_id as item, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) score, place from p join embeddings a on a.vec_id = p.vec_id join embeddings b on b.vec_id <> a.vec_id),
 k as (select r.*, row_number() over (partition by place order by score desc, item) n from r), f as (select * from k where n <= 20 and item not in (1, 5, 9)), g as (select item, max(score) score from f group by all)
-select g.item, round(g.score, 6) as score, min(place)::int as place from g join f on f.item = g.item and f.score = g.score group by g.item, g.score order by g.score desc, place, item limit 8""")
+select g.item, g.score, min(place)::int as place from g join f on f.item = g.item and f.score = g.score group by g.item, g.score order by g.score desc, place, item limit 8""")
 def pooled_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """V8."""
     pairs = V.related(table(spark, d, "embeddings"), "vec_id", "embedding", block=256)
     saved = spark.createDataFrame([(1, 0), (5, 1), (9, 2)], "vec_id long, place int")
-    return V.pooled_suggestions(saved, pairs, "vec_id").select("item", F.round("score", 6).alias("score"), "place")
+    return V.pooled_suggestions(saved, pairs, "vec_id").select("item", "score", "place")
 
 
 @query("""
@@ -269,7 +269,7 @@ def street_normaliser(spark: SparkSession, d: str) -> DataFrame:
 def _addresses(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey") % 5
     name = F.when(k == 0, "Chambers St").when(k == 1, "CHAMBERS STREET").when(k == 2, "Chambres Street").when(k == 3, "W. Broadway").otherwise("Warren Pl.")
-    return table(spark, d, "customer").select(F.concat_ws(" ", (F.col("c_custkey") % 7 + 1).cast("string"), name).alias("raw"), F.lit(1).alias("n"))
+    return table(spark, d, "customer").select(F.concat_ws(" ", (F.col("c_custkey") % 7 + 1).cast("string"), name).alias("raw"), F.lit(10).alias("n"))
 
 
 @query("""
