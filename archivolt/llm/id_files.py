@@ -20,6 +20,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,11 +144,23 @@ _CHUNK = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 _ODD_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
 #: Anything but plain ASCII, its six spaces and the letters of Latin-1; and what may start an added token.
 _NOT_PLAIN = re.compile(r"[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\|")
+_LETTERS = re.compile(r"[a-z\xe0-\xf6\xf8-\xff]+")
 _STOP = re.compile(r"(?<=[a-z\xe0-\xf6\xf8-\xff])(?=[.,](?:\s|$))")
 
 
-class Encoder:
-    """Ids of the tokenizers library; a text goes to it by chunks that it has not seen.
+def _byte_letters() -> dict[int, str]:
+    """The two letters by which byte-level rules write a Latin-1 letter.
+
+    Printable bytes stand for themselves, the others for letters from 256 on, in order.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class Encoder(dict):
+    """Ids of the tokenizers library, by chunks; the dict has those of chunks that it has seen.
 
     Chunks (white space and the word after it) end at the safe boundaries of
     ``tokens.pieces``, so their ids in a row are those of the text. Texts with
@@ -156,47 +169,44 @@ class Encoder:
     Where the file drops white space and case (``loose``), a text of ASCII and
     Latin-1 letters is lower-cased first, which is all that its normaliser would
     do, and a full stop or comma after a letter becomes a chunk: the rules end a
-    match between a letter and a mark in any case.
+    match between a letter and a mark in any case. A chunk of letters alone is one
+    match then, and goes to the library's model without the steps before it.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer, self.split = json_tokenizer(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.kind = {2: "<u2", 4: "<u4"}[self.width]
-        self.seen: dict[str, bytes] = {}
+        self.kind, self.code = {2: ("<u2", "H"), 4: ("<u4", "I")}[self.width]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         kinds = {x.get("type") for x in norm.get("normalizers", [norm])}
         self.loose = self.split and kinds == {"NFC", "Replace", "Lowercase"} and "Split" in {x.get("type") for x in pre.get("pretokenizers", [pre])}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def chunks(self, text: str) -> list[str]:
         if self.loose and not _NOT_PLAIN.search(text):
             return _STOP.sub(" ", text.lower()).split()
         return _CHUNK.findall(text)
 
-    def _library(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, dtype=self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def encode(self, found: list[str]) -> list[np.ndarray]:
-        out: list[bytes | list[str]] = []
-        new: set[str] = set()
-        seen = self.seen
-        for text in found:
-            if not self.split or _ODD_SPACE.search(text):
-                out.append(b"".join(x for p in (pieces(text, 1 << 15) if self.split else (text,)) for x in self._library([p])))
-                continue
-            parts = self.chunks(text)
-            new |= set(parts).difference(seen)
-            out.append(parts)
-        if new:
-            if len(seen) + len(new) > KEEP_CHUNKS:
-                seen.clear()
-                new = {p for parts in out if isinstance(parts, list) for p in parts}
-            keys = list(new)
-            for i in range(0, len(keys), 4096):
-                seen.update(zip(keys[i : i + 4096], self._library(keys[i : i + 4096]), strict=True))
-        return [np.frombuffer(x if isinstance(x, bytes) else b"".join(map(seen.__getitem__, x)), self.kind) for x in out]
+    def _library(self, part: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        if self.loose and _LETTERS.fullmatch(part):
+            out = array(self.code, [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]).tobytes()
+        else:
+            out = self._library(part)
+        if len(self) >= KEEP_CHUNKS:
+            self.clear()
+        self[part] = out
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        if not self.split or _ODD_SPACE.search(text):
+            return np.frombuffer(b"".join(self._library(p) for p in (pieces(text, 1 << 15) if self.split else (text,))), self.kind)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.chunks(text))), self.kind)
 
 
 @functools.cache
@@ -233,7 +243,7 @@ def write_blocks(docs: DataFrame, path: str, *, end_id: int, shards: int | None
             return out
 
         for batch in slices(batches, most=1 << 20):
-            for name, own in zip(batch.column("doc_id").to_pylist(), one.encode(texts(batch)), strict=True):
+            for name, own in zip(batch.column("doc_id").to_pylist(), map(one.encode, texts(batch)), strict=True):
                 if held and held + len(own) + 1 > block_ids:
                     yield flush()
                 names.append(name)
