@@ -28,7 +28,9 @@ from .base import columns, slices, texts
 
 SPACE = "▁"
 #: Chunks, and pairs of pieces, that a worker remembers; both start anew when full.
-KEEP_CHUNKS, KEEP_PAIRS = 200_000, 1_000_000
+KEEP_CHUNKS, KEEP_PAIRS = 400_000, 1_000_000
+#: Letters and marks between which chunks end, if no piece has a letter with a mark after it.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!\"#$%&'()*+,./:;<=>?@\\[\\]^_`{|}~-"
 
 # Fixed values of the public model file format: field numbers and piece kinds.
 PIECES, NORMALIZER, TRAINER = 1, 3, 2
@@ -97,15 +99,19 @@ class Codec:
         self.rank = {p: -score[i] for p, i in self.ids.items()}
         self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.piece, self.kind, strict=True)) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        # A chunk is a run of spaces and what follows; no piece may reach over its end.
-        whole = all(re.fullmatch(f"{SPACE}*[^{SPACE}]*", p) for p in self.ids)
-        self.chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if whole else r"(?s).+")
+        # A chunk is a run of spaces and what follows, up to the next space or line end, or a
+        # word up to a mark. No piece has the two characters at such a boundary side by side, so
+        # no merge reaches over it. A model for which this does not hold is searched as a whole.
+        whole = all(re.fullmatch(f"{SPACE}*[^{SPACE}\n]*", p) for p in self.ids)
+        words = not any(re.search(f"[{LETTERS}][{MARKS}]", p) for p in self.ids)
+        word = f"{SPACE}*[{LETTERS}]++(?=[{MARKS}{SPACE}\n]|$)|" if words else ""
+        self.chunks = re.compile(f"{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if whole else r"(?s).+")
         self.find = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.find.add_word(p, (i, len(p)))
         self.find.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.seen: dict[str, tuple[int, str, str]] = {}
+        self.seen = _Seen(self)
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: best score first, the leftmost among equals."""
@@ -222,23 +228,34 @@ class Codec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids joined by commas, the decoded text; chunks are remembered."""
-        seen, n = self.seen, 0
-        ids: list[str] = []
-        back: list[str] = []
-        for c in self.chunks.findall(self.escaped(text)):
-            got = seen.get(c)
-            if got is None:
-                own = self.chunk(c)
-                got = (len(own), ",".join(map(str, own)), self.surface(own))
-                if len(c) <= 64:
-                    if len(seen) >= KEEP_CHUNKS:
-                        seen.clear()
-                    seen[c] = got
-            n += got[0]
-            ids.append(got[1])
-            back.append(got[2])
-        out = "".join(back)
-        return n, ",".join(ids), out[1:] if self.prefix and out else out
+        escaped = self.escaped(text)
+        if not escaped:
+            return 0, "", ""
+        parts, seen = self.chunks.findall(escaped), self.seen
+        ids = ",".join(map(seen.__getitem__, parts))
+        # Of every chunk the ids have been decoded once; ``odd`` has those that give another text.
+        back = "".join(seen.odd.get(c, c) for c in parts) if seen.odd else escaped
+        back = back.replace(SPACE, " ")
+        return ids.count(",") + 1, ids, back[1:] if self.prefix else back
+
+
+class _Seen(dict):
+    """Ids of chunks, joined by commas."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec, self.odd = codec, {}
+
+    def __missing__(self, chunk: str) -> str:
+        own = self.codec.chunk(chunk)
+        out, back = ",".join(map(str, own)), self.codec.surface(own)
+        if back != chunk.replace(SPACE, " "):
+            self.odd[chunk] = back
+        if len(self) >= KEEP_CHUNKS:
+            self.clear()
+        if len(chunk) <= 64:
+            self[chunk] = out
+        return out
 
 
 @functools.cache
