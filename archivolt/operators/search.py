@@ -44,9 +44,10 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     """
     terms = sorted({w.lower() for w in query})
     t = df.select(F.col(key), tokens(F.col(text)).alias("t"))
-    count = lambda w: F.size(F.filter("t", lambda x: x == w))
-    tf = [count(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    rows = t.where(F.size("t") > 0).select(key, F.size("t").alias("len"), *tf)
+    # One pass over the tokens keeps the query's; their counts are then of short arrays.
+    hits = t.select(key, F.size("t").alias("len"), F.filter("t", lambda x: x.isin(*terms)).alias("q")).where("len > 0")
+    tf = [(F.size("q") - F.size(F.array_remove("q", F.lit(w)))).alias(f"tf{i}") for i, w in enumerate(terms)]
+    rows = hits.select(key, "len", *tf)
     totals = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     joined = rows.where(sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(F.broadcast(totals))
     def part(i: int) -> Column:
