@@ -145,7 +145,7 @@ _ODD_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
 #: Anything but plain ASCII, its six spaces and the letters of Latin-1; and what may start an added token.
 _NOT_PLAIN = re.compile(r"[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\|")
 _LETTERS = re.compile(r"[a-z\xe0-\xf6\xf8-\xff]+")
-_STOP = re.compile(r"(?<=[a-z\xe0-\xf6\xf8-\xff])(?=[.,](?:\s|$))")
+_STOP = re.compile(r"[.,](?<=[a-z\xe0-\xf6\xf8-\xff][.,])(?=\s|$)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -185,10 +185,11 @@ class Encoder(dict):
         self.loose = self.split and kinds == {"NFC", "Replace", "Lowercase"} and "Split" in {x.get("type") for x in pre.get("pretokenizers", [pre])}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
-    def chunks(self, text: str) -> list[str]:
+    def chunks(self, text: str) -> list[str] | None:
+        """None: the text has to go through the library as it is."""
         if self.loose and not _NOT_PLAIN.search(text):
-            return _STOP.sub(" ", text.lower()).split()
-        return _CHUNK.findall(text)
+            return _STOP.sub(r" \g<0>", text.lower()).split()
+        return _CHUNK.findall(text) if self.split and not _ODD_SPACE.search(text) else None
 
     def _library(self, part: str) -> bytes:
         return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
@@ -204,9 +205,10 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.split or _ODD_SPACE.search(text):
+        parts = self.chunks(text)
+        if parts is None:
             return np.frombuffer(b"".join(self._library(p) for p in (pieces(text, 1 << 15) if self.split else (text,))), self.kind)
-        return np.frombuffer(b"".join(map(self.__getitem__, self.chunks(text))), self.kind)
+        return np.frombuffer(b"".join(map(self.__getitem__, parts)), self.kind)
 
 
 @functools.cache
