@@ -188,3 +188,27 @@ def route(query: Column) -> Column:
 def citations_hold(cited: Column, retrieved: Column) -> Column:
     """There are citations, and all are of what was retrieved."""
     return (F.size(cited) > 0) & (F.size(F.array_except(cited, retrieved)) == 0)
+
+
+def lookup_first(exact: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The row of an exact id before what was found; scores of found rows are below 1e9."""
+    return exact.select(key, F.lit(1e9).alias("score")).union(found.select(key, "score")).groupBy(key).agg(F.max("score").alias("score"))
+
+
+def or_unfiltered(filtered: DataFrame, every: DataFrame) -> DataFrame:
+    """The filtered rows, or all of them if the filters leave none."""
+    some = filtered.limit(1).select(F.lit(True).alias("_some")).agg(F.count("*").alias("_n"))
+    rest = every.crossJoin(F.broadcast(some)).where("_n = 0").drop("_n")
+    return filtered.withColumn("relaxed", F.lit(False)).unionByName(rest.withColumn("relaxed", F.lit(True)))
+
+
+def hidden_rows(matches: DataFrame, shown: Column) -> DataFrame:
+    """How many matches the filters hide."""
+    return matches.agg(F.count_if(~F.coalesce(shown, F.lit(False))).alias("hidden"))
+
+
+def more_like(weights: DataFrame, key: str, of: object, most_terms: int = 25, most: int = 10) -> DataFrame:
+    """Rows that share the heaviest terms of one row, by the dot product over these terms."""
+    own = weights.where(F.col(key) == of).orderBy(F.desc("weight"), "term").limit(most_terms).select("term", F.col("weight").alias("_w"))
+    scored = weights.where(F.col(key) != of).join(F.broadcast(own), "term").groupBy(key).agg(F.round(F.sum(F.col("weight") * F.col("_w")), 9).alias("score"))
+    return scored.orderBy(F.desc("score"), key).limit(most)

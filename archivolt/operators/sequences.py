@@ -2,53 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
+from .windows import running_total
 
-def rate_limited(hits: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFrame:
-    """(key, at, ok, retry_after) of each hit; windows start at a key's first hit and restart once over.
 
-    A fold over a key's hits in order, in one array: meant for keys of bounded traffic
-    (a window of a log). For streams see ``streaming.limits``.
+def folded(df: DataFrame, group: str, order: list[str], step: Callable[[Any, dict], tuple[Any, tuple]], schema: str) -> DataFrame:
+    """The rows of each group in order through ``step(state, row) -> (state, output row)``; the state is None at first.
+
+    Groups are what runs in parallel. A task reads its sorted rows as a stream and holds one
+    state, so a group of any size needs no more memory than another.
     """
-    rows = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.unix_micros(F.col(at)))).alias("ts"))
-    span = F.lit(seconds * 1_000_000).cast("long")
-    start = F.struct(F.lit(None).cast("long").alias("reset"), F.lit(0).alias("n"), F.array().cast("array<struct<at:bigint,ok:boolean,retry_after:bigint>>").alias("out"))
+    names = [f.strip().split(" ")[0].strip("`") for f in schema.split(",")]
 
-    def step(a: Column, t: Column) -> Column:
-        fresh = a["reset"].isNull() | (a["reset"] <= t)
-        n = F.when(fresh, 1).otherwise(F.least(a["n"] + 1, F.lit(most + 1)))
-        reset = F.when(fresh, t + span).otherwise(a["reset"])
-        ok = n <= most
-        wait = F.when(ok, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.ceil((reset - t) / F.lit(1_000_000))))
-        return F.struct(reset.alias("reset"), n.alias("n"), F.array_append(a["out"], F.struct(t.alias("at"), ok.alias("ok"), wait.alias("retry_after"))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row[group] != now:
+                    now, state = row[group], None
+                state, made = step(state, row)
+                out.append(made)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=kinds)
 
-    return rows.select(key, F.explode(F.aggregate("ts", start, step)["out"]).alias("x")).select(key, F.timestamp_micros(F.col("x.at")).alias(at), "x.ok", "x.retry_after")
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    return df.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)
 
 
-def packed(items: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
-    """First fit in order: a new shard when the next item would go over ``limit`` and the shard has any.
+def rate_limited(hits: DataFrame, key: str, at: str, most: int, seconds: int) -> DataFrame:
+    """(key, at, ok, retry_after) of each hit; windows start at a key's first hit and restart once over. For streams see ``streaming.limits``."""
+    span = seconds * 1_000_000
 
-    The fold is per group and in order, so the groups are what runs in parallel.
-    """
-    rows = items.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, F.col(size).cast("long").alias("size")))).alias("xs"))
-    item = items.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("shard"), F.array().cast(f"array<struct<item:{item},size:bigint,shard:int>>").alias("out"))
+    def step(state: tuple[int, int] | None, row: dict) -> tuple[tuple[int, int], tuple]:
+        t = row["_us"]
+        reset, n = state if state and state[0] > t else (t + span, 0)
+        n = min(n + 1, most + 1)
+        wait = 0 if n <= most else max(1, -(-(reset - t) // 1_000_000))
+        return (reset, n), (row[key], t, n <= most, wait)
 
-    def step(a: Column, x: Column) -> Column:
-        new = (a["held"] > 0) & (a["held"] + x["size"] > limit)
-        shard = a["shard"] + new.cast("int")
-        held = F.when(new, x["size"]).otherwise(a["held"] + x["size"])
-        return F.struct(held.alias("held"), shard.alias("shard"), F.array_append(a["out"], F.struct(x[order].alias("item"), x["size"].alias("size"), shard.alias("shard"))).alias("out"))
+    kind = hits.schema[key].dataType.simpleString()
+    rows = hits.select(key, F.unix_micros(F.col(at)).alias("_us"))
+    return folded(rows, key, ["_us"], step, f"`{key}` {kind}, _us bigint, ok boolean, retry_after bigint").select(key, F.timestamp_micros("_us").alias(at), "ok", "retry_after")
 
-    return rows.select(group, F.explode(F.aggregate("xs", start, step)["out"]).alias("x")).select(group, F.col("x.item").alias(order), "x.size", "x.shard")
+
+def packed(items: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
+    """First fit in order: a new shard when the next item would go over ``limit`` and the shard has any."""
+    def step(state: tuple[int, int] | None, row: dict) -> tuple[tuple[int, int], tuple]:
+        held, shard = state or (0, 0)
+        if held > 0 and held + row["_size"] > limit:
+            held, shard = 0, shard + 1
+        return (held + row["_size"], shard), (row[group], row[order], row["_size"], shard)
+
+    kinds = {c: items.schema[c].dataType.simpleString() for c in (group, order)}
+    rows = items.select(group, order, F.col(size).cast("long").alias("_size"))
+    return folded(rows, group, [order], step, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, size bigint, shard int")
 
 
 def within_budget(rows: DataFrame, order: list[str], cost: str, budget: int) -> DataFrame:
     """The rows in order while their costs add up to the budget at most."""
-    upto = F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_upto", upto).where(F.col("_upto") <= budget).drop("_upto")
+    return running_total(rows, order, cost, "_upto").where(F.col("_upto") <= budget).drop("_upto")
 
 
 def roots(edges: DataFrame, node: str, parent: str, depth: int = 25) -> DataFrame:
@@ -132,3 +152,13 @@ def staged(changes: DataFrame, source: DataFrame, key: str, policy: str) -> Data
     if first:
         raise ValueError(f"stage refused: {first[0].asDict()}")
     return checked.where(~applied).drop("_bad", "_now")
+
+
+def current(inventory: DataFrame, build: str) -> DataFrame:
+    """An inventory counts only for the build that is published."""
+    return inventory.where(F.col("build_id") == build)
+
+
+def by_release(rows: DataFrame, published: DataFrame, key: str, release: str) -> DataFrame:
+    """Rows of a published subset by release; releases without rows have no line."""
+    return rows.join(published.select(key), key, "left_semi").groupBy(release).agg(F.countDistinct(key).alias("keys"), F.count("*").alias("n"))

@@ -5,12 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Shared
+
 
 def with_total(df: DataFrame, name: str = "total") -> DataFrame:
     """Every row with the number of all rows; a count and a one-row broadcast instead of one window."""
     return df.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))
 
 
+def running_total(df: DataFrame, order: list[str], value: str, name: str = "upto") -> DataFrame:
+    """W5 over all rows, nulls of the order first: every row with the sum up to it.
+
+    Rows are dealt by ranges of the order, written once, and summed within their task; the
+    totals of the tasks, one number each, give what came before. No task has all rows.
+    Equal rows of the order get their sums in any order.
+    """
+    shared = Shared(df.sparkSession)
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    task = F.shiftright("_at", 33)  # the task in the high bits, the row within it in the low
+    dealt = shared.keep(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_task", task)
+    before, total = [], 0
+    for t, s in sorted((r["_task"], r["s"] or 0) for r in dealt.groupBy("_task").agg(F.sum(value).alias("s")).collect()):
+        before.append((t, total))
+        total += s
+    kind = dealt.select(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
+    offsets = df.sparkSession.createDataFrame(before, f"_task long, _before {kind}")
+    own = F.sum(value).over(Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_own", own).join(F.broadcast(offsets), "_task").withColumn(name, F.col("_own") + F.col("_before")).drop("_at", "_task", "_own", "_before")
+
+
 def next_in_group(df: DataFrame, group: list[str], key: str) -> DataFrame:
     """The next key of the group; null is a group value like others. Drop removed rows before."""
     return df.withColumn("next", F.lead(key).over(Window.partitionBy(*group).orderBy(key)))

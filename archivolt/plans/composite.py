@@ -164,3 +164,63 @@ def spend_by_day(spark: SparkSession, d: str) -> DataFrame:
     """A34, §2.8: numbers out of JSON, added up by day."""
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum(k).alias("spent"), F.count("*").alias("n"))
+
+
+@query("""
+with r as (select *, row_number() over (partition by l_suppkey, l_orderkey, l_linenumber order by l_shipdate, l_partkey) k from lineitem) select l_suppkey, l_orderkey, l_linenumber, l_partkey from r where k = 1""")
+def entity_pages(spark: SparkSession, d: str) -> DataFrame:
+    """One row per entity and page, the first by start."""
+    from ..operators.joins import first_by
+
+    x = table(spark, d, "lineitem")
+    return first_by(x, ["l_suppkey", "l_orderkey", "l_linenumber"], [F.col("l_shipdate"), F.col("l_partkey")]).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""
+select l_returnflag as kind, l_suppkey as key, count(distinct l_orderkey)::bigint docs, count(*)::bigint pages, count(*) filter (l_discount > 0.05)::bigint tests, strftime(min(l_shipdate), '%Y-%m-%d') lo, strftime(max(l_shipdate), '%Y-%m-%d') hi, min(l_partkey) as label from lineitem group by all""")
+def place_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """A19."""
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("kind"), F.col("l_suppkey").alias("key")).agg(F.countDistinct("l_orderkey").alias("docs"), F.count("*").alias("pages"), F.count_if(F.col("l_discount") > 0.05).alias("tests"), F.min(day).alias("lo"), F.max(day).alias("hi"), F.min("l_partkey").alias("label"))
+
+
+@query("""
+select o_orderpriority as folder, count(*)::bigint docs, array_to_string(list_sort(list(distinct o_orderstatus)), ',') as boxes, count(distinct o_custkey)::bigint agencies from orders group by all""")
+def folder_tallies(spark: SparkSession, d: str) -> DataFrame:
+    """A20."""
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("folder")).agg(F.count("*").alias("docs"), F.array_join(A.sorted_set(F.col("o_orderstatus")), ",").alias("boxes"), F.countDistinct("o_custkey").alias("agencies"))
+
+
+@query("""
+with f as (select p_partkey, p_name from part where p_size > 49 and p_brand = 'none'), a as (select p_partkey, p_name from part where p_size > 48)
+select p_partkey, p_name, false as relaxed from f union all select p_partkey, p_name, true from a where (select count(*) from f) = 0""")
+def relaxed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Filters that leave nothing are dropped."""
+    from ..operators.search import or_unfiltered
+
+    p = table(spark, d, "part")
+    every = p.where("p_size > 48").select("p_partkey", "p_name")
+    return or_unfiltered(p.where("p_size > 49 and p_brand = 'none'").select("p_partkey", "p_name"), every)
+
+
+@query("""
+with w as (select p_partkey k, unnest(string_split(p_name, ' ')) term, p_size::double weight from part where p_partkey < 300),
+u as (select k, term, max(weight) weight from w group by all), o as (select term, weight w from u where k = 5 order by weight desc, term limit 25)
+select k, round(sum(weight * w), 9) as score from u join o using (term) where k <> 5 group by k order by score desc, k limit 10""")
+def more_like_this(spark: SparkSession, d: str) -> DataFrame:
+    """X12, on words weighted by size."""
+    from ..operators.search import more_like
+
+    w = table(spark, d, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("k"), F.explode(F.split("p_name", " ")).alias("term"), F.col("p_size").cast("double").alias("weight"))
+    return more_like(w.groupBy("k", "term").agg(F.max("weight").alias("weight")), "k", 5)
+
+
+@query("""
+select o_orderstatus as release, count(*)::bigint n, count(distinct o_orderkey)::bigint keys from orders where o_orderkey in (select l_orderkey from lineitem where l_suppkey = 4) group by all""")
+def published_by_release(spark: SparkSession, d: str) -> DataFrame:
+    """O30."""
+    from ..operators.sequences import by_release
+
+    o = table(spark, d, "orders").withColumn("release", F.col("o_orderstatus"))
+    pub = table(spark, d, "lineitem").where("l_suppkey = 4").select(F.col("l_orderkey").alias("o_orderkey"))
+    return by_release(o, pub, "o_orderkey", "release")

@@ -331,3 +331,51 @@ def footprint_expansion(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "customer").select(lot.alias("lot"), (F.col("c_nationkey") + 500).alias("bin")).distinct()
     rows = f.select("lot", F.lit(None).cast("int").alias("bin")).distinct()
     return J.expanded(rows, "lot", "bin", f).agg(F.count("*").alias("n"))
+
+
+@query("""
+select o_orderkey as doc, (['lead', 'mercury', 'asbestos'])[1 + o_custkey % 4] as substance, v as value, 'mg/kg' as unit, 20.0::double as limit_value, case when v <= 20 then 'below' else 'above' end as result
+from (select *, floor(o_totalprice / 10000)::double v from orders) x where o_custkey % 4 < 3""")
+def table_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings out of tables that a rule makes from orders."""
+    from ..operators.readings import reading_rows
+
+    o = table(spark, d, "orders")
+    name = F.element_at(F.array(*map(F.lit, ("Lead", "Hg", "Asbestos", "Gold"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    row = F.concat_ws("   ", name, F.floor(F.col("o_totalprice") / 10000).cast("string"), F.lit("mg/kg"), F.lit("20"))
+    pages = o.select(F.col("o_orderkey").alias("doc"), F.lit(1).alias("page"), F.concat(F.lit("Analyte   Results   Units   MDL\n"), row).alias("text"))
+    return reading_rows(pages, ["doc", "page"], "text").select("doc", "substance", "value", "unit", "limit_value", "result")
+
+
+
+@query("""
+with v as (select unnest(['the', 'and', 'are', 'that', 'les', 'des', 'une', 'der', 'und', 'los']) w),
+t as (select doc_id, text, regexp_extract_all(lower(text), '\\b([a-z]{3,})\\b') t from documents), u as (select doc_id, unnest(t) w from t),
+g as (select doc_id, count(*) n, count(distinct w) k from u where w in (select w from v) group by all)
+select t.doc_id, len(t)::int as tokens, coalesce(n, 0)::bigint good, coalesce(k, 0)::bigint as "unique", coalesce(n, 0) / greatest(len(t), 1)::double as ratio from t left join g on g.doc_id = t.doc_id where not regexp_matches(text, '[^\\x00-\\x7F]')""")
+def lexical_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Known words of ASCII texts; the vocabulary is a table."""
+    from ..operators.screening import lexical_rows
+
+    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    words = spark.createDataFrame([(w,) for w in ("the", "and", "are", "that", "les", "des", "une", "der", "und", "los")], "word string")
+    return lexical_rows(docs, ["doc_id"], "text", words).select("doc_id", "tokens", "good", "unique", "ratio")
+
+
+@query()
+def screened_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of titles made of a document's first words."""
+    from ..operators import screening as C
+
+    x = table(spark, d, "documents").select("doc_id", "source", T.clamp_words(F.col("text"), 6).alias("title"), T.clamp_chars(F.col("text")).alias("summary"), "text")
+    flags = C.title_flags(F.col("title"), F.col("summary"), F.col("source"), F.lit(0.8), F.substring("text", 1, 400))
+    return x.select("doc_id", F.array_join(flags, ",").alias("flags"), C.names_a_person(F.col("title")).alias("personal"))
+
+
+@query()
+def topic_treemap(spark: SparkSession, d: str) -> DataFrame:
+    """Languages as boxes, one picture per label."""
+    from ..operators.layout import treemap
+
+    x = table(spark, d, "documents").groupBy("lang", "source").agg(F.sum("n_chars").cast("double").alias("size"))
+    return treemap(x, "lang", "source", "size", 1200.0, 800.0).select("lang", "source", *(F.round(c, 6).alias(c) for c in "xywh"))

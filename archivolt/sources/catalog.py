@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Suffixes that a file name may carry; the first that fits goes.
@@ -81,3 +81,16 @@ def snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(name.alias("name"), F.sha2("content", 256).alias("sha256")).where(F.col("name").rlike(r"^\d{4}-\d{2}-\d{2}.*\.csv$")).withColumn("day", F.substring("name", 1, 10)).orderBy("name")
+
+
+def current_files(files: DataFrame, manifest: DataFrame | None, key: str = "document") -> DataFrame:
+    """The current text file of each document.
+
+    The manifest (document, path) decides; a document that it lists twice is an error, and
+    one whose current file is missing is left out, not replaced by another copy. Without a
+    manifest a document with several files is an error.
+    """
+    authority = manifest.select(key, "path") if manifest is not None else files.select(key, "path")
+    n = F.count("*").over(Window.partitionBy(key))
+    checked = authority.withColumn("path", F.when(n > 1, F.raise_error(F.concat(F.lit("listed more than once: "), F.col(key)))).otherwise(F.col("path")))
+    return checked if manifest is None else checked.join(files.select("path").distinct(), "path", "left_semi")

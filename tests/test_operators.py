@@ -327,3 +327,82 @@ def test_queue(spark):
     work = spark.createDataFrame([("a", "f1"), ("b", "f2"), ("c", "f"), ("d", "f")], "k string, fingerprint string")
     done = spark.createDataFrame([("a", "f1", "done", 0), ("b", "old", "done", 0), ("c", "f", "error", 99)], "k string, fingerprint string, state string, retry_at int")
     assert {r["k"]: r["state"] for r in S.queue_state(work, done, "k", F.lit(5)).collect()} == {"a": "done", "b": "due", "c": "deferred", "d": "due"}
+
+
+# -- readings and screens ---------------------------------------------------------
+
+
+def test_column_block_takes_clean_lines_alone():
+    from archivolt.operators.readings import page_readings
+
+    text = "Location Sampled: Roof   Lobby\nSample # A1   A2\nAnalyzed: 3/4/02\nResults (%)\nChrysotile 2.5   Chrysotile ND\nAmosite 1\nGypsum 10   Gypsum TRACE\n\nLead 4   Lead 5"
+    got = [(r["substance"], r["value"], r["sample_id"], r["location"], r["date"], r["confidence"]) for r in page_readings(text)]
+    assert got == [("chrysotile", 2.5, "A1", "Roof", "2002-03-04", 0.85), ("gypsum", 10.0, "A1", "Roof", "2002-03-04", 0.85), ("chrysotile", None, "A2", "Lobby", "2002-03-04", 0.85), ("gypsum", None, "A2", "Lobby", "2002-03-04", 0.85)]
+
+
+def test_headed_table(spark):
+    from archivolt.operators.readings import borne_out, reading_rows
+
+    text = "Analyte   Results   Units   MDL\nLead   0.5   mg/kg   1.0\nHg   <0.2   mg/kg   0.2\nGold   9   ppm   1\nZinc   7,000   mg/kg   10\nCopper   n/a   ppm   1\nComments: x\nNickel   1   ppm   2"
+    df = spark.createDataFrame([("d", 1, text), ("e", 1, "nothing"), ("f", 1, None)], "doc string, page int, text string")
+    out = reading_rows(df, ["doc", "page"], "text")
+    assert rows(out.select("doc", "substance", "value", "unit", "limit_value", "result")) == [("d", "lead", 0.5, "mg/kg", 1.0, "below"), ("d", "mercury", 0.2, "mg/kg", 0.2, "below"), ("d", "zinc", 7000.0, "mg/kg", 10.0, "above")]
+    page = F.lit(text)
+    assert rows(out.select("substance", borne_out(F.col("substance"), F.col("value"), F.col("limit_value"), page))) == [("lead", True), ("mercury", True), ("zinc", False)]
+
+
+def test_screens(spark):
+    from archivolt.operators import screening as C
+
+    t = spark.createDataFrame([("", "", "", 1.0, ""), ("Lead results Fulton Street", "Lead readings at one address on Fulton Street", "x", 0.9, "LEAD results for 5 Fulton Str"), ("Box 7", "short", "Box 7", 0.1, "other words")], "t string, s string, f string, c double, src string")
+    got = [r[0] for r in t.select(C.title_flags(*(F.col(c) for c in ("t", "s", "f", "c", "src")))).collect()]
+    assert got == [["untitled"], [], ["short-title", "title-is-folder-label", "short-summary", "low-confidence", "weak-grounding"]]
+    names = spark.createDataFrame([("John Smith",), ("SMITH, JOHN",), ("E-mails M. Gilroy",), ("World Trade",), ("Chambers Street",), ("NADLERR",), ("PERMITS",), ("",), (None,)], "n string")
+    assert [r[0] for r in names.select(C.names_a_person(F.col("n"))).collect()] == [True, True, True, False, False, True, False, False, False]
+    v = spark.createDataFrame([("the lead was here xq zz the",)], "t string")
+    q = C.lexical_quality(F.col("t"), F.array(*map(F.lit, ("the", "lead", "here"))))
+    one = v.select(q.alias("q"), C.suspect(F.lit("ok"), q).alias("s")).first()
+    assert (one["q"]["tokens"], one["q"]["good"], one["q"]["unique"], one["s"]) == (5, 4, 3, None)
+    words = spark.createDataFrame([("the",), ("lead",), ("here",)], "word string")
+    assert rows(C.lexical_rows(v.withColumn("k", F.lit(1)), ["k"], "t", words).select("tokens", "good", "unique", "ratio")) == [(5, 4, 3, 0.8)]
+    s = spark.createDataFrame([("8 HENRY STREET Block: 279 Lot: 40 BIN: 1003375",), (None,)], "f string")
+    assert [r[0] for r in s.select(C.separator_title(F.col("f"))).collect()] == ["Folder cover sheet — 8 Henry Street", "Folder cover sheet"]
+    c = spark.createDataFrame([("Lab Group # 123 Lab Sample # 4-A",), ("MICROVAC",)], "t string")
+    assert [r[0] for r in c.select(C.count_sheet_title(F.col("t"))).collect()] == ["TEM asbestos air count sheet, lab group 123, sample 4-A", "TEM asbestos dust count sheet"]
+    p = spark.createDataFrame([("x" * 300, "two"), ("short", "two"), ("short", None), ("Block 3 Lot 4 " + "x" * 300, "two")], "a string, b string")
+    assert [r[0][:5] for r in p.select(C.excerpt_page(F.col("a"), F.col("b"))).collect()] == ["xxxxx", "two", "short", "two"]
+    o = spark.createDataFrame([(1, True, 5, 9), (2, True, 5, 9), (3, None, 1, 1)], "page int, accepted boolean, mtime long, size long")
+    f = spark.createDataFrame([(1, 5, 9), (2, 6, 9)], "page int, mtime long, size long")
+    assert [r["page"] for r in sorted(C.valid_overlay(o, f, "page").collect())] == [1, 3]
+
+
+def test_words_and_boxes(spark):
+    from archivolt.operators import screening as C
+
+    w = [("p", 1, 1, 2, 3, "c", -1.0), ("p", 1, 1, 1, 1, "a", 90.0), ("p", 1, 1, 1, 2, "b", 80.0), ("p", 1, 1, 1, 4, " ", 10.0)]
+    df = spark.createDataFrame(w, "page string, block int, paragraph int, line int, n int, text string, conf double")
+    assert rows(C.page_of_words(df, ["page"])) == [("p", "a b\nc", 85.0)]
+    b = spark.createDataFrame([([(-2.0, 10.0, 90.0, 210.0, "w"), (5.0, 5.0, 5.0, 9.0, "z")],)], "b array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>")
+    assert [tuple(x) for x in b.select(C.clipped(F.col("b"), F.lit(100), F.lit(200))).first()[0]] == [(0.0, 10.0, 90.0, 200.0, "w")]
+
+
+def test_treemap_fills_the_box(spark):
+    from archivolt.operators.layout import squarified, treemap
+
+    boxes = squarified([6, 6, 4, 3, 2, 2, 1], 6, 4)
+    assert sum(w * h for _, _, w, h in boxes) == pytest.approx(24) and max(max(w / h, h / w) for _, _, w, h in boxes) < 3.5
+    assert boxes[0] == pytest.approx((0, 0, 3, 2))
+    df = spark.createDataFrame([("g", "a", 3.0), ("g", "b", 1.0), ("g", "c", 0.0), ("h", "d", 5.0)], "g string, k string, s double")
+    got = {r["k"]: (r["w"] * r["h"]) for r in treemap(df, "g", "k", "s", 10, 10).collect()}
+    assert got == pytest.approx({"a": 75, "b": 25, "d": 100})
+
+
+@SLOW
+@given(st.lists(st.integers(0, 9), max_size=30))
+def test_running_total(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v long").repartition(3)
+    upto, want = 0, []
+    for i, v in enumerate(values):
+        upto += v
+        want.append((i, upto))
+    assert sorted((r["i"], r["upto"]) for r in W.running_total(df, ["i"], "v").collect()) == want

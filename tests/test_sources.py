@@ -114,3 +114,13 @@ def test_upsert_by_batches(spark, tmp_path):
     put(spark.createDataFrame([(2, "c")], "id int, v string"), 1)
     put(spark.createDataFrame([(2, "c")], "id int, v string"), 1)
     assert rows(counters.latest(spark.read.parquet(path), "id")) == [(1, "a"), (2, "c")]
+
+
+def test_current_files(spark):
+    files = spark.createDataFrame([("a", "new/a"), ("a", "old/a"), ("b", "old/b")], "document string, path string")
+    manifest = spark.createDataFrame([("a", "new/a"), ("b", "new/b")], "document string, path string")
+    assert rows(C.current_files(files, manifest).select("document", "path")) == [("a", "new/a")]
+    with pytest.raises(Exception, match="listed more than once"):
+        C.current_files(files, None).collect()
+    with pytest.raises(Exception, match="listed more than once"):
+        C.current_files(files, manifest.union(manifest)).collect()
