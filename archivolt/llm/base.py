@@ -1,4 +1,4 @@
-"""Shared parts: input columns, byte-bounded slices of Arrow batches, shared tables.
+"""Shared parts: input columns and byte-bounded slices of Arrow batches.
 
 Every operator first narrows its input to the columns it needs with
 ``columns``; so extra columns, whatever their names, never reach it.
@@ -6,8 +6,6 @@ Every operator first narrows its input to the columns it needs with
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Shared
+
+__all__ = ["Shared", "columns", "slices", "table", "texts"]
+
 #: Text bytes that a worker turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
 
@@ -25,8 +27,16 @@ def columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(f"`{n}`").cast(kinds[n]).alias(n) if n in kinds else F.col(f"`{n}`") for n in names))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = False) -> DataFrame:
+    """A table by name. spread: a file or few that would keep most cores idle are dealt out evenly.
+
+    Tables of as many splits as there are cores are read as they lie.
+    """
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not spread:
+        return out
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if len(out.inputFiles()) < cores else out
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -48,37 +58,3 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column as Python strings; null is the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]
-
-
-class Shared:
-    """Tables in the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    A written table cuts the lineage, and a lost executor does not lose it. Where
-    the setting is unset, as in tests, a temporary folder takes its place.
-    """
-
-    def __init__(self, spark: SparkSession):
-        top = spark.conf.get("spark.checkpoint.dir", None)
-        if not top:
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-            if not found.isDefined():
-                spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="archivolt-"))
-                found = spark.sparkContext._jsc.sc().getCheckpointDir()
-            top = found.get()
-        self.spark, self.dir, self.n = spark, f"{top.rstrip('/')}/tables-{uuid.uuid4().hex}", 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """``df`` written as Parquet and read again."""
-        self.n += 1
-        path = f"{self.dir}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.shared_path = path
-        return out
-
-    def drop(self, *kept: DataFrame) -> None:
-        """Deletes tables of ``keep`` that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for df in kept:
-            path = jvm.org.apache.hadoop.fs.Path(df.shared_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
