@@ -50,7 +50,7 @@ lev as (select 0 lev, lang, source, rate, bucket, n from k union all select 1, l
 cum as (select *, sum(n) over (partition by lev, lang, source, rate order by bucket) upto, sum(n) over (partition by lev, lang, source, rate) total from lev),
 q as (select lev, lang, source, rate, total, min(bucket) filter (upto >= total * 0.25) b1, min(bucket) filter (upto >= total * 0.75) b3 from cum group by all),
 v as (select *, case when b1 = 0 then 0 else 0.0001 * pow(1.05, b1) end q1, case when b3 = 0 then 0 else 0.0001 * pow(1.05, b3) end q3 from q),
-fence as (select lev, lang, source, rate, total, q3 + 3 * (q3 - q1) + case rate when 'symbol_rate' then 0.10 when 'word_length' then 6.0 else 0.20 end fence from v),
+fence as (select lev, lang, source, rate, total, q3 + 3 * (q3 - q1) + case rate when 'symbol_rate' then 0.04 when 'word_length' then 6.0 when 'repeat_rate' then 0.30 else 0.45 end fence from v),
 best as (select o.lang, o.source, o.rate, case when o.total >= 100 then o.fence when l.total >= 100 then l.fence else e.fence end fence
   from fence o join fence l on l.lev = 1 and l.lang is not distinct from o.lang and l.rate = o.rate join fence e on e.lev = 2 and e.rate = o.rate where o.lev = 0),
 over as (select r.doc_id, bool_or(x > fence) over_ from r join best on best.lang is not distinct from r.lang and best.source is not distinct from r.source and best.rate = r.rate group by all)
