@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .base import columns, slices, texts
 
 #: Labelled documents that training takes at most.
-SAMPLE = 4000
+SAMPLE = 2000
 #: Rounds of labelling lines anew, and steps of the optimiser in each.
 ROUNDS, STEPS = 3, 60
 #: Share of a bad document's length that is bad at least.
@@ -156,7 +156,7 @@ class Model:
     curve: tuple[float, float]
 
     def document_means(self, x: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        good, _, _ = Chains(counts).marginals(beside(x, counts).astype(np.float64) @ self.weights, self.change, self.start)
+        good, _, _ = Chains(counts).marginals((beside(x, counts) @ self.weights.astype(np.float32)).astype(np.float64), self.change, self.start)
         at = np.cumsum(counts) - counts
         return np.add.reduceat(good * weight, at) / np.add.reduceat(weight, at) if len(counts) else np.zeros(0)
 
@@ -177,8 +177,8 @@ def _fit_lines(big: np.ndarray, chains: Chains, first: np.ndarray, pairs_of: np.
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         w, change, start = theta[:width], theta[width : width + 4].reshape(2, 2), theta[width + 4 :]
-        good, pairs, firsts = chains.marginals(big @ w, change, start)
-        grad = np.concatenate([big.T @ ((y - good) * share), (seen - pairs).ravel(), begun - firsts]) / n - RIDGE * theta
+        good, pairs, firsts = chains.marginals((big @ w.astype(np.float32)).astype(np.float64), change, start)
+        grad = np.concatenate([(((y - good) * share).astype(np.float32) @ big).astype(np.float64), (seen - pairs).ravel(), begun - firsts]) / n - RIDGE * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta
@@ -191,7 +191,7 @@ def train(x: np.ndarray, counts: np.ndarray, weight: np.ndarray, labels: np.ndar
         only = labels[0] if len(labels) else 1
         return Model(np.zeros(width), np.zeros((2, 2)), np.zeros(2), (2.0 if only else -2.0, 0.0))
     doc = np.repeat(np.arange(len(counts)), counts)
-    big = beside(x, counts).astype(np.float64)
+    big = beside(x, counts)
     chains = Chains(counts)
     ends = np.cumsum(counts)
     first = ends - counts
@@ -203,7 +203,7 @@ def train(x: np.ndarray, counts: np.ndarray, weight: np.ndarray, labels: np.ndar
     theta = np.zeros(width + 6)
     for turn in range(ROUNDS):
         if turn:
-            good, _, _ = chains.marginals(big @ theta[:width], theta[width : width + 4].reshape(2, 2), theta[width + 4 :])
+            good, _, _ = chains.marginals((big @ theta[:width].astype(np.float32)).astype(np.float64), theta[width : width + 4].reshape(2, 2), theta[width + 4 :])
             y = np.where(labels[doc] == 1, 1, (good > 0.5).astype(np.int64))
             # In a bad document the worst lines are bad until they make BAD_SHARE of it.
             order = np.lexsort((good, doc))
