@@ -22,11 +22,11 @@ from .tokens import token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_digests(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +34,15 @@ def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"), percent=85)
+    return near_dedup(table(spark, sf_dir, "documents", spread=True), percent=85)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup(table(spark, sf_dir, "documents", spread=True))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"))
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,15 +50,15 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents", spread=True))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii(table(spark, sf_dir, "documents"))
+    return pii(table(spark, sf_dir, "documents", spread=True))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
