@@ -64,8 +64,9 @@ def _mix(x: np.ndarray, level: int) -> np.ndarray:
 class Shard:
     """Fingerprints and counts of distinct keys, at the slots of a minimal perfect hash."""
 
-    def __init__(self, levels: list[np.ndarray], prints: np.ndarray, counts: np.ndarray):
-        self.levels, self.prints, self.counts = levels, prints, counts
+    def __init__(self, levels: list[np.ndarray], prints: np.ndarray, counts: np.ndarray, rest: np.ndarray):
+        """rest: hash, fingerprint and count of the keys whose hash an earlier key has; as a rule none."""
+        self.levels, self.prints, self.counts, self.rest = levels, prints, counts, rest
         self.ranks = []
         before = 0
         for bits in levels:
@@ -75,7 +76,11 @@ class Shard:
 
     @classmethod
     def build(cls, hashes: np.ndarray, prints: np.ndarray, counts: np.ndarray) -> Shard:
-        """hashes: distinct 64-bit numbers; counts above the width of the array are kept at its top."""
+        """Distinct pairs of 64-bit hashes and fingerprints; counts above the width of the array are kept at its top."""
+        _, first = np.unique(hashes, return_index=True)
+        again = np.setdiff1d(np.arange(len(hashes)), first)
+        rest = np.stack([hashes[again].astype(np.uint64), prints[again].astype(np.uint64), counts[again].astype(np.uint64)], axis=1)
+        hashes, prints, counts = hashes[first], prints[first], counts[first]
         left = hashes.astype(np.uint64)
         levels: list[np.ndarray] = []
         while len(left):
@@ -85,7 +90,7 @@ class Shard:
             alone = n == 1
             levels.append(np.packbits(alone, bitorder="little").view(np.uint64))
             left = left[~alone[at.astype(np.int64)]]
-        out = cls(levels, np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint16))
+        out = cls(levels, np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint16), rest)
         slot = out.slots(hashes.astype(np.uint64))
         out.prints[slot] = prints.astype(np.uint64)
         out.counts[slot] = np.minimum(counts, 65535).astype(np.uint16)
@@ -111,21 +116,24 @@ class Shard:
         found = slot >= 0
         found[found] = self.prints[slot[found]] == prints[found]
         out[found] = self.counts[slot[found]]
+        for h, p, n in self.rest:
+            out[(hashes == h) & (prints == p)] = n
         return out
 
     def pack(self) -> bytes:
-        head = np.array([len(self.levels), len(self.counts), *map(len, self.levels)], "<u8")
-        return b"".join([head.tobytes(), *(x.tobytes() for x in self.levels), self.prints.tobytes(), self.counts.tobytes()])
+        head = np.array([len(self.levels), len(self.counts), len(self.rest), *map(len, self.levels)], "<u8")
+        return b"".join([head.tobytes(), *(x.tobytes() for x in self.levels), self.prints.tobytes(), self.rest.tobytes(), self.counts.tobytes()])
 
     @classmethod
     def unpack(cls, raw: bytes) -> Shard:
-        n_levels, n = (int(x) for x in np.frombuffer(raw, "<u8", 2))
-        sizes = np.frombuffer(raw, "<u8", n_levels, 16)
-        at, levels = 16 + 8 * n_levels, []
+        n_levels, n, n_rest = (int(x) for x in np.frombuffer(raw, "<u8", 3))
+        sizes = np.frombuffer(raw, "<u8", n_levels, 24)
+        at, levels = 24 + 8 * n_levels, []
         for size in map(int, sizes):
             levels.append(np.frombuffer(raw, np.uint64, size, at))
             at += 8 * size
-        return cls(levels, np.frombuffer(raw, np.uint64, n, at), np.frombuffer(raw, np.uint16, n, at + 8 * n))
+        rest = np.frombuffer(raw, np.uint64, 3 * n_rest, at + 8 * n).reshape(-1, 3)
+        return cls(levels, np.frombuffer(raw, np.uint64, n, at), np.frombuffer(raw, np.uint16, n, at + 8 * n + 24 * n_rest), rest)
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -165,13 +173,8 @@ def build_shards(keys: DataFrame, n_shards: int) -> DataFrame:
     """shard and bytes of ``Shard.pack``. Shards are even: they are dealt by a hash of distinct keys."""
 
     def run(table: pa.Table) -> pa.Table:
-        h = table.column("h1").to_numpy().view(np.uint64)
-        _, first = np.unique(h, return_index=True)
-        # Of keys that share the first 64 bits, the one of most documents stays here;
-        # with 1e12 keys a few thousand pairs do, and the others' lines are kept.
-        order = np.lexsort((-table.column("n").to_numpy(), h))
-        first = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])] if len(h) else first
-        raw = Shard.build(h[first], table.column("h2").to_numpy().view(np.uint64)[first], table.column("n").to_numpy()[first]).pack()
+        h, p = (table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        raw = Shard.build(h, p, table.column("n").to_numpy()).pack()
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "bytes": pa.array([raw], pa.binary())})
 
     placed = keys.withColumn("shard", F.pmod(F.shiftrightunsigned("h1", 32), F.lit(n_shards)).cast("int"))
@@ -211,6 +214,8 @@ def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, full:
     task. An empty table gives an empty table. extra: further columns to carry along,
     as x0, x1 and so on.
     """
+    if min_docs > 65535:
+        raise ValueError("counts are kept up to 65535")
     spark = docs.sparkSession
     shared = Shared(spark)
     keys = shared.keep(counted(docs, min_chars, min(2, min_docs)))

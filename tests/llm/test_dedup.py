@@ -148,6 +148,12 @@ def test_shards_are_minimal_and_perfect():
         assert not s.count(other, other).any()
 
 
+def test_keys_of_one_hash_are_told_apart():
+    h, p, c = np.array([5, 7, 5, 5], np.uint64), np.array([1, 2, 3, 4], np.uint64), np.array([9, 8, 7, 6])
+    s = Shard.unpack(Shard.build(h, p, c).pack())
+    assert s.count(h, p).tolist() == c.tolist() and s.count(h, p + np.uint64(9)).tolist() == [0] * 4
+
+
 def test_keys():
     assert line_key("\t ÀB c\r") == "Àb c"
     assert key_hash("a") == key_hash("a") != key_hash("b")
