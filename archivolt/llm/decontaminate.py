@@ -39,27 +39,33 @@ class Windows:
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.number: dict[bytes, int] = {}
-        by_size: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+        by_size: dict[int, list[np.ndarray]] = {}
         number = self.number
+        owner: dict[int, list[int]] = {}
         for item, text in items:
-            own = [number.setdefault(w, len(number) + 1) for w in words(text)]
+            own = np.array([number.setdefault(w, len(number) + 1) for w in words(text)], np.uint32)
             size = min(n, len(own))
-            for i in range(len(own) - size + 1) if size else ():
-                by_size.setdefault(size, []).append((tuple(own[i : i + size]), item))
-        self.sets: dict[int, tuple[np.ndarray, np.ndarray, list[list[tuple[tuple[int, ...], int]]]]] = {}
+            if size:
+                grams = np.lib.stride_tricks.sliding_window_view(own, size)
+                by_size.setdefault(size, []).append(grams)
+                owner.setdefault(size, []).extend([item] * len(grams))
+        #: By size: hashes in order, and at the same places windows and items.
+        self.sets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size, found in by_size.items():
-            grams = np.array([g for g, _ in found], np.uint64)
-            hashes, group = np.unique(self.hash(grams), return_inverse=True)
-            lists: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in hashes]
-            for k, x in zip(group.tolist(), found, strict=True):
-                lists[k].append(x)
-            self.sets[size] = (hashes, grams, lists)
+            grams = np.concatenate(found)
+            hashes = self.hash(grams)
+            order = np.argsort(hashes, kind="stable")
+            self.sets[size] = hashes[order], grams[order], np.array(owner[size], np.int64)[order]
 
     @staticmethod
     def hash(grams: np.ndarray) -> np.ndarray:
         odd = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(grams.shape[1])], np.uint64)
+        out = np.zeros(len(grams), np.uint64)
         with np.errstate(over="ignore"):
-            return (grams * odd ^ grams >> np.uint64(7)).sum(axis=1, dtype=np.uint64)
+            for k in range(grams.shape[1]):
+                x = grams[:, k].astype(np.uint64)
+                out += x * odd[k] ^ x >> np.uint64(7)
+        return out
 
     def scan(self, docs: list[list[bytes]]) -> tuple[list[np.ndarray], list[set[int]]]:
         """For each document a mask of the words hit, and the items with a window in it."""
@@ -70,25 +76,24 @@ class Windows:
             starts.append(len(flat))
             flat += [get(w, 0) for w in own]
             flat.append(0)
-        row = np.array(flat, np.uint64)
+        row = np.array(flat, np.uint32)
         zeros = np.concatenate([[0], np.cumsum(row == 0)])
         edge = np.zeros(len(row) + 1, np.int64)
         items: list[set[int]] = [set() for _ in docs]
         begin = np.array(starts, np.int64)
-        for size, (hashes, _, lists) in self.sets.items():
+        for size, (hashes, windows, owner) in self.sets.items():
             if len(row) < size:
                 continue
             at = np.flatnonzero(zeros[size:] == zeros[: len(zeros) - size])
-            grams = row[at[:, None] + np.arange(size)] if len(at) else np.empty((0, size), np.uint64)
+            grams = row[at[:, None] + np.arange(size)] if len(at) else np.empty((0, size), np.uint32)
             h = self.hash(grams)
-            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for i in np.flatnonzero(hashes[k] == h).tolist():
-                gram = tuple(grams[i].tolist())
-                same = [item for g, item in lists[k[i]] if g == gram]
-                if same:
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for i in np.flatnonzero(low < high).tolist():
+                same = (windows[low[i] : high[i]] == grams[i]).all(axis=1)
+                if same.any():
                     edge[at[i]] += 1
                     edge[at[i] + size] -= 1
-                    items[int(np.searchsorted(begin, at[i], "right")) - 1].update(same)
+                    items[int(np.searchsorted(begin, at[i], "right")) - 1].update(owner[low[i] : high[i]][same].tolist())
         hit = np.cumsum(edge)[:-1] > 0
         return [hit[s : s + len(own)] for s, own in zip(starts, docs, strict=True)], items
 
