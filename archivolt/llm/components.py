@@ -77,8 +77,8 @@ def components(shared: Shared, links: DataFrame) -> DataFrame:
     now = shared.keep(forest(links.where("a <> b").select(*cols)).distinct())
     seen = None
     while True:
-        # Settled: no node hangs on two others, and none that others hang on hangs itself.
-        sums = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.countDistinct("b")).first()
+        # Settled: a round has changed nothing.
+        sums = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first()
         if sums == seen or not sums[0]:
             break
         seen = sums
