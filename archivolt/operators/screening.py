@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import collapsed, title_case, words
 from .extract import BLOCK_LOT
 
-# Words that make a capitalised phrase a place or an organisation, and folder words that are no names.
+# Words that make a capitalised phrase a place or an organisation, folder words that are no names, and patterns.
 PLACES = (
     "liberty", "broadway", "battery", "manhattan", "world", "trade", "center", "brooklyn", "hudson", "east", "river", "ground", "zero",
     "staten", "island", "fresh", "kills", "chambers", "vesey", "greenwich", "church", "fulton", "wall", "canal", "bowery", "trinity",
-    "city", "hall", "park", "national", "september", "wtc", "lower", "downtown", "financial", "district", "new", "york", "jersey",
+    "city", "hall", "park", "national", "september", "lower", "downtown", "financial", "district", "new", "york", "jersey",
     "west", "south", "north", "building", "tower", "plaza",
 )
 BODIES = (
@@ -33,6 +33,13 @@ PLAIN = (
 PLACEHOLDER = r"(?i)^(?:untitled|document|page|scan(?:ned)?(?: document)?|n/?a|none)\W*\d*$"
 DESCRIBES = r"(?i)\b(?:this (?:document|page|excerpt)|the (?:excerpt|text) (?:shows|contains))\b"
 JUNK = r"[{}<>]|\\n|```"
+LAST_FIRST = r"^[A-Z][A-Z.'-]{1,},?\s+[A-Z][A-Z.'-]{1,}(?:\s+[A-Z]\.?)?$"
+INITIAL_NAME = r"\b[A-Z]\.\s*[A-Z][a-z]+\b"
+LONE_NAME = r"^[A-Z][A-Z'.-]{1,19}$"
+CAPITAL_PAIR = r"\b([A-Z][a-z]+\s+[A-Z][a-z]+)\b"
+SHEET_DUST = r"(?i)MICR\w?VAC|Surface\s*Area\s*Sampled|\(ML\)"
+SHEET_GROUP = r"(?i)Lab\s*[GC]r[o0]u[pD]\s*#?\s*[:;.]?\s*(\d{2,6})"
+SHEET_SAMPLE = r"(?i)Lab\s*Sample\s*#?\s*[:;.]?\s*([A-Za-z0-9-]{1,10})"
 TRUNCATED = r"(?:\.\.\.|…|\b(?:and|or|of|the|with|for))\s*$"
 
 
@@ -94,11 +101,11 @@ def names_a_person(label: Column) -> Column:
     """A label in the shape of a person's name. Rather one too many than one too few."""
     t = F.trim(F.coalesce(label, F.lit("")))
     # Each two neighbouring capitalised words, also where pairs overlap.
-    pair = F.regexp_extract_all(t, F.lit(r"\b([A-Z][a-z]+\s+[A-Z][a-z]+)\b"), 1)
+    pair = F.regexp_extract_all(t, F.lit(CAPITAL_PAIR), 1)
     word = lambda p, i: F.lower(F.get(F.split(p, r"\s+"), F.lit(i)))
     personal = F.exists(pair, lambda p: ~((word(p, 0).isin(*PLACES) & word(p, 1).isin(*PLACES)) | word(p, 0).isin(*BODIES, "broadway") | word(p, 1).isin(*BODIES, "broadway")))
-    lone = t.rlike(r"^[A-Z][A-Z'.-]{1,19}$") & ~F.lower(t).isin(*PLACES, *BODIES, *PLAIN)
-    return (t != "") & (t.rlike(r"^[A-Z][A-Z.'-]{1,},?\s+[A-Z][A-Z.'-]{1,}(?:\s+[A-Z]\.?)?$") | t.rlike(r"\b[A-Z]\.\s*[A-Z][a-z]+\b") | personal | lone)
+    lone = t.rlike(LONE_NAME) & ~F.lower(t).isin(*PLACES, *BODIES, *PLAIN)
+    return (t != "") & (t.rlike(LAST_FIRST) | t.rlike(INITIAL_NAME) | personal | lone)
 
 
 def excerpt_page(first: Column, second: Column, least: int = 200, most: int = 1500) -> Column:
@@ -116,9 +123,9 @@ def separator_title(folder: Column) -> Column:
 
 def count_sheet_title(text: Column) -> Column:
     """Medium, group and sample of a count sheet."""
-    medium = F.when(F.substring(text, 1, 400).rlike(r"(?i)MICR\w?VAC|Surface\s*Area\s*Sampled|\(ML\)"), "dust").otherwise("air")
-    group = F.nullif(F.regexp_extract(text, r"(?i)Lab\s*[GC]r[o0]u[pD]\s*#?\s*[:;.]?\s*(\d{2,6})", 1), F.lit(""))
-    sample = F.nullif(F.regexp_extract(text, r"(?i)Lab\s*Sample\s*#?\s*[:;.]?\s*([A-Za-z0-9-]{1,10})", 1), F.lit(""))
+    medium = F.when(F.substring(text, 1, 400).rlike(SHEET_DUST), "dust").otherwise("air")
+    group = F.nullif(F.regexp_extract(text, SHEET_GROUP, 1), F.lit(""))
+    sample = F.nullif(F.regexp_extract(text, SHEET_SAMPLE, 1), F.lit(""))
     tail = F.concat(F.lit(", lab group "), group, F.coalesce(F.concat(F.lit(", sample "), sample), F.lit("")))
     return F.concat(F.lit("TEM asbestos "), medium, F.lit(" count sheet"), F.coalesce(tail, F.lit("")))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Suffixes that a file name may carry; the first that fits goes.
 SUFFIXES = (".pdf_MD", ".pdf.md", "_MD", ".pdf")
-TEXTS = ("mes_key", "source", "agency", "box_name", "folder_name", "production_volume", "bates_end", "related_document", "index_date")
 NUMBERS = ("page_count", "pdf_size")
 
 

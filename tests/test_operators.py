@@ -365,8 +365,8 @@ def test_screens(spark):
     assert (one["q"]["tokens"], one["q"]["good"], one["q"]["unique"], one["s"]) == (5, 4, 3, None)
     words = spark.createDataFrame([("the",), ("lead",), ("here",)], "word string")
     assert rows(C.lexical_rows(v.withColumn("k", F.lit(1)), ["k"], "t", words).select("tokens", "good", "unique", "ratio")) == [(5, 4, 3, 0.8)]
-    s = spark.createDataFrame([("8 HENRY STREET Block: 279 Lot: 40 BIN: 1003375",), (None,)], "f string")
-    assert [r[0] for r in s.select(C.separator_title(F.col("f"))).collect()] == ["Folder cover sheet — 8 Henry Street", "Folder cover sheet"]
+    s = spark.createDataFrame([("12 OAK STREET Block: 31 Lot: 4 BIN: 1000001",), (None,)], "f string")
+    assert [r[0] for r in s.select(C.separator_title(F.col("f"))).collect()] == ["Folder cover sheet — 12 Oak Street", "Folder cover sheet"]
     c = spark.createDataFrame([("Lab Group # 123 Lab Sample # 4-A",), ("MICROVAC",)], "t string")
     assert [r[0] for r in c.select(C.count_sheet_title(F.col("t"))).collect()] == ["TEM asbestos air count sheet, lab group 123, sample 4-A", "TEM asbestos dust count sheet"]
     p = spark.createDataFrame([("x" * 300, "two"), ("short", "two"), ("short", None), ("Block 3 Lot 4 " + "x" * 300, "two")], "a string, b string")
