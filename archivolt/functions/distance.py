@@ -113,3 +113,16 @@ def osa_distance(a: Column | str, b: Column | str) -> Column:
 def match_tier(a: Column | str, b: Column | str) -> Column:
     """Struct of tier and distance; tier null where the names are not close."""
     return _tier_udf()(a, b)
+
+
+@functools.cache
+def _weighted_udf():
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else weighted(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run
+
+
+def weighted_distance(a: Column | str, b: Column | str) -> Column:
+    return _weighted_udf()(a, b)

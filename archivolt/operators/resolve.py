@@ -130,3 +130,87 @@ def folder_places(pages: DataFrame, resolved: DataFrame, folders: DataFrame, pag
 def preferred_label(*labels: Column) -> Column:
     """The first that is neither null nor blank."""
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in labels))
+
+
+# -- boroughs, folders and buildings ------------------------------------------------
+
+# Patterns of labels, and the first block of the lots along the dividing street.
+LABEL_BUILDING = (r"(?i)\bBIN\s*[:#\-]?\s*(\d{6,7})\b", r"(?i)\b(\d{7}),\s*\d+\s*/\s*\d+\b")
+LABEL_LOT = r"(?i)\bBlock\s*:?\s*(\d+)\W{1,4}Lot\s*:?\s*(\d+)\b"
+SHEET_BUILDING = r"(?i)\bBIN\s*[:\-]?\s*(\d{6,7})"
+SHEET_LOT = r"(?i)\bB[l1Ii]ock\W{0,4}(\d+)\W{1,4}L[oO0][tTlLiI1]\W{0,4}(\d+)"
+LABEL_ADDRESS = r"(?i)^\s*(\d{1,4}(?:-\d{1,4})?\s+[A-Za-z][A-Za-z0-9 .'\-]*?)(?=\s{2,}|\s+Block\b|\s+BIN\b|$)"
+PERSON = r"^[A-Z][a-z'\-]+,?\s+(?:[A-Z]\.?\s+)?[A-Z][a-z'\-]+(?:\s+(?:Jr|Sr|II|III|IV)\.?)?$"
+LOCATION = r"(?i)(?:job\s*location|sample\s*location|location\s*sampled|premise|property\s*address|site\s*address|sampled\s*at|address\s*sampled|location\s*of\s*sample)\s*[:\-]?\s*$"
+DIVIDING_BLOCK = 196
+
+
+def borough(house: Column, lot: Column, street_on_roll: Column) -> Column:
+    """A roll match or a street of the roll is Manhattan; else a hyphenated number is Queens, and the rest is outside."""
+    return F.when(lot.isNotNull() | F.coalesce(street_on_roll, F.lit(True)), "Manhattan").when(house.rlike(r"^\s*\d+-\d+\s*$"), "Queens").otherwise("Outside Manhattan")
+
+
+def downtown_streets(roll: DataFrame) -> DataFrame:
+    """Streets of which every lot's block is below the dividing one."""
+    block = F.when(F.col("lot").rlike(r"^1\d{9}$"), block_of(F.col("lot")))
+    return roll.select(T.street(F.col("street")).alias("street"), block.alias("block")).where("block is not null").groupBy("street").agg(F.max("block").alias("top")).where(F.col("top") < DIVIDING_BLOCK).select("street")
+
+
+def is_downtown(lot: Column, street_downtown: Column) -> Column:
+    """By the block of a lot, else by the street."""
+    block = F.when(lot.rlike(r"^1\d{9}$"), block_of(lot))
+    return F.when(block.isNotNull(), block < DIVIDING_BLOCK).otherwise(F.coalesce(street_downtown, F.lit(False)))
+
+
+def accepted(matches: DataFrame, floor: float, ratio: float) -> DataFrame:
+    """Proposed matches (a, b, confidence) with enough confidence and names near enough by weighted distance."""
+    from ..functions.distance import weighted_distance
+
+    near = weighted_distance("a", "b") / F.greatest(F.length("a"), F.length("b"))
+    return matches.where((F.col("confidence") >= floor) & (F.col("a") != "") & (F.col("b") != "")).where(near <= ratio)
+
+
+def _place(kind: str, key: Column) -> Column:
+    return F.when(key.isNotNull(), F.struct(F.lit(kind).alias("kind"), key.alias("key")))
+
+
+def _lot_in(text: Column, pattern: str) -> Column:
+    part = lambda i: F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("int")
+    return F.when(text.rlike(pattern), lot_key(part(1), part(2)))
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+
+def label_place(label: Column, sheet: Column) -> Column:
+    """Struct of kind and key from a folder's label, else from its separator sheet; null for a label that is a person's name."""
+    own = F.coalesce(*(_place("bin", _found(label, p)) for p in LABEL_BUILDING), _place("bbl", _lot_in(label, LABEL_LOT)))
+    other = F.coalesce(_place("bin", _found(sheet, SHEET_BUILDING)), _place("bbl", _lot_in(sheet, SHEET_LOT)))
+    person = ~label.rlike(r"\d") & label.rlike(PERSON)
+    return F.when(F.coalesce(person, F.lit(False)), None).otherwise(F.coalesce(own, other))
+
+
+def folder_table(folders: DataFrame, folder: str, roll: DataFrame | None = None) -> DataFrame:
+    """(folder, kind, key) of folders (label, sheet): label, sheet, then the label's address on the roll; others are left out."""
+    named = folders.withColumn("_p", label_place(F.col("label"), F.col("sheet"))).withColumn("_a", _found(F.col("label"), LABEL_ADDRESS))
+    out = named.where("_p is not null").select(folder, "_p.kind", "_p.key")
+    if roll is None:
+        return out
+    rest = named.where("_p is null and _a is not null").where(T.street_type(T.street(T.after_house_number(F.col("_a")))).isNotNull())
+    found = canonical_addresses(rest.select(F.col("_a").alias("raw"), F.lit(1).alias("n")), roll).where("lot is not null").select(F.col("raw").alias("_a"), F.lit("bbl").alias("kind"), F.col("lot").alias("key"))
+    return out.union(rest.join(found, "_a").select(folder, "kind", "key"))
+
+
+def building_key(text: Column, buildings: Column, lots: Column, addresses: Column) -> Column:
+    """Building number, else block and lot, else an address: one with a location label at most 50 characters ahead before others.
+
+    buildings and lots: arrays of norms in order; addresses: of (start, lot, key) in order.
+    """
+    ahead = lambda a: F.substring(text, F.greatest(F.lit(1), a["start"] - 49), F.least(F.lit(50), a["start"]))
+    labelled = F.filter(addresses, lambda a: ahead(a).rlike(LOCATION))
+    used = F.when(F.size(labelled) > 0, labelled).otherwise(addresses)
+    first = lambda c, f: F.get(F.transform(F.filter(c, lambda a: a[f].isNotNull()), lambda a: a[f]), F.lit(0))
+    parts = F.split(F.get(lots, F.lit(0)), "/")
+    lot = lot_key(F.get(parts, F.lit(0)).cast("int"), F.get(parts, F.lit(1)).cast("int"))
+    return F.coalesce(F.concat(F.lit("bin:"), F.get(buildings, F.lit(0))), F.concat(F.lit("bbl:"), lot), F.concat(F.lit("bbl:"), first(used, "lot")), first(used, "key"))

@@ -162,3 +162,19 @@ def current(inventory: DataFrame, build: str) -> DataFrame:
 def by_release(rows: DataFrame, published: DataFrame, key: str, release: str) -> DataFrame:
     """Rows of a published subset by release; releases without rows have no line."""
     return rows.join(published.select(key), key, "left_semi").groupBy(release).agg(F.countDistinct(key).alias("keys"), F.count("*").alias("n"))
+
+
+def scoped_pages(arms: list[DataFrame], every: DataFrame, key: list[str], most: int = 12) -> DataFrame:
+    """Pages of a place: by the search whose hits they are first (added terms, question, all terms), each by its score; with no hit at all, tested pages first, then by confidence.
+
+    arms: key and score, in order of precedence. every: key, has_test, confidence.
+    """
+    hits = None
+    for i, arm in enumerate(arms):
+        one = arm.join(every.select(*key), key, "left_semi").select(*key, F.lit(i).alias("arm"), "score")
+        hits = one if hits is None else hits.union(one)
+    best = hits.groupBy(*key).agg(F.min(F.struct("arm", (-F.col("score")).alias("s"))).alias("x"))
+    found = best.select(*key, F.col("x.arm").alias("arm"), (-F.col("x.s")).alias("score"))
+    n = found.agg(F.count("*").alias("_n"))
+    rest = every.crossJoin(F.broadcast(n)).where("_n = 0").select(*key, (F.lit(len(arms)) + (~F.coalesce("has_test", F.lit(False))).cast("int")).alias("arm"), F.coalesce("confidence", F.lit(0.0)).alias("score"))
+    return found.union(rest).orderBy("arm", F.desc("score"), *key).limit(most)

@@ -137,3 +137,15 @@ def parents(centres: list[list[float]], most: int = 10) -> list[int]:
         for m in members:
             out[m] = g
     return out
+
+
+def more_like_page(pages: DataFrame, vector: str, key: list[str], of: dict[str, object], allowed: DataFrame, pool: int = 50, checked: int = 30, most: int = 6) -> DataFrame:
+    """V7: the nearest pages of other documents; the best ``checked`` of the pool that are still allowed, then the first ``most``.
+
+    key: document first. allowed: the keys that may be shown.
+    """
+    own = pages.where(" and ".join(f"`{k}` = {v!r}" for k, v in of.items())).select(F.col(vector).alias("_q")).limit(1)
+    other = pages.where(F.col(key[0]) != of[key[0]]).crossJoin(F.broadcast(own))
+    score = F.round(dot(F.col(vector), F.col("_q")), 9)
+    near = other.select(*key, score.alias("score")).orderBy(F.desc("score"), *key).limit(pool)
+    return near.orderBy(F.desc("score"), *key).limit(checked).join(allowed.select(*key), key, "left_semi").orderBy(F.desc("score"), *key).limit(most)

@@ -29,7 +29,7 @@ bm as (select doc_id, sum(ln(1 + (tot.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return X.bm25(table(spark, d, "documents"), "doc_id", "text", QUERY)
+    return X.bm25(table(spark, d, "documents", spread=True), "doc_id", "text", QUERY)
 
 
 @query(f"with {_BM25} select doc_id, round(score, 6) as score from bm order by score desc, doc_id limit 50")
@@ -91,14 +91,14 @@ l as (select s.lang, s.term, round(s / ng - sa / n, 9) lift from s join g on g.l
 select lang, term, lift from r where k <= 8""")
 def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     """Terms by language."""
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     return X.distinctive(X.tfidf(docs, "doc_id", "text"), docs, "doc_id", "lang", 8).select("lang", "term", "lift")
 
 
 @query()
 def best_excerpt(spark: SparkSession, d: str) -> DataFrame:
     """X11."""
-    return table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text"), ["shtion", "ênoi", "mente"], 200).alias("excerpt"))
+    return table(spark, d, "documents", spread=True).select("doc_id", X.excerpt(F.col("text"), ["shtion", "ênoi", "mente"], 200).alias("excerpt"))
 
 
 @query("""
@@ -367,7 +367,7 @@ def screened_titles(spark: SparkSession, d: str) -> DataFrame:
     """Flags of titles made of a document's first words."""
     from ..operators import screening as C
 
-    x = table(spark, d, "documents").select("doc_id", "source", T.clamp_words(F.col("text"), 6).alias("title"), T.clamp_chars(F.col("text")).alias("summary"), "text")
+    x = table(spark, d, "documents", spread=True).select("doc_id", "source", T.clamp_words(F.col("text"), 6).alias("title"), T.clamp_chars(F.col("text")).alias("summary"), "text")
     flags = C.title_flags(F.col("title"), F.col("summary"), F.col("source"), F.lit(0.8), F.substring("text", 1, 400))
     return x.select("doc_id", F.array_join(flags, ",").alias("flags"), C.names_a_person(F.col("title")).alias("personal"))
 
@@ -379,3 +379,31 @@ def topic_treemap(spark: SparkSession, d: str) -> DataFrame:
 
     x = table(spark, d, "documents").groupBy("lang", "source").agg(F.sum("n_chars").cast("double").alias("size"))
     return treemap(x, "lang", "source", "size", 1200.0, 800.0).select("lang", "source", *(F.round(c, 6).alias(c) for c in "xywh"))
+
+
+@query("""
+with f as (select c_custkey, c_custkey % 4 k, 'Block: ' || (c_custkey % 400 + 1) || ' Lot: ' || (c_nationkey + 1) lot, 'BIN: ' || (1000000 + c_custkey) bin from customer)
+select c_custkey, case when k in (0, 1) then 'bin' else 'bbl' end as kind,
+ case when k in (0, 1) then (1000000 + c_custkey)::varchar else '1' || lpad((c_custkey % 400 + 1)::varchar, 5, '0') || lpad(regexp_extract(lot, 'Lot: ([0-9]+)', 1), 4, '0') end as key
+from f where k < 3""")
+def folder_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """Places from labels (building number before block and lot), else from separator sheets; labels that are names have none."""
+    k = F.col("c_custkey") % 4
+    lot = F.concat(F.lit("Block: "), (F.col("c_custkey") % 400 + 1).cast("string"), F.lit(" Lot: "), (F.col("c_nationkey") + 1).cast("string"))
+    number = F.concat(F.lit("BIN: "), (F.lit(1_000_000) + F.col("c_custkey")).cast("string"))
+    label = F.when(k == 0, F.concat_ws(" ", lot, number)).when(k == 1, "misc").when(k == 2, lot).otherwise("Ann Lee")
+    folders = table(spark, d, "customer").select("c_custkey", label.alias("label"), F.when(k.isin(1, 3), number).alias("sheet"))
+    return R.folder_table(folders, "c_custkey")
+
+
+@query("""
+with x as (select l_orderkey as doc, l_linenumber as page, min(case when l_returnflag = 'R' then l_partkey end) b, max((l_returnflag = 'A')::int) c, max((l_returnflag = 'N')::int) m, max((l_linestatus = 'F')::int) d from lineitem where l_orderkey < 3000 group by all)
+select doc, page, 'bin' as kind, b::varchar as key, c = 1 and m = 1 as has_test, round_even((0.4 * (c = 1 and m = 1)::int + 0.15 * d)::double, 2) as confidence from x where b is not null""".replace("round_even((0.4 * (c = 1 and m = 1)::int + 0.15 * d)::double, 2)", "(case when c = 1 and m = 1 then 0.4 else 0.0 end + case when d = 1 then 0.15 else 0.0 end)::double"))
+def page_places(spark: SparkSession, d: str) -> DataFrame:
+    """Place, test flag and confidence of a page from its mentions; no two of these are near."""
+    x = table(spark, d, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), "l_returnflag", "l_linestatus", F.col("l_partkey").cast("string").alias("norm"), (F.col("l_partkey") * 1000).alias("start"))
+    label = F.element_at(F.create_map(F.lit("R"), F.lit("bin"), F.lit("A"), F.lit("contaminant"), F.lit("N"), F.lit("measurement")), F.col("l_returnflag"))
+    one = x.select("doc", "page", F.when(F.col("l_returnflag") == "N", F.col("start") + 500).otherwise(F.col("start")).alias("start"), label.alias("label"), "norm")
+    dates = x.where("l_linestatus = 'F'").select("doc", "page", "start", F.lit("date").alias("label"), "norm")
+    m = one.union(dates).withColumns({"borough": F.lit(None).cast("string"), "address_role": F.lit(None).cast("string")})
+    return R.page_places(m, ["doc", "page"]).select("doc", "page", "kind", "key", "has_test", "confidence")

@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = False) -> DataFrame:
+    """A table by name. spread: a file or few that would keep most cores idle are dealt out evenly.
+
+    For work that is heavy by row; tables of as many files as there are cores are read as they lie.
+    """
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if spread and len(out.inputFiles()) < cores else out
 
 
 def conformed(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -406,3 +406,33 @@ def test_running_total(spark, values):
         upto += v
         want.append((i, upto))
     assert sorted((r["i"], r["upto"]) for r in W.running_total(df, ["i"], "v").collect()) == want
+
+
+def test_boroughs_folders_and_buildings(spark):
+    a = spark.createDataFrame([("59-17", None, False), ("5", None, False), ("5", None, True), ("5-7", "1000380017", False), ("5", None, None)], "h string, lot string, s boolean")
+    assert [r[0] for r in a.select(R.borough(F.col("h"), F.col("lot"), F.col("s"))).collect()] == ["Queens", "Outside Manhattan", "Manhattan", "Manhattan", "Manhattan"]
+    roll = spark.createDataFrame([("1", "Low St", "1000100001", None), ("9", "LOW STREET", "1001950001", None), ("2", "High St", "1000100002", None), ("3", "High St", "1002500002", None)], "house string, street string, lot string, building string")
+    assert rows(R.downtown_streets(roll)) == [("LOW STREET",)]
+    f = spark.createDataFrame([("f1", "12 Oak St Block: 31 Lot: 4 BIN: 1000001", None), ("f2", "Ann Lee", "BIN: 1000002"), ("f3", "box", "B1ock:•38 Lol: 17"), ("f4", "1 Low St  files", None), ("f5", "5 Elsewhere", None), ("f6", None, None), ("f7", "1000003, 10 / 4", None)], "folder string, label string, sheet string")
+    assert rows(R.folder_table(f, "folder", roll)) == [("f1", "bin", "1000001"), ("f3", "bbl", "1000380017"), ("f4", "bbl", "1000100001"), ("f7", "bin", "1000003")]
+    text = "10 Morris Avenue letterhead\nJob Location: 75 Park Place"
+    kind = "t string, b array<string>, l array<string>, a array<struct<start:int,lot:string,key:string>>"
+    p = spark.createDataFrame([(text, [], [], [(0, None, "address:10"), (42, "1000120001", "address:75")]), (text, [], [], [(0, None, "address:10")]), (text, [], ["38/17"], []), (text, ["1000009"], ["38/17"], []), (text, [], [], [])], kind)
+    assert [r[0] for r in p.select(R.building_key(*(F.col(c) for c in "tbla"))).collect()] == ["bbl:1000120001", "address:10", "bbl:1000380017", "bin:1000009", None]
+    m = spark.createDataFrame([("LABETTE", "LAFAYETTE", 0.9), ("WARREN", "WALKER", 0.9), ("A", "A", 0.1), ("", "A", 1.0)], "a string, b string, confidence double")
+    assert rows(R.accepted(m, 0.5, 0.375).select("a")) == [("LABETTE",)]
+
+
+def test_scoped_pages(spark):
+    every = spark.createDataFrame([("a", 1, True, 0.1), ("b", 1, False, 0.9), ("c", 1, True, 0.5)], "doc string, page int, has_test boolean, confidence double")
+    hit = lambda *r: spark.createDataFrame(list(r), "doc string, page int, score double")
+    got = S.scoped_pages([hit(("b", 1, 1.0)), hit(("a", 1, 9.0), ("b", 1, 5.0), ("x", 1, 99.0))], every, ["doc", "page"])
+    assert [r["doc"] for r in got.collect()] == ["b", "a"]
+    none = S.scoped_pages([hit(("x", 1, 1.0))], every, ["doc", "page"])
+    assert [r["doc"] for r in none.collect()] == ["c", "a", "b"]
+
+
+def test_more_like_page(spark):
+    df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [1.0, 0.0]), ("b", 1, [0.9, 0.1]), ("c", 1, [0.0, 1.0]), ("d", 1, [0.8, 0.0])], "doc string, page int, v array<double>")
+    got = V.more_like_page(df, "v", ["doc", "page"], {"doc": "a", "page": 1}, df.where("doc <> 'd'"), most=2)
+    assert [r["doc"] for r in got.collect()] == ["b", "c"]
