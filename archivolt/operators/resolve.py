@@ -214,3 +214,18 @@ def building_key(text: Column, buildings: Column, lots: Column, addresses: Colum
     parts = F.split(F.get(lots, F.lit(0)), "/")
     lot = lot_key(F.get(parts, F.lit(0)).cast("int"), F.get(parts, F.lit(1)).cast("int"))
     return F.coalesce(F.concat(F.lit("bin:"), F.get(buildings, F.lit(0))), F.concat(F.lit("bbl:"), lot), F.concat(F.lit("bbl:"), first(used, "lot")), first(used, "key"))
+
+
+def rederived(old: DataFrame, new: DataFrame, label: str, page: list[str], due_pages: DataFrame) -> DataFrame:
+    """Mentions after one label was derived anew for the pages that are due; other labels and pages stay."""
+    renewed = old.where(F.col("label") == label).join(due_pages.select(*page), page, "left_anti")
+    return old.where(~F.col("label").eqNullSafe(F.lit(label))).unionByName(renewed).unionByName(new.where(F.col("label") == label).join(due_pages.select(*page), page, "left_semi"))
+
+
+def redirects(asked: DataFrame, footprint: DataFrame, with_rows: DataFrame) -> DataFrame:
+    """(key, building) of asked lots whose building itself has rows; of several the smallest.
+
+    asked: key (a lot). footprint: lot, building. with_rows: building.
+    """
+    known = footprint.join(with_rows.select("building").distinct(), "building", "left_semi")
+    return asked.join(known, asked["key"] == known["lot"]).groupBy("key").agg(F.min("building").alias("building"))

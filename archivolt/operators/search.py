@@ -212,3 +212,18 @@ def more_like(weights: DataFrame, key: str, of: object, most_terms: int = 25, mo
     own = weights.where(F.col(key) == of).orderBy(F.desc("weight"), "term").limit(most_terms).select("term", F.col("weight").alias("_w"))
     scored = weights.where(F.col(key) != of).join(F.broadcast(own), "term").groupBy(key).agg(F.round(F.sum(F.col("weight") * F.col("_w")), 9).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(most)
+
+
+def highlighted(text: Column, terms: list[str], size: int = 220, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """One excerpt with the terms marked; everything else is HTML-escaped."""
+    import re
+
+    from ..functions.text import html_escaped
+
+    clean = sorted({t.strip() for t in terms if t.strip()}, key=lambda t: (-len(t), t))
+    piece = html_escaped(excerpt(text, clean, size))
+    if not clean:
+        return piece
+    # Java's replacement text: $0 is the whole match.
+    pattern = "(?i)(?<![A-Za-z0-9&])(?:" + "|".join(re.escape(t) for t in clean) + ")(?![A-Za-z0-9])"
+    return F.regexp_replace(piece, pattern, before + "$0" + after)

@@ -94,3 +94,8 @@ def geojson(places: DataFrame) -> DataFrame:
 def retry_seconds(attempt: Column) -> Column:
     """Backoff before an attempt: 5 s, three times as long each time, 300 s at most."""
     return F.least(F.lit(300.0), 5 * F.pow(F.lit(3.0), attempt - 1))
+
+
+def changed_files(files: DataFrame, packed: DataFrame) -> DataFrame:
+    """Files whose path, size or time differ from what was packed."""
+    return files.join(packed.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")

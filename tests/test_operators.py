@@ -436,3 +436,20 @@ def test_more_like_page(spark):
     df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [1.0, 0.0]), ("b", 1, [0.9, 0.1]), ("c", 1, [0.0, 1.0]), ("d", 1, [0.8, 0.0])], "doc string, page int, v array<double>")
     got = V.more_like_page(df, "v", ["doc", "page"], {"doc": "a", "page": 1}, df.where("doc <> 'd'"), most=2)
     assert [r["doc"] for r in got.collect()] == ["b", "c"]
+
+
+def test_small_steps(spark):
+    from archivolt.sources.sinks import changed_files
+
+    m = spark.createDataFrame([("d", 1, "date", "old"), ("d", 1, "lab", "x"), ("d", 2, "date", "keep")], "doc string, page int, label string, norm string")
+    new = spark.createDataFrame([("d", 1, "date", "new"), ("d", 2, "date", "no"), ("d", 1, "lab", "no")], "doc string, page int, label string, norm string")
+    due = spark.createDataFrame([("d", 1)], "doc string, page int")
+    assert rows(R.rederived(m, new, "date", ["doc", "page"], due).select("page", "label", "norm")) == [(1, "date", "new"), (1, "lab", "x"), (2, "date", "keep")]
+    foot = spark.createDataFrame([("l1", 7), ("l1", 5), ("l2", 9)], "lot string, building int")
+    asked, have = spark.createDataFrame([("l1",), ("l2",)], "key string"), spark.createDataFrame([(7,), (5,)], "building int")
+    assert rows(R.redirects(asked, foot, have)) == [("l1", 5)]
+    t = spark.createDataFrame([("a <b> Dust & dusty lead",)], "t string")
+    assert t.select(X.highlighted(F.col("t"), ["dust", "lead"])).first()[0] == "a &lt;b&gt; <mark>Dust</mark> &amp; dusty <mark>lead</mark>"
+    f = spark.createDataFrame([("a", 1, 5), ("b", 2, 5)], "path string, size int, mtime int")
+    assert rows(changed_files(f, f.where("path = 'a'"))) == [("b", 2, 5)]
+    assert rows(R.due(t.withColumn("k", F.lit(1)), t.select(F.lit(1).alias("k"), F.sha1("t").alias("text_hash"), F.lit(2).alias("version")), ["k"], "t", 2).select("k")) == []
