@@ -43,16 +43,20 @@ SHEET_SAMPLE = r"(?i)Lab\s*Sample\s*#?\s*[:;.]?\s*([A-Za-z0-9-]{1,10})"
 TRUNCATED = r"(?:\.\.\.|…|\b(?:and|or|of|the|with|for))\s*$"
 
 
+#: Three ASCII letters and more, with no letter, digit or underscore of any script beside them.
+WORD = r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"
+
+
 def lexical_quality(text: Column, vocabulary: Column) -> Column:
     """Struct of tokens (three letters and more), good ones (in the vocabulary, an array), unique good ones, ratio, chars."""
-    low = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b([a-z]{3,})\b"), 1)
+    low = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 1)
     good = F.filter(low, lambda w: F.array_contains(vocabulary, w))
     return F.struct(F.size(low).alias("tokens"), F.size(good).alias("good"), F.size(F.array_distinct(good)).alias("unique"), (F.size(good) / F.greatest(F.size(low), F.lit(1))).alias("ratio"), F.length(collapsed(F.coalesce(text, F.lit("")))).alias("chars"))
 
 
 def lexical_rows(pages: DataFrame, keys: list[str], text: str, vocabulary: DataFrame) -> DataFrame:
     """E26 with the vocabulary as a table (word): tokens are joined with it, whatever its size."""
-    low = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b([a-z]{3,})\b"), 1)
+    low = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 1)
     base = pages.select(*keys, low.alias("w"), F.length(collapsed(F.coalesce(text, F.lit("")))).alias("chars"))
     counts = base.select(*keys, F.explode("w").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
     good = counts.join(vocabulary.select("word").distinct(), "word").groupBy(*keys).agg(F.sum("n").alias("good"), F.count("*").alias("unique"))

@@ -84,11 +84,11 @@ _KINDS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
 
 
 @query("""
-with x as (select l_orderkey, count(*) pages, min(l_linenumber) first_page, bool_or(l_returnflag = 'R') tested, min(l_shipdate) d from lineitem where l_partkey < 20 group by all)
+with x as (select l_orderkey, count(*) pages, min(l_linenumber) first_page, bool_or(l_returnflag = 'R') tested, min(l_shipdate) d from lineitem group by all)
 select o_orderkey, coalesce(list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED'], o_orderpriority), 5)::int as kind, pages::bigint pages, first_page, tested, strftime(d, '%Y-%m-%d') as day from x join orders on o_orderkey = l_orderkey""")
 def building_documents(spark: SparkSession, d: str) -> DataFrame:
-    """A place's documents: a fold of its pages, and the type's place in a fixed order, unknown ones last."""
-    x = table(spark, d, "lineitem").where("l_partkey < 20").groupBy("l_orderkey").agg(F.count("*").alias("pages"), F.min("l_linenumber").alias("first_page"), F.bool_or(F.col("l_returnflag") == "R").alias("tested"), F.min("l_shipdate").alias("d"))
+    """Places' documents: a fold of its pages, and the type's place in a fixed order, unknown ones last."""
+    x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("pages"), F.min("l_linenumber").alias("first_page"), F.bool_or(F.col("l_returnflag") == "R").alias("tested"), F.min("l_shipdate").alias("d"))
     at = F.array_position(F.array(*map(F.lit, _KINDS)), F.col("o_orderpriority")).cast("int")
     out = x.join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     return out.select("o_orderkey", F.when(at > 0, at).otherwise(5).alias("kind"), "pages", "first_page", "tested", F.date_format("d", "yyyy-MM-dd").alias("day"))
@@ -140,11 +140,11 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with l as (select l_orderkey k, min(l_suppkey) lab from lineitem group by all)
-select o_orderkey, upper(substr(c_name, 1, 1)) || lower(substr(c_name, 2)) as name, coalesce(nullif(trim(o_orderpriority), '5-LOW'), 'none') as label, lab from orders join customer on c_custkey = o_custkey left join l on k = o_orderkey where o_orderkey < 2000""")
+select o_orderkey, upper(substr(c_name, 1, 1)) || lower(substr(c_name, 2)) as name, coalesce(nullif(trim(o_orderpriority), '5-LOW'), 'none') as label, lab from orders join customer on c_custkey = o_custkey left join l on k = o_orderkey""")
 def labelled_documents(spark: SparkSession, d: str) -> DataFrame:
     """E34, §2.8: preferred labels and title case."""
     l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("lab"))
-    x = table(spark, d, "orders").where("o_orderkey < 2000").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    x = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return x.select("o_orderkey", T.title_case(F.col("c_name")).alias("name"), R.preferred_label(F.nullif("o_orderpriority", F.lit("5-LOW")), F.lit("none")).alias("label"), "lab")
 
 
@@ -204,14 +204,14 @@ def relaxed_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with w as (select p_partkey k, unnest(string_split(p_name, ' ')) term, p_size::double weight from part where p_partkey < 300),
+with w as (select p_partkey k, unnest(string_split(p_name, ' ')) term, p_size::double weight from part),
 u as (select k, term, max(weight) weight from w group by all), o as (select term, weight w from u where k = 5 order by weight desc, term limit 25)
 select k, round(sum(weight * w), 9) as score from u join o using (term) where k <> 5 group by k order by score desc, k limit 10""")
 def more_like_this(spark: SparkSession, d: str) -> DataFrame:
     """X12, on words weighted by size."""
     from ..operators.search import more_like
 
-    w = table(spark, d, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("k"), F.explode(F.split("p_name", " ")).alias("term"), F.col("p_size").cast("double").alias("weight"))
+    w = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.explode(F.split("p_name", " ")).alias("term"), F.col("p_size").cast("double").alias("weight"))
     return more_like(w.groupBy("k", "term").agg(F.max("weight").alias("weight")), "k", 5)
 
 

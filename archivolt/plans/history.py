@@ -1,7 +1,7 @@
 """Catalog versions, folds, queues and streams on the test tables.
 
-Snapshots of a catalog are made from orders: A leaves out every eleventh key, B every
-seventh and has other prices and priorities for some, C is orders as it is.
+Snapshots of a catalog are made from orders: A has the older ones, B leaves out those of
+status F and has other prices and priorities for some, C is orders as it is.
 """
 
 from __future__ import annotations
@@ -20,16 +20,16 @@ from .registry import query
 
 FIELDS = ["o_custkey", "o_orderpriority", "price"]
 _SNAPSHOTS = """
-a as (select o_orderkey, o_custkey, nullif(o_orderpriority, '5-LOW') o_orderpriority, floor(o_totalprice)::bigint price from orders where o_orderkey % 11 <> 0),
-b as (select o_orderkey, o_custkey, case when o_orderkey % 13 = 0 then '1-URGENT' else nullif(o_orderpriority, '5-LOW') end o_orderpriority, (floor(o_totalprice) + case when o_orderkey % 17 = 0 then 1 else 0 end)::bigint price from orders where o_orderkey % 7 <> 0),
+a as (select o_orderkey, o_custkey, nullif(o_orderpriority, '5-LOW') o_orderpriority, floor(o_totalprice)::bigint price from orders where o_orderdate < date '2000-01-01'),
+b as (select o_orderkey, o_custkey, case when o_orderpriority = '2-HIGH' then '1-URGENT' else nullif(o_orderpriority, '5-LOW') end o_orderpriority, (floor(o_totalprice) + case when o_totalprice > 200000 then 1 else 0 end)::bigint price from orders where o_orderstatus <> 'F'),
 c as (select o_orderkey, o_custkey, nullif(o_orderpriority, '5-LOW') o_orderpriority, floor(o_totalprice)::bigint price from orders)"""
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"), F.floor("o_totalprice").alias("price"))
-    k = F.col("o_orderkey")
-    b = o.where(k % 7 != 0).withColumns({"o_orderpriority": F.when(k % 13 == 0, "1-URGENT").otherwise(F.col("o_orderpriority")), "price": F.col("price") + (k % 17 == 0).cast("int")})
-    return o.where(k % 11 != 0), b, o
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice", "o_custkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"), F.floor("o_totalprice").alias("price"))
+    b = o.where("o_orderstatus <> 'F'").withColumns({"o_orderpriority": F.when(F.col("o_orderpriority") == "2-HIGH", "1-URGENT").otherwise(F.col("o_orderpriority")), "price": F.col("price") + (F.col("o_totalprice") > 200000).cast("int")})
+    own = ["o_orderkey", *FIELDS]
+    return o.where("o_orderdate < date '2000-01-01'").select(own), b.select(own), o.select(own)
 
 
 @query(f"""
@@ -92,12 +92,12 @@ def change_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with s as (select 's1' as snapshot, count(*) n from orders union all select 's2', count(*) filter (o_orderkey % 10 <> 0) from orders union all select 's3', count(*) filter (o_orderkey % 30 <> 0) from orders),
+with s as (select 's1' as snapshot, count(*) n from orders union all select 's2', count(*) filter (o_orderpriority <> '5-LOW') from orders union all select 's3', count(*) filter (o_totalprice > 5000) from orders),
 r as (select snapshot, n::bigint documents, (select n from s where snapshot = 's1') base from s)
 select snapshot, documents, case when snapshot <> 's1' and documents < base * 0.95 then 'fell from ' || base || ' to ' || documents else '' end as reasons from r""")
 def quarantine(spark: SparkSession, d: str) -> DataFrame:
     """O3: each snapshot against the last accepted one."""
-    o = table(spark, d, "orders").agg(F.count("*").alias("s1"), F.count_if(F.col("o_orderkey") % 10 != 0).alias("s2"), F.count_if(F.col("o_orderkey") % 30 != 0).alias("s3"))
+    o = table(spark, d, "orders").agg(F.count("*").alias("s1"), F.count_if(F.col("o_orderpriority") != "5-LOW").alias("s2"), F.count_if(F.col("o_totalprice") > 5000).alias("s3"))
     stats = o.select(F.explode(F.array(*(F.struct(F.lit(s).alias("snapshot"), F.col(s).alias("documents"), F.lit(0).cast("long").alias("duplicates")) for s in ("s1", "s2", "s3")))).alias("x")).select("x.*")
     return V.quarantine(stats).select("snapshot", "documents", F.array_join("reasons", "; ").alias("reasons"))
 
@@ -151,39 +151,39 @@ def boost_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with c as (select l_partkey as k, l_suppkey % 4 as g, l_linenumber * 1000000 + l_orderkey as r from lineitem where l_orderkey < 3000),
+with c as (select l_partkey as k, l_suppkey % 4 as g, l_linenumber * 1000000 + l_orderkey as r from lineitem),
 o as (select *, row_number() over (partition by k order by g, r) n from c), b as (select k, g, r, row_number() over (partition by g order by r, k) n from o where o.n = 1)
 select k, g, r from b where n <= 25""")
 def claimed_once(spark: SparkSession, d: str) -> DataFrame:
     """O13, W9."""
-    c = table(spark, d, "lineitem").where("l_orderkey < 3000").select(F.col("l_partkey").alias("k"), (F.col("l_suppkey") % 4).alias("g"), (F.col("l_linenumber") * 1_000_000 + F.col("l_orderkey")).alias("r"))
+    c = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), (F.col("l_suppkey") % 4).alias("g"), (F.col("l_linenumber") * 1_000_000 + F.col("l_orderkey")).alias("r"))
     return S.claimed(c, "k", "g", "r", 25)
 
 
 @query("""
-with p as (select doc_id, len(string_split(text, chr(10))) n from documents), s as (select doc_id, 1 + doc_id % 40 as page, 'ok' as status from documents where doc_id % 3 = 0),
+with p as (select doc_id, len(string_split(text, chr(10))) n from documents), s as (select doc_id, 1 + doc_id % 40 as page, 'ok' as status from documents where lang = 'en'),
 u as (select doc_id, unnest(generate_series(1, n)) page from p union select doc_id, page from s)
 select u.doc_id, u.page::int as page, status, u.page <= n as image_ready from u join p on p.doc_id = u.doc_id left join s on s.doc_id = u.doc_id and s.page = u.page""")
 def page_universe(spark: SparkSession, d: str) -> DataFrame:
     """O32."""
     docs = table(spark, d, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
-    pages = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", (1 + F.col("doc_id") % 40).cast("int").alias("page"), F.lit("ok").alias("status"))
+    pages = table(spark, d, "documents").where("lang = 'en'").select("doc_id", (1 + F.col("doc_id") % 40).cast("int").alias("page"), F.lit("ok").alias("status"))
     return S.page_universe(docs, pages, "doc_id", "n")
 
 
 @query("""
-with w as (select doc_id, md5(text) as hash from documents), p as (select doc_id, case when doc_id % 5 = 0 then 'old' else md5(text) end h, case when doc_id % 4 > 0 then 'r' || doc_id end r from documents where doc_id % 6 > 0),
-c as (select md5(text) h, min('c' || doc_id) r from documents where doc_id % 9 = 0 group by all)
+with w as (select doc_id, md5(text) as hash from documents), p as (select doc_id, case when doc_id % 5 = 0 then 'old' else md5(text) end h, case when doc_id % 4 > 0 then 'r' || doc_id end r from documents where lang <> 'de'),
+c as (select md5(text) h, min('c' || doc_id) r from documents where lang = 'fr' group by all)
 select w.doc_id, w.hash, case when p.h = w.hash and p.r is not null then p.r else coalesce(c.r, p.r) end as result,
  case when p.h = w.hash and p.r is not null then 'kept' when c.r is not null then 'cache' when p.h is null then 'new' else 'again' end as source
 from w left join p on p.doc_id = w.doc_id left join c on c.h = w.hash""")
 def three_tier_reuse(spark: SparkSession, d: str) -> DataFrame:
     """O24, O31."""
-    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("hash"))
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("hash"), "lang")
     k = F.col("doc_id")
-    p = docs.where(k % 6 > 0).select("doc_id", F.when(k % 5 == 0, "old").otherwise(F.col("hash")).alias("hash"), F.when(k % 4 > 0, F.concat(F.lit("r"), k.cast("string"))).alias("result"))
-    c = docs.where(k % 9 == 0).select("hash", F.concat(F.lit("c"), k.cast("string")).alias("result"))
-    return S.reused(docs, p, c, "doc_id")
+    p = docs.where("lang <> 'de'").select("doc_id", F.when(k % 5 == 0, "old").otherwise(F.col("hash")).alias("hash"), F.when(k % 4 > 0, F.concat(F.lit("r"), k.cast("string"))).alias("result"))
+    c = docs.where("lang = 'fr'").select("hash", F.concat(F.lit("c"), k.cast("string")).alias("result"))
+    return S.reused(docs.select("doc_id", "hash"), p, c, "doc_id")
 
 
 @query("select strftime(ts, '%Y-%m-%d') as day, event_type, count(*)::bigint n from events group by all")
