@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Shared
+
 K1, B = 1.2, 0.75
 # Stop words of the analyser, and the wider list for questions.
 STOP_WORDS = (
@@ -38,16 +40,15 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(df: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     """(key, score) of rows with any of the terms; idf = ln(1 + (n - df + .5) / (df + .5)).
 
-    One scan: a row's counts of the query's terms are array expressions, so nothing but
-    the rows that match and one row of totals is shuffled. Rows without tokens count
-    neither for n nor for the mean length.
+    One scan: what is kept of a row is its number of tokens and those of the query, a table
+    that is small against the texts; totals and scores are read from it, and only one row of
+    totals is shuffled. Rows without tokens count neither for n nor for the mean length.
     """
     terms = sorted({w.lower() for w in query})
     t = df.select(F.col(key), tokens(F.col(text)).alias("t"))
-    # One pass over the tokens keeps the query's; their counts are then of short arrays.
-    hits = t.select(key, F.size("t").alias("len"), F.filter("t", lambda x: x.isin(*terms)).alias("q")).where("len > 0")
+    hits = Shared(df.sparkSession).keep(t.select(key, F.size("t").alias("len"), F.filter("t", lambda x: x.isin(*terms)).alias("q")))
     tf = [(F.size("q") - F.size(F.array_remove("q", F.lit(w)))).alias(f"tf{i}") for i, w in enumerate(terms)]
-    rows = hits.select(key, "len", *tf)
+    rows = hits.where("len > 0").select(key, "len", *tf)
     totals = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     joined = rows.where(sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(F.broadcast(totals))
     def part(i: int) -> Column:

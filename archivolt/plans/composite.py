@@ -19,14 +19,21 @@ with x as (select l_suppkey s, l_partkey p, l_orderkey o, l_linenumber n, l_quan
 select s as place, s_name as label, count(distinct o)::bigint docs, count(*)::bigint pages, count(distinct (o, n)) filter (t)::bigint tests, count(distinct p)::bigint substances, min(d) first_date, max(d) last_date, (array_agg(o order by q desc, o, n))[1] rep_doc
 from x join supplier on s_suppkey = s group by all""")
 def map_places(spark: SparkSession, d: str) -> DataFrame:
-    """Map: one aggregate over the joins; a filtered count and a representative beside the plain ones."""
+    """Map: documents are folded first, so that no distinct count multiplies the rows; substances are counted beside."""
     o = table(spark, d, "orders").withColumn("status", F.nullif("o_orderstatus", F.lit("P"))).where(P.active(F.col("status"), "F")).select("o_orderkey")
-    x = table(spark, d, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    day, page = F.date_format("l_shipdate", "yyyy-MM-dd"), F.struct("l_orderkey", "l_linenumber")
-    return x.groupBy(F.col("s_suppkey").alias("place"), F.col("s_name").alias("label")).agg(
-        F.countDistinct("l_orderkey").alias("docs"), F.count("*").alias("pages"), F.countDistinct(F.when(F.col("l_returnflag") == "R", page)).alias("tests"),
-        F.countDistinct("l_partkey").alias("substances"), F.min(day).alias("first_date"), F.max(day).alias("last_date"), A.best(F.col("l_orderkey"), A.descending(F.col("l_quantity")), F.col("l_orderkey"), F.col("l_linenumber")).alias("rep_doc"),
+    x = table(spark, d, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey"))
+    rep = F.struct((-F.col("l_quantity")).alias("q"), "l_orderkey", "l_linenumber")
+    docs = x.groupBy("l_suppkey", "l_orderkey").agg(
+        F.count("*").alias("n"), F.size(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")))).alias("tests"),
+        F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"), F.min(rep).alias("rep"),
     )
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    places = docs.groupBy("l_suppkey").agg(
+        F.count("*").alias("docs"), F.sum("n").alias("pages"), F.sum("tests").alias("tests"), day(F.min("lo")).alias("first_date"), day(F.max("hi")).alias("last_date"), F.min("rep")["l_orderkey"].alias("rep_doc")
+    )
+    substances = x.select("l_suppkey", "l_partkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("substances"))
+    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("label"))
+    return places.join(substances, "l_suppkey").join(names, "l_suppkey").withColumnRenamed("l_suppkey", "place")
 
 
 @query("""

@@ -39,12 +39,12 @@ select p_partkey, p_name, count(distinct l_orderkey)::bigint doc_count, count(*)
 from x group by all order by page_count desc, p_partkey limit 500""")
 def buildings_by_substance(spark: SparkSession, d: str) -> DataFrame:
     """Q1: active documents, array filter, half-open dates, representative page, most pages first, 500 at most."""
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
     lines = table(spark, d, "lineitem").where("l_shipdate >= date '1996-01-01' and l_shipdate < date '2000-01-01'")
     parts = table(spark, d, "part").where(F.array_contains(F.split("p_name", " "), "small")).select("p_partkey", "p_name")
-    x = lines.join(parts, lines.l_partkey == parts.p_partkey).join(_live(spark, d), F.col("o_orderkey") == F.col("l_orderkey")).withColumn("d", day)
+    x = lines.join(parts, lines.l_partkey == parts.p_partkey).join(_live(spark, d), F.col("o_orderkey") == F.col("l_orderkey"))
     rep = A.best(F.struct("l_orderkey", "l_linenumber"), A.descending(F.col("l_quantity")), F.col("l_orderkey"), F.col("l_linenumber"))
-    g = x.groupBy("p_partkey", "p_name").agg(F.countDistinct("l_orderkey").alias("doc_count"), F.count("*").alias("page_count"), F.min("d").alias("first_date"), F.max("d").alias("last_date"), rep.alias("rep"))
+    g = x.groupBy("p_partkey", "p_name").agg(F.countDistinct("l_orderkey").alias("doc_count"), F.count("*").alias("page_count"), day(F.min("l_shipdate")).alias("first_date"), day(F.max("l_shipdate")).alias("last_date"), rep.alias("rep"))
     return W.page(g.select("p_partkey", "p_name", "doc_count", "page_count", "first_date", "last_date", F.col("rep.l_orderkey").alias("rep_doc"), F.col("rep.l_linenumber").alias("rep_page")), [F.desc("page_count"), F.asc("p_partkey")], 500)
 
 
