@@ -28,7 +28,7 @@ from .base import columns, slices, texts
 
 SPACE = "▁"
 #: Chunks, and pairs of pieces, that a worker remembers; both start anew when full.
-KEEP_CHUNKS, KEEP_PAIRS = 400_000, 1_000_000
+KEEP_CHUNKS, KEEP_PAIRS = 300_000, 500_000
 #: Letters and marks between which chunks end, if no piece has a letter with a mark after it.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!\"#$%&'()*+,./:;<=>?@\\[\\]^_`{|}~-"
 
