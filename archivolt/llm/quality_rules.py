@@ -20,6 +20,7 @@ from .base import Shared, columns
 #: Growth from bucket to bucket; smallest value with a bucket of its own.
 G, SMALLEST = 1.05, 1e-4
 #: A rate is refused above q75 + SPREAD * (q75 - q25) + SLACK of its group.
+#: Where both quartiles are 0, as those of the first three rates on the test tables, SLACK alone is the cutoff.
 SPREAD, SLACK = 3.0, {"symbol_rate": 0.04, "repeat_rate": 0.30, "dup_line_rate": 0.45, "word_length": 6.0}
 #: Groups of fewer documents take the fences of their language, then those of all.
 LEAST_ROWS = 100
