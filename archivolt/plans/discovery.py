@@ -204,6 +204,16 @@ def text_selection(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", ours.alias("ours"), F.md5(text).alias("digest"))
 
 
+@query()
+def whole_text_selection(spark: SparkSession, d: str) -> DataFrame:
+    """A document's whole text or that of the page of the same number; its label is the acceptance, none leaves it open."""
+    page = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), T.html_text(F.col("html")).alias("c"))
+    label = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("a"))
+    x = table(spark, d, "documents").select("doc_id", F.col("text").alias("o")).join(page, "doc_id", "left").join(label, "doc_id", "left")
+    text, ours = E.chosen_text(F.col("o"), F.col("c"), F.col("a"))
+    return x.select("doc_id", ours.alias("ours"), F.md5(text).alias("digest"))
+
+
 @query("""
 select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+'))::int as n_mail, len(regexp_extract_all(text, '[0-9]+\\.[0-9]+'))::int as n_decimal, len(regexp_extract_all(lower(text), '\\b(the|des|und|los)\\b'))::int as n_listed from documents""")
 def pii_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -257,6 +267,16 @@ def doc_type_cascade(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", kind.alias("x")).select("doc_id", "x.doc_type", "x.confidence")
 
 
+@query()
+def whole_text_types(spark: SparkSession, d: str) -> DataFrame:
+    """E9 on the whole text of every document; form feeds part its pages."""
+    t = F.coalesce("text", F.lit(""))
+    # The texts are columns of a step before, so that the rules do not make them anew.
+    x = table(spark, d, "documents", spread=True).select("doc_id", F.split(t, "\f").alias("pages"), F.replace(t, F.lit("\f"), F.lit("\n")).alias("full"))
+    x = x.select("doc_id", F.element_at("pages", 1).alias("first"), "full", F.size("pages").alias("n"))
+    return x.select("doc_id", E.doc_type(F.col("first"), F.col("full"), F.col("n")).alias("x")).select("doc_id", "x.doc_type", "x.confidence")
+
+
 @query()
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     """§2.8: text of pages."""
