@@ -2,7 +2,8 @@
 
 Base kinds are email, ip, card and phone. On top, the method adds kinds of its own:
 ``iban`` (mod-97), and ``national_phone`` and ``national_id``, whose form alone is weak and
-which count only with a context word close by. Added spans never overlap base ones.
+which count only with a context word close by. Added spans never overlap base ones, save
+that a confirmed IBAN stands beside a card found among its digits.
 """
 
 from __future__ import annotations
@@ -38,13 +39,24 @@ WORDS = {
 }
 _NEAR = {k: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, w)) + r")(?!\w)", re.I) for k, w in WORDS.items()}
 
+# Characters of an IBAN by country, of the public register.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23,
+    "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28,
+    "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # Digits are taken whole and never given back: what must follow them is no digit.
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}")
 _NATIONAL = re.compile(r"(?<![\w+.-])\(?0?[1-9][0-9]{1,3}\)?[ /.-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w.-])")
 _ID = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _NO_DIGIT = re.compile(r"[^0-9]+")
@@ -63,6 +75,29 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that mod-97 confirms and that end where no letter or digit follows.
+
+    A country of the register has its length; for another each end is tried, the longest
+    first. The scan goes on after a span, and after the head of what is none.
+    """
+    m = _IBAN.search(text)
+    while m:
+        at = m.end()
+        rest = _IBAN_REST.match(text, at)
+        if rest:
+            ends = [i + 1 for i in range(at, rest.end()) if text[i] != " "]
+            n = IBAN_LENGTH.get(m.group()[:2])
+            ends = ends[n - 5 : n - 4] if n else ends[:9:-1]
+            for end in ends:
+                follows = text[end : end + 1]
+                if not (follows.isascii() and follows.isalnum()) and mod97(text[m.start() : end]):
+                    yield m.start(), end
+                    at = end
+                    break
+        m = _IBAN.search(text, at)
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Spans of the email pattern, found from each @ so that long runs cost no more than their length."""
     free = 0
@@ -100,15 +135,15 @@ def score(text: str, kind: str, start: int) -> float:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Further spans that reach NEEDED; none overlaps a base span or an earlier kind."""
-    found = [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m.group())]
+    """Further spans that reach NEEDED; none overlaps a base span or an earlier kind, save that an IBAN may overlap a card."""
+    found = [("iban", s, e) for s, e in ibans(text)]
     found += [("national_phone", m.start(), m.end()) for m in _NATIONAL.finditer(text)]
     found += [("national_id", m.start(), m.end()) for m in _ID.finditer(text)]
     out: list[tuple[str, int, int]] = []
-    taken = sorted((s, e) for _, s, e in base)
+    taken = list(base)
     for span in (x for x in found if score(text, x[0], x[1]) >= NEEDED):
-        if all(e <= span[1] or s >= span[2] for s, e in taken):
-            taken.append(span[1:])
+        if all(e <= span[1] or s >= span[2] or (k == "card" and span[0] == "iban") for k, s, e in taken):
+            taken.append(span)
             out.append(span)
     return out
 

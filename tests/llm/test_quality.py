@@ -140,6 +140,34 @@ def test_checks_and_context():
     assert D.score("call +1 555 123 4567", "phone", 5) > D.score("xxxx +1 555 123 4567", "phone", 5)
 
 
+IBANS = {"DE": "DE89370400440532013000", "GB": "GB29NWBK60161331926819", "NO": "NO9386011117947", "BE": "BE68539007547034", "FR": "FR1420041010050500013M02606"}
+
+
+@pytest.mark.parametrize("own", IBANS.values())
+@pytest.mark.parametrize("after", [" BIC COBADEFFXXX", " OR call", " 2024-05-01", " X", "", ".", " é", " GB29 NWBK 6016 1331 9268 19"])
+def test_ibans_with_anything_after_them(own, after):
+    for form in (own, " ".join(own[i : i + 4] for i in range(0, len(own), 4))):
+        text = f"AB12 IBAN {form}{after}"
+        got = [text[s:e] for s, e in D.ibans(text)]
+        assert got == [form] + [after[1:]] * after.startswith(" GB")
+        assert [text[s:e] for k, s, e in D.added_spans(text, D.base_spans(text)) if k == "iban"] == got
+
+
+def test_ibans_that_are_none():
+    assert not list(D.ibans("DE89370400440532013000X DE88370400440532013000 DE8937040044053201300 DE89"))
+    other = "ZZ00" + "123456789012"
+    other = next(o for o in (f"ZZ{i:02}{other[4:]}" for i in range(2, 99)) if D.mod97(o))
+    assert [e - s for s, e in D.ibans(f"{other} BIC AND MORE")] == [16]
+
+
+def test_an_iban_stands_beside_a_card():
+    check = lambda bban: 98 - int(f"{bban}111400") % 97
+    own = next(x for x in (f"BE{check(b):02}{b}" for b in map(str, range(539007547034, 539007548034))) if luhn(x[2:]))
+    base = D.base_spans(own)
+    assert [k for k, *_ in base] == ["card"] and D.added_spans(own, base) == [("iban", 0, 16)]
+    assert D.redacted(own, base + D.added_spans(own, base)) == "[iban]"
+
+
 def test_long_runs_take_linear_time():
     import time
 
