@@ -262,7 +262,7 @@ def doc_type_cascade(spark: SparkSession, d: str) -> DataFrame:
     """E9."""
     k = F.col("doc_id") % 6
     t = F.when(k == 0, "Chain of custody record").when(k == 1, "Invoice no. 12").when(k == 2, "From: A\nTo: B").when(k == 3, "Dear Sir").when(k == 4, "Laboratory report; sample id: 4").otherwise(F.substring("text", 1, 30))
-    x = table(spark, d, "documents").select("doc_id", t.alias("t"))
+    x = table(spark, d, "documents").select("doc_id", E.without_watermark(t).alias("t"))
     kind = E.doc_type(F.col("t"), F.col("t"), F.lit(1))
     return x.select("doc_id", kind.alias("x")).select("doc_id", "x.doc_type", "x.confidence")
 
@@ -270,11 +270,12 @@ def doc_type_cascade(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def whole_text_types(spark: SparkSession, d: str) -> DataFrame:
     """E9 on the whole text of every document; form feeds part its pages."""
-    t = F.coalesce("text", F.lit(""))
+    t = E.without_watermark(F.coalesce("text", F.lit("")))
     # The texts are columns of a step before, so that the rules do not make them anew.
-    x = table(spark, d, "documents", spread=True).select("doc_id", F.split(t, "\f").alias("pages"), F.replace(t, F.lit("\f"), F.lit("\n")).alias("full"))
+    x = table(spark, d, "documents", spread=True).select("doc_id", t.alias("t"))
+    x = x.select("doc_id", F.split("t", "\f").alias("pages"), F.replace("t", F.lit("\f"), F.lit("\n")).alias("full"))
     x = x.select("doc_id", F.element_at("pages", 1).alias("first"), "full", F.size("pages").alias("n"))
-    return x.select("doc_id", E.doc_type(F.col("first"), F.col("full"), F.col("n")).alias("x")).select("doc_id", "x.doc_type", "x.confidence")
+    return x.select("doc_id", E.doc_type(F.col("first"), F.col("full"), F.col("n"), reason=True).alias("x")).select("doc_id", "x.*")
 
 
 @query()

@@ -48,6 +48,25 @@ def test_types_see_whole_texts(spark, tmp_path):
     assert got == {i: want for i, (_, want) in TEXTS.items()} == {i: rule(t) for i, (t, _) in TEXTS.items()}
 
 
+SHEET = "TEM Asbestos (air) Count Sheet\nGrid Opening 3\nLab Group: 2\nf/cc"
+REASONS = {
+    1: (SHEET, "lab_count_sheet", "TEM asbestos count sheet heading with grid/filter/lab-group fields"),
+    2: (SHEET + "\f2", "lab_count_sheet", "TEM asbestos count sheet heading with grid/filter/lab-group fields"),
+    3: (SHEET + "\f2\f3", "lab_report", "analytical-report signals: f/cc or fibers/cc"),
+    4: (SHEET.replace("Lab Group", "Grid Box"), "lab_report", "analytical-report signals: f/cc or fibers/cc"),
+    5: ("Amount\ndue", "invoice", "invoice header vocabulary ('Amount\\ndue')"),
+    6: ("Laboratory Results\nLab ID: 3\nDate of analysis: x", "lab_report", "lab report heading with labelled fields: laboratory ID, analysis date"),
+    7: ("NYC 9/11 Public Portal Document To: B", "memo_letter", "a single From:/To:/Re:/Dear header line"),
+    8: ("[ ] [] \u2610", "form", "structured form heuristic: 3 checkbox marks, 0 numbered fields"), 9: ("x", "other", "no rule matched"),
+}
+
+
+def test_count_sheets_reasons_and_the_watermark(spark, tmp_path):
+    spark.createDataFrame([(i, x[0]) for i, x in REASONS.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["doc_type"], r["reason"]) for r in QUERIES["whole_text_types"](spark, str(tmp_path)).collect()}
+    assert got == {i: x[1:] for i, x in REASONS.items()}
+
+
 @pytest.mark.parametrize("d", [SMALL, SMALL.replace("sf0.001", "sf0.01")])
 def test_types_as_by_brute_force(spark, d):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
