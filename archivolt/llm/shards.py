@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .base import Shared, columns
 
+#: What counts as a token: a run without white space, or a letter of a script that is written without blanks.
+_SOLID = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+WORD = rf"[{_SOLID}]|[^\p{{IsWhite_Space}}{_SOLID}]+"
 #: A group above 1/LARGE_PARTS of a shard in any dimension is an item of its own.
 LARGE_PARTS = 16
 #: Bundles by level and shard; a bundle of a level has about 1/FALL of the hashes of one of the level before.
@@ -54,7 +57,7 @@ def shard(docs: DataFrame, *, shards: int = 24, overhead: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     size: UTF-8 bytes of the text (null: none) plus overhead. The law is ``bytes``:
-    sizes of shards are near equal; so are tokens (white-space words) and rows, as far
+    sizes of shards are near equal; so are tokens (words by ``WORD``, none in an empty text) and rows, as far
     as the groups allow. Equal texts share a shard, but a group above a shard's even
     share in some dimension is split by rows into parts of at most half of one. slot
     counts the rows of a shard from 0 by doc_id, nulls first; repeated ids get
@@ -74,7 +77,7 @@ def shard(docs: DataFrame, *, shards: int = 24, overhead: int = 8) -> DataFrame:
             (F.octet_length(text) + overhead).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("h"),
-            (F.length(text) - F.length(F.translate(text, " \t\n", "")) + F.lit(1)).cast("long").alias("tokens"),
+            F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
         )
     )
     totals = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()

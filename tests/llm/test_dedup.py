@@ -239,3 +239,13 @@ def test_pack_puts_items_where_most_room_is():
     got = pack([(0, (5.0, 1.0)), (1, (4.0, 1.0)), (2, (3.0, 1.0)), (3, (2.0, 1.0))], 2, (1.0, 1.0))
     assert got[0] == got[3] != got[1] == got[2]
     assert pack([], 3) == {}
+
+
+def test_tokens_are_words(spark):
+    from pyspark.sql import functions as F
+
+    from archivolt.llm.shards import WORD
+
+    want = {"": 0, " \n\t ": 0, "one": 1, "  two   words ": 2, "a\x0bb\x0cc\rd": 4, "a\u3000b\xa0c": 3, "\u6f22\u5b57\u304b": 3, "abc\u6f22 d": 3, "\xe9t\xe9 \ud55c\uad6d\uc5b4": 2}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", F.regexp_count("t", F.lit(WORD)).alias("n")).collect()} == want
