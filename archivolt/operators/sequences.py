@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..sources.shared import Shared
 from .windows import running_total
 
 
@@ -71,18 +72,26 @@ def within_budget(rows: DataFrame, order: list[str], cost: str, budget: int) ->
     return running_total(rows, order, cost, "_upto").where(F.col("_upto") <= budget).drop("_upto")
 
 
-def roots(edges: DataFrame, node: str, parent: str, depth: int = 25) -> DataFrame:
-    """(node, root, depth) by pointer doubling: about log2(depth) joins; a cycle ends at ``depth``.
+def roots(edges: DataFrame, node: str, parent: str, depth: int = 25, *, capped: bool = False) -> DataFrame:
+    """(node, root, depth) by pointer doubling until nothing moves: about log2 of the longest chain joins.
 
-    edges: node and parent, null for a root. A parent that is no node is the root.
+    edges: node and parent, null for a root. A parent that is no node is the root. No chain
+    is longer than there are nodes; what moves beyond is on a cycle or leads to one, and gets
+    a node of the cycle and ``depth``. capped: O15, no depth above ``depth``.
     """
-    now = edges.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"))
-    reach = 1
-    while reach < depth:
+    shared = Shared(edges.sparkSession)
+    now = shared.keep(edges.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"), F.lit(True).alias("moves")))
+    n, reach = now.count(), 1
+    while True:
         above = now.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
-        now = now.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        more = F.coalesce("more", F.lit(0))
+        last, now = now, shared.keep(now.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.col("depth") + more).alias("depth"), (more > 0).alias("moves")))
+        shared.drop(last)
+        if reach >= n or now.where("moves").isEmpty():
+            break
         reach *= 2
-    return now.select("node", F.col("up").alias("root"), F.least("depth", F.lit(depth)).alias("depth"))
+    own = F.least("depth", F.lit(depth)) if capped else F.col("depth")
+    return now.select("node", F.col("up").alias("root"), F.when(F.col("moves"), depth).otherwise(own).alias("depth"))
 
 
 def claimed(candidates: DataFrame, key: str, group: str, rank: str, quota: int) -> DataFrame:

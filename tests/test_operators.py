@@ -313,6 +313,15 @@ def test_roots_stop_at_cycles(spark):
     assert [got[i] for i in (1, 2, 3, 4, 7)] == [(1, 0), (1, 1), (1, 2), (1, 3), (99, 1)] and got[8][1] == 25
 
 
+def test_roots_of_long_chains(spark):
+    df = spark.createDataFrame([(i, i - 1 if i else None) for i in range(71)] + [(100 + i, 100 + (i + 1) % 3) for i in range(3)] + [(200, 100)], "n long, p long")
+    got = {r["node"]: (r["root"], r["depth"]) for r in S.roots(df, "n", "p").collect()}
+    assert [got[i] for i in range(71)] == [(0, i) for i in range(71)]
+    assert all(got[i][1] == 25 and got[i][0] in (100, 101, 102) for i in (100, 101, 102, 200))
+    capped = {r["node"]: (r["root"], r["depth"]) for r in S.roots(df, "n", "p", capped=True).collect()}
+    assert [capped[i] for i in range(71)] == [(0, min(i, 25)) for i in range(71)]
+
+
 def test_stage_is_all_or_nothing(spark):
     src = spark.createDataFrame([("p1", "h1"), ("p2", "new2")], "id string, text_hash string")
     cols = "id string, old_hash string, new_hash string, new_text string, policy string"
