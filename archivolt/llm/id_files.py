@@ -132,9 +132,11 @@ class Block:
         return self.base + self.names.select(i)
 
     def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Each document by select; its end is the start of the next."""
         start = 0
-        for name, end in zip(self.names.all().tolist(), self.ends.all().tolist(), strict=True):
-            yield self.base + name, self.first + start, self.ids[start:end]
+        for i in range(self.n):
+            end = self.ends.select(i)
+            yield self.doc_id(i), self.first + start, self.ids[start:end]
             start = end
 
 

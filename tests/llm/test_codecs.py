@@ -147,3 +147,16 @@ def test_small_blocks_and_long_documents(spark, docs):
     blocks = Shared(spark).keep(I.write_blocks(docs, WORD, end_id=2, shards=1, block_ids=8))
     assert blocks.count() > 3
     assert {r["doc_id"] for r in I.read_blocks(blocks).collect()} == {i for i, _ in ROWS}
+
+
+def test_documents_are_read_back_through_select(monkeypatch):
+    from archivolt.llm import id_files as I
+
+    ids = [np.arange(i % 7, dtype=np.int64) for i in range(700)]
+    block = I.Block(I.block_pack([3 * i for i in range(700)], ids, 11, 2))
+    monkeypatch.delattr(I.EliasFano, "all")
+    start = 11
+    for i, (name, at, own) in enumerate(block.documents()):
+        assert (name, at, own.tolist()) == (3 * i, start, ids[i].tolist())
+        start += len(own)
+    assert i == 699
