@@ -106,24 +106,44 @@ def pooled_suggestions(saved: DataFrame, pairs: DataFrame, key: str, most: int =
     return out.groupBy("item").agg(F.max(F.struct("score", (-F.col("place")).alias("p"))).alias("x")).select("item", F.col("x.score").alias("score"), (-F.col("x.p")).alias("place")).orderBy(F.desc("score"), "place", "item").limit(most)
 
 
-def clusters(df: DataFrame, vector: str, key: str, k: int | None = None, seed: int = 911) -> tuple[DataFrame, list[list[float]]]:
-    """V9: k-means on the raw vectors: (key, cluster, distance), and the centroids; k from the number of rows."""
+def clusters(df: DataFrame, vector: str, key: str, k: int | None = None, seed: int = 911, *, held_out: Column | None = None) -> tuple[DataFrame, list[list[float]]]:
+    """V9: k-means on the raw vectors: (key, cluster, distance), and the centroids; k from the number of rows.
+
+    held_out: rows that stay out of k-means and are a leaf of their own, with the last number and centroid.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    apart = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
+    held, df = df.where(apart), df.where(~apart)
     n = df.count() if k is None else 0
     k = k or min(80, max(40, n // 150))
-    data = df.select(key, F.col(vector).cast("array<double>").alias("_v")).withColumn("features", array_to_vector("_v"))
+    vectors = lambda x: x.select(key, F.col(vector).cast("array<double>").alias("_v")).withColumn("features", array_to_vector("_v"))
+    data = vectors(df)
     model = KMeans(k=k, seed=seed).fit(data)
     centres = [list(map(float, c)) for c in model.clusterCenters()]
-    table = F.array(*(F.array(*map(F.lit, c)) for c in centres))
     made = model.transform(data).withColumnRenamed("prediction", "cluster")
+    if held_out is not None and not held.isEmpty():
+        from pyspark.ml.stat import Summarizer
+
+        rest = vectors(held)
+        made = made.unionByName(rest.withColumn("cluster", F.lit(len(centres))))
+        centres.append(list(map(float, rest.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"])))
+    table = F.array(*(F.array(*map(F.lit, c)) for c in centres))
     gap = F.zip_with("_v", table[F.col("cluster")], lambda a, b: (a - b) * (a - b))
     return made.select(key, "cluster", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)).alias("distance")), centres
 
 
-def parents(centres: list[list[float]], most: int = 10) -> list[int]:
-    """Agglomerative parents of at most 81 centroids, by average linkage of cosine; on the driver."""
+def parents(centres: list[list[float]], most: int = 10, *, held_out: bool = False) -> list[int]:
+    """Agglomerative parents of at most 81 centroids, by average linkage of cosine; on the driver.
+
+    held_out: the last centroid joins the parent with the nearest centroid.
+    """
+    if held_out:
+        own, last = np.array(centres[:-1]), np.array(centres[-1])
+        out = parents(centres[:-1], most)
+        gaps = [float(np.linalg.norm(own[np.array(out) == p].mean(axis=0) - last)) for p in range(max(out) + 1)]
+        return [*out, int(np.argmin(gaps))]
     x = np.array(centres)
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     groups = [[i] for i in range(len(x))]

@@ -205,6 +205,18 @@ def test_clusters(spark):
     assert len(set(V.parents([[1.0, 0], [0.9, 0.1], [0, 1.0]], 2))) <= 3
 
 
+def test_a_held_out_class_is_a_leaf(spark):
+    df = spark.createDataFrame([(i, [float(i % 3 * 10), 0.0], i >= 30) for i in range(30)] + [(30 + i, [20.0, 4.0 + i], True) for i in range(3)], "k long, v array<float>, h boolean")
+    made, centres = V.clusters(df, "v", "k", k=3, held_out=F.col("h"))
+    got = {r["k"]: (r["cluster"], r["distance"]) for r in made.collect()}
+    assert len(got) == 33 and len(centres) == 4 and centres[3] == [20.0, 5.0]
+    assert {got[i] for i in range(30)} == {(c, 0.0) for c in range(3)} and [got[i] for i in (30, 31, 32)] == [(3, 1.0), (3, 0.0), (3, 1.0)]
+    leaves = [[10.0 * (i == j) for j in range(8)] for i in range(8)]
+    near = V.parents([*leaves, leaves[7]], 8, held_out=True)
+    assert near[:8] == V.parents(leaves, 8) and len(near) == 9 and near[8] in range(max(near[:8]) + 1)
+    assert V.parents([[1.0, 0.0], [0.0, 1.0], [0.1, 2.0]], 2, held_out=True) == [0, 1, 1]
+
+
 # -- extraction -------------------------------------------------------------------
 
 
