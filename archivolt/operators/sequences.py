@@ -85,7 +85,9 @@ def roots(edges: DataFrame, node: str, parent: str, depth: int = 25, *, capped:
     while True:
         above = now.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
         more = F.coalesce("more", F.lit(0))
-        last, now = now, shared.keep(now.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.col("depth") + more).alias("depth"), (more > 0).alias("moves")))
+        # A row that did not move has its root.
+        moved = now.where("moves").join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), (F.col("depth") + more).alias("depth"), (more > 0).alias("moves"))
+        last, now = now, shared.keep(now.where("not moves").unionByName(moved))
         shared.drop(last)
         if reach >= n or now.where("moves").isEmpty():
             break
