@@ -4,10 +4,19 @@ Per document a few rates; per language and source a mergeable quantile sketch of
 rate; from it a fence; then the filter joins a document with the fences of its group.
 
 The sketch counts values in logarithmic buckets: bucket b holds (G^(b-1), G^b], so a
-quantile is right within a few per cent of itself whatever the data, a sketch has at
-most some 300 buckets, and two merge by adding counts. Hence partial aggregation merges
-them before the shuffle, a hot source is no harder than another, and the sketches of
-a language are the sums of those of its sources, not another scan.
+quantile is right within G whatever the data, a sketch has some hundred buckets, and two
+merge by adding counts. Hence partial aggregation merges them before the shuffle, a hot
+source is no harder than another, and the sketches of a language are the sums of those
+of its sources, not another scan.
+
+A fence is Tukey's, on the logarithms: SPREAD times the distance of the quartiles above
+the upper one; that distance is known to one bucket and taken at its most. No rate has a
+cutoff of its own. Shares of a text are taken as
+(count + 1) / (size + 2), the rule of succession: a share of 0 in a short text says less
+than in a long one, so the quartiles differ even where most counts are 0. The quartiles
+of a group are weighed with those of its language, and these with those of all, by the
+numbers of documents, PRIOR standing for the wider group; so a small group leans on
+others and no number of rows switches anything.
 """
 
 from __future__ import annotations
@@ -17,14 +26,13 @@ from pyspark.sql import functions as F
 
 from .base import Shared, columns
 
-#: Growth from bucket to bucket; smallest value with a bucket of its own.
-G, SMALLEST = 1.05, 1e-4
-#: A rate is refused above q75 + SPREAD * (q75 - q25) + SLACK of its group.
-#: Where both quartiles are 0, as those of the first three rates on the test tables, SLACK alone is the cutoff.
-SPREAD, SLACK = 3.0, {"symbol_rate": 0.04, "repeat_rate": 0.30, "dup_line_rate": 0.45, "word_length": 6.0}
-#: Groups of fewer documents take the fences of their language, then those of all.
-LEAST_ROWS = 100
-RATES = tuple(SLACK)
+#: Growth from bucket to bucket.
+G = 1.02
+#: Distances of the quartiles that a fence stands above the upper one; Tukey's bound of what is far out.
+SPREAD = 3.0
+#: Documents for which the quartiles of the wider group count.
+PRIOR = 25
+RATES = ("symbol_rate", "repeat_rate", "dup_line_rate", "word_length")
 BLANK = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 
@@ -32,9 +40,10 @@ SYMBOLS = "#*$%&|<>"
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of a text; null has no words.
 
-    The windows of three words are hashed to 64 bits; where a text has equal ones, their
+    The windows of three words are hashed to 64 bits; where a text has equal hashes, their
     numbers are sorted by hash and neighbours compared, so the time is n log n for any
-    text, and the row never leaves its task.
+    text, and the row never leaves its task. Equal hashes count as equal windows: in a text
+    of n words two others collide with probability n^2 / 2^65.
     """
     text = F.coalesce("text", F.lit(""))
     one = columns(docs, "doc_id", "text", "lang", "source").select(
@@ -68,19 +77,21 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _rates(df: DataFrame) -> DataFrame:
-    per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return df.withColumns({
-        "symbol_rate": per("n_symbols", "word_chars"),
-        "repeat_rate": per("n_repeat_words", "n_words"),
-        "dup_line_rate": per("n_dup_lines", "n_lines"),
-        "word_length": per("word_chars", "n_words"),
-    })
+    """The buckets of the rates."""
+    share = lambda a, b: (F.col(a) + 1) / (F.col(b) + 2)
+    rates = {
+        "symbol_rate": share("n_symbols", "word_chars"),
+        "repeat_rate": share("n_repeat_words", "n_words"),
+        "dup_line_rate": share("n_dup_lines", "n_lines"),
+        "word_length": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
+    }
+    # Without words there is no word length; such a text fails the base rules.
+    return df.withColumns({r: F.when(x > 0, F.ceil(F.log(x) / F.log(F.lit(G)))).cast("int") for r, x in rates.items()})
 
 
 def sketches(rates: DataFrame) -> DataFrame:
     """lang, source, rate, bucket and n: the sketches of every language and source."""
-    bucket = lambda x: F.when(x <= SMALLEST, 0).otherwise(F.ceil(F.log(x / SMALLEST) / F.log(F.lit(G)))).cast("int")
-    long = rates.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), bucket(F.col(r)).alias("bucket")) for r in RATES))).alias("x"))
+    long = rates.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), F.col(r).alias("bucket")) for r in RATES))).alias("x"))
     return long.groupBy("lang", "source", "x.rate", "x.bucket").agg(F.count("*").alias("n"))
 
 
@@ -88,20 +99,36 @@ def merged(sketch: DataFrame, *by: str) -> DataFrame:
     return sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, *by: str) -> DataFrame:
-    """Per group: rows, and the fence of each rate. Windows run over the buckets of one sketch."""
+def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """Per group and rate: rows, and the buckets of the quartiles. Windows run over the buckets of one sketch."""
     own = Window.partitionBy(*by, "rate")
     run = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = sketch.withColumns({"upto": F.sum("n").over(run), "rows": F.sum("n").over(own)})
-    value = lambda b: F.when(b == 0, 0.0).otherwise(SMALLEST * F.pow(F.lit(G), b))
-    at = lambda q: value(F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("bucket"))))
-    quartiles = upto.groupBy(*by, "rate", "rows").agg(at(0.25).alias("q25"), at(0.75).alias("q75"))
-    slack: Column = F.create_map(*(F.lit(x) for r in SLACK.items() for x in r))[F.col("rate")]
-    fence = F.col("q75") + SPREAD * (F.col("q75") - F.col("q25")) + slack
-    return quartiles.groupBy(*by).agg(F.max("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("rate", fence.alias("fence")))).alias("fences"))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("bucket"))).cast("double")
+    return upto.groupBy(*by, "rate", "rows").agg(at(0.25).alias("q25"), at(0.75).alias("q75"))
 
 
-def quality_rules(docs: DataFrame, *, least_rows: int = LEAST_ROWS) -> DataFrame:
+def _weighed(own: DataFrame, wider: DataFrame, *on: str) -> DataFrame:
+    """The quartiles of ``own``, by its rows, with those of ``wider``, by PRIOR."""
+    o, w = own.alias("o"), wider.alias("w")
+    mix = lambda q: ((F.col("rows_o") * F.col(f"o.{q}") + PRIOR * F.col(f"w.{q}")) / (F.col("rows_o") + PRIOR)).alias(q)
+    same = F.col("o.rate") == F.col("w.rate")
+    for c in on:
+        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"w.{c}"))
+    by = [c for c in own.columns if c not in ("rate", "rows", "q25", "q75")]
+    return o.withColumnRenamed("rows", "rows_o").join(w, same).select(*(F.col(f"o.{c}") for c in by), F.col("o.rate"), F.col("rows_o").alias("rows"), mix("q25"), mix("q75"))
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """g_lang, g_source and fences (rate to bucket) of every language and source."""
+    every = quartiles(merged(sketch))
+    lang = _weighed(quartiles(merged(sketch, "lang"), "lang"), F.broadcast(every))
+    own = _weighed(quartiles(sketch, "lang", "source"), lang, "lang")
+    fence = F.col("q75") + SPREAD * (F.col("q75") - F.col("q25") + 1)
+    return own.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(F.map_from_entries(F.collect_list(F.struct("rate", fence.alias("fence")))).alias("fences"))
+
+
+def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept of every row.
 
     kept: base rules hold and no rate is above its fence. A null or empty text has no
@@ -112,15 +139,7 @@ def quality_rules(docs: DataFrame, *, least_rows: int = LEAST_ROWS) -> DataFrame
     """
     shared = Shared(docs.sparkSession)
     rows = _rates(shared.keep(measured(docs)))
-    sketch = shared.keep(sketches(rows.where(~_failed())))
-    by_lang, by_all = fences(merged(sketch, "lang"), "lang"), fences(merged(sketch))
-    own = fences(sketch, "lang", "source").alias("o")
-    lang, every = by_lang.alias("l"), by_all.alias("e")
-    # One row in ``every``: its join adds a column.
-    best = own.join(lang, F.col("o.lang").eqNullSafe(F.col("l.lang")), "left").join(F.broadcast(every), F.lit(True), "left").select(
-        F.col("o.lang").alias("g_lang"), F.col("o.source").alias("g_source"),
-        F.when(F.col("o.rows") >= least_rows, F.col("o.fences")).when(F.col("l.rows") >= least_rows, F.col("l.fences")).otherwise(F.col("e.fences")).alias("fences"),
-    )
+    best = fences(shared.keep(sketches(rows.where(~_failed()))))
     # Sketches see rows that pass the base rules; only these need a fence.
     joined = rows.join(best, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     over = F.lit(False)

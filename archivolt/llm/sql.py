@@ -44,16 +44,14 @@ m as (select w.doc_id, lang, source, len(w)::bigint n_words, coalesce(list_sum([
   coalesce(dup, 0) n_dup_lines, coalesce(lines.n, 0) n_lines, coalesce(rep.n, 0) n_repeat_words from w left join rep on rep.doc_id = w.doc_id left join lines on lines.doc_id = w.doc_id),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m),
 r as (select f.*, unnest(['symbol_rate', 'repeat_rate', 'dup_line_rate', 'word_length']) rate,
-  unnest([n_symbols / greatest(word_chars, 1)::double, n_repeat_words / greatest(n_words, 1)::double, n_dup_lines / greatest(n_lines, 1)::double, word_chars / greatest(n_words, 1)::double]) x from f),
-k as (select lang, source, rate, case when x <= 0.0001 then 0 else ceil(ln(x / 0.0001) / ln(1.05))::int end bucket, count(*) n from r where not base_failed group by all),
-lev as (select 0 lev, lang, source, rate, bucket, n from k union all select 1, lang, null, rate, bucket, sum(n) from k group by all union all select 2, null, null, rate, bucket, sum(n) from k group by all),
+  unnest([(n_symbols + 1) / (word_chars + 2)::double, (n_repeat_words + 1) / (n_words + 2)::double, (n_dup_lines + 1) / (n_lines + 2)::double, word_chars / greatest(n_words, 1)::double]) x from f where not base_failed),
+k as (select *, ceil(ln(x) / ln(1.02))::int bucket from r),
+lev as (select 0 lev, lang, source, rate, bucket, count(*) n from k group by all union all select 1, lang, null, rate, bucket, count(*) from k group by all union all select 2, null, null, rate, bucket, count(*) from k group by all),
 cum as (select *, sum(n) over (partition by lev, lang, source, rate order by bucket) upto, sum(n) over (partition by lev, lang, source, rate) total from lev),
-q as (select lev, lang, source, rate, total, min(bucket) filter (upto >= total * 0.25) b1, min(bucket) filter (upto >= total * 0.75) b3 from cum group by all),
-v as (select *, case when b1 = 0 then 0 else 0.0001 * pow(1.05, b1) end q1, case when b3 = 0 then 0 else 0.0001 * pow(1.05, b3) end q3 from q),
-fence as (select lev, lang, source, rate, total, q3 + 3 * (q3 - q1) + case rate when 'symbol_rate' then 0.04 when 'word_length' then 6.0 when 'repeat_rate' then 0.30 else 0.45 end fence from v),
-best as (select o.lang, o.source, o.rate, case when o.total >= 100 then o.fence when l.total >= 100 then l.fence else e.fence end fence
-  from fence o join fence l on l.lev = 1 and l.lang is not distinct from o.lang and l.rate = o.rate join fence e on e.lev = 2 and e.rate = o.rate where o.lev = 0),
-over as (select r.doc_id, bool_or(x > fence) over_ from r join best on best.lang is not distinct from r.lang and best.source is not distinct from r.source and best.rate = r.rate group by all)
+q as (select lev, lang, source, rate, total::double n, min(bucket) filter (upto >= total * 0.25)::double q1, min(bucket) filter (upto >= total * 0.75)::double q3 from cum group by lev, lang, source, rate, total),
+ql as (select l.lang, l.rate, (l.n * l.q1 + 25 * e.q1) / (l.n + 25) q1, (l.n * l.q3 + 25 * e.q3) / (l.n + 25) q3 from q l join q e on l.lev = 1 and e.lev = 2 and l.rate = e.rate),
+qs as (select o.lang, o.source, o.rate, (o.n * o.q1 + 25 * l.q1) / (o.n + 25) q1, (o.n * o.q3 + 25 * l.q3) / (o.n + 25) q3 from q o join ql l on o.lev = 0 and o.lang is not distinct from l.lang and o.rate = l.rate),
+over as (select doc_id, bool_or(bucket > q3 + 3 * (q3 - q1 + 1)) over_ from k join qs on qs.lang is not distinct from k.lang and qs.source is not distinct from k.source and qs.rate = k.rate group by all)
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(over_, false) kept from f left join over on over.doc_id = f.doc_id"""
 
 ORACLE: dict[str, str] = {"op4_near_dedup": NEAR_DEDUP, "op5_line_dedup": LINE_DEDUP, "op8_decontaminate": DECONTAMINATE, "op9_quality_rules": QUALITY_RULES}

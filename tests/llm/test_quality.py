@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ from hypothesis import strategies as st
 from archivolt.llm import pii as D
 from archivolt.llm import quality_crf as Q
 from archivolt.llm import registry
+from archivolt.llm import quality_rules as R
 from archivolt.llm.quality_rules import quality_rules
 
 # -- classifier -------------------------------------------------------------------
@@ -91,6 +93,58 @@ def test_fences_follow_the_group(spark):
     assert not out[5000] and out[5001] and sum(out.values()) >= 395
 
 
+def made(rng, symbol=0.0, repeat=0.0, dup=0.0, length=5, n=200):
+    """A text of n words in lines of 10; shares of words with a symbol and in repeated triples, and of equal lines."""
+    words = [f"{rng.randrange(10 ** length):0{length}}" for _ in range(n)]
+    for k in range(int(repeat * n / 6)):
+        words[n - 3 * k - 3 : n - 3 * k] = words[3 * k : 3 * k + 3]
+    words = [w[:-1] + "#" if i % 20 < 20 * symbol else w for i, w in enumerate(words)]
+    lines = [" ".join(words[i : i + 10]) for i in range(0, n, 10)]
+    short = [f"{rng.randrange(10 ** length):0{length}}" for _ in lines]
+    for k in range(int(dup * len(short))):
+        short[-k - 1] = short[0]
+    return "\n".join(x for pair in zip(lines, short, strict=True) for x in pair)
+
+
+@pytest.mark.parametrize(("rate", "low", "high"), [("symbol_rate", {"symbol": 0.1}, {"symbol": 0.9}), ("repeat_rate", {"repeat": 0.04}, {"repeat": 0.45}), ("dup_line_rate", {"dup": 0.1}, {"dup": 0.9}), ("word_length", {"length": 5}, {"length": 12})])
+def test_every_rate_has_a_fence_of_the_group_that_decides_rows(spark, rate, low, high):
+    """What is common in one source is far out in the other; each rate alone refuses rows."""
+    rng = random.Random(12)
+    some = lambda shares: {k: v if k == "length" else v * rng.uniform(0.95, 1.05) for k, v in shares.items()}
+    rows = [(i, made(rng, **some(low)), "en", "low") for i in range(1500)] + [(10000 + i, made(rng, **some(high)), "en", "high") for i in range(1500)]
+    rows += [(5000, made(rng, **high), "en", "low"), (5001, made(rng, **high), "en", "high")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rates = R._rates(R.measured(df))
+    fence = {r["g_source"]: r["fences"] for r in R.fences(R.sketches(rates.where(~R._failed()))).collect()}
+    out = {r["doc_id"]: r["kept"] for r in quality_rules(df).collect()}
+    assert fence["low"][rate] < fence["high"][rate]
+    over = {r["doc_id"]: {x for x in R.RATES if r[x] > fence[r["source"]][x]} for r in rates.collect()}
+    assert rate in over[5000] and not out[5000] and out[5001] and all(k == (not over[i]) for i, k in out.items())
+    assert sum(rate in x for x in over.values()) <= 30
+
+
+def test_sketch_has_the_quartiles_of_the_values(spark):
+    """A bucket is the one of the exact quartile, and sketches of parts add up to that of the whole."""
+    rng = np.random.default_rng(2)
+    x = [float(v) for v in rng.lognormal(size=5000)]
+    bucket = [math.ceil(math.log(v) / math.log(R.G)) for v in x]
+    df = spark.createDataFrame([("l", f"s{i % 7}", *[b] * 4) for i, b in enumerate(bucket)], "lang string, source string, " + ", ".join(f"{r} int" for r in R.RATES))
+    got = R.quartiles(R.merged(R.sketches(df))).collect()
+    ordered = sorted(bucket)
+    assert len(got) == 4 and all((r["rows"], r["q25"], r["q75"]) == (5000, ordered[1249], ordered[3749]) for r in got)
+    assert all(abs(math.log(sorted(x)[i]) - b * math.log(R.G)) <= math.log(R.G) for i, b in ((1249, got[0]["q25"]), (3749, got[0]["q75"])))
+
+
+def test_small_groups_lean_on_wider_ones(spark):
+    """The quartiles move from those of the language to the group's own with its rows, without a step."""
+    rows = lambda n: [("l", "wide", *[10] * 4)] * 5000 + [("l", "own", *[60] * 4)] * n
+    at = []
+    for n in (1, 24, 25, 26, 3000):
+        df = spark.createDataFrame(rows(n), "lang string, source string, " + ", ".join(f"{r} int" for r in R.RATES))
+        at.append(next(r["fences"]["symbol_rate"] for r in R.fences(R.sketches(df)).collect() if r["g_source"] == "own"))
+    assert at == sorted(at) and at[0] < 16 and at[-1] > 61 and abs(at[2] - 38) < 1 and at[3] - at[1] < 2
+
+
 def test_rules_run_without_python(spark):
     plan = registry.op9_quality_rules(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
