@@ -231,6 +231,40 @@ def test_long_runs_take_linear_time():
     assert time.process_time() - start < 5
 
 
+def plain_added(text, base):
+    """Every span against every one taken before."""
+    found = [("iban", s, e) for s, e in D.ibans(text)] + [("national_phone", *m.span()) for m in D._NATIONAL.finditer(text)] + [("national_id", *m.span()) for m in D._ID.finditer(text)]
+    out = []
+    for kind, s, e in found:
+        if D.score(text, kind, s) >= D.NEEDED and all(e2 <= s or s2 >= e or (k == "card" and kind == "iban") for k, s2, e2 in base + out):
+            out.append((kind, s, e))
+    return out
+
+
+ADDED = [*PARTS, "tel ", "Tel: 0211 555 1234", "ssn 123-45-6789 ", "123-45-6789", *IBANS.values(), "DE89 3704 0044 0532 0130 00", "call 555 123-45-6789", "iban"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(ADDED), max_size=14).map("".join))
+def test_added_spans_as_by_plain_comparison(text):
+    base = D.base_spans(text)
+    assert D.added_spans(text, base) == plain_added(text, base)
+
+
+def test_many_spans_take_time_in_proportion():
+    """1, 2 and 4 MB full of base and added spans."""
+    import time
+
+    took = []
+    for mb in (1, 2, 4):
+        text = "ssn 123-45-6789 x@y.zz tel 0211 555 1234 DE89370400440532013000\n" * (mb * 16_000)
+        start = time.process_time()
+        n = len(D.added_spans(text, D.base_spans(text)))
+        took.append(time.process_time() - start)
+        assert n >= mb * 48_000
+    assert took[2] < 8 * took[0] + 1
+
+
 def test_pii_rows(spark):
     rows = [(1, None), (None, ""), (2, "x@y.zz and 10.0.0.1"), (2, "x@y.zz and 10.0.0.1"), (3, "é x@y.zz")]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, spans int")
