@@ -7,8 +7,9 @@
 * a piece is taken after another only if the two are compatible, that is if
   merging the characters of both anew gives exactly these two pieces. A sequence
   whose neighbours are all compatible is the one that merging yields;
-* a position from which nothing led to the end is cleared in a bitfield and never
-  tried again, so the search is linear in the number of positions and pieces.
+* a position from which nothing led to the end is marked in a bitfield and never
+  tried again, so the search is linear in the number of positions and pieces; the
+  field is bytes that are changed in place, so a mark costs the same in any chunk.
 
 Characters without a piece never merge; they become bytes and part the chunk.
 """
@@ -144,7 +145,7 @@ class Codec:
 
         starts: by position, (id, length) of the pieces there, shorter ones first.
         """
-        good = (1 << (last + 1)) - 1  # bit p: nothing has failed yet from position p
+        failed = bytearray((last - first >> 3) + 1)  # bit p: nothing led from position first + p to the end
         ids: list[int] = []
         tried: list[int] = []  # by taken piece, its place in its list
         at, place = first, len(starts[first]) - 1
@@ -153,7 +154,7 @@ class Codec:
             while place >= 0:
                 found, length = options[place]
                 end = at + length
-                if end <= last and good >> end & 1 and (self.compatible(ids[-1], found) if ids else self._single(found)):
+                if end <= last and not failed[end - first >> 3] >> (end - first & 7) & 1 and (self.compatible(ids[-1], found) if ids else self._single(found)):
                     break
                 place -= 1
             if place >= 0:
@@ -162,7 +163,7 @@ class Codec:
                 at = end
                 place = len(starts[at]) - 1 if at < last else 0
             else:
-                good &= ~(1 << at)
+                failed[at - first >> 3] |= 1 << (at - first & 7)
                 if not ids:
                     raise ValueError("no sequence of compatible pieces")
                 at -= len(self.piece[ids.pop()])
@@ -232,6 +233,7 @@ class Codec:
         if not escaped:
             return 0, "", ""
         parts, seen = self.chunks.findall(escaped), self.seen
+        seen.trim()
         ids = ",".join(map(seen.__getitem__, parts))
         # Of every chunk the ids have been decoded once; ``odd`` has those that give another text.
         back = "".join(seen.odd.get(c, c) for c in parts) if seen.odd else escaped
@@ -240,23 +242,35 @@ class Codec:
 
 
 class _Seen(dict):
-    """Ids of chunks, joined by commas."""
+    """Ids of chunks, joined by commas; ``odd`` has the text of those whose ids decode to another one."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec, self.odd = codec, {}
+        self.codec, self.odd, self.long_odd = codec, {}, []
 
     def __missing__(self, chunk: str) -> str:
         own = self.codec.chunk(chunk)
         out, back = ",".join(map(str, own)), self.codec.surface(own)
+        short = len(chunk) <= 64
         if back != chunk.replace(SPACE, " "):
             self.odd[chunk] = back
+            if not short:
+                self.long_odd.append(chunk)
         if len(self) >= KEEP_CHUNKS:
             self.clear()
-        if len(chunk) <= 64:
+        if short:
             self[chunk] = out
         return out
 
+    def trim(self) -> None:
+        """Between two texts: forgets the odd chunks that are not remembered, and all where they are many."""
+        for chunk in self.long_odd:
+            self.odd.pop(chunk, None)
+        self.long_odd.clear()
+        if len(self.odd) >= KEEP_CHUNKS:
+            self.odd.clear()
+            self.clear()
+
 
 @functools.cache
 def codec(path: str) -> Codec:

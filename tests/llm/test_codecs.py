@@ -60,6 +60,37 @@ def test_backtracking_meets_dead_ends(libs):
     assert went_back > 20
 
 
+def test_long_chunks_take_time_in_proportion(libs):
+    """Runs without a boundary, up to 4 MB: the same ids as the library, in time that grows with the length."""
+    import time
+
+    codec, piece = libs[3], libs[2]
+    rng = random.Random(1)
+    took = []
+    for n in (350_000, 700_000, 1_400_000):
+        text = "".join(rng.choice("日本語の文字列は長い𝒳é") for _ in range(n))
+        start = time.process_time()
+        ids = codec.encode(text)
+        took.append(time.process_time() - start)
+        if n < 400_000:
+            assert ids == piece.encode(text)
+    assert took[2] < 8 * took[0] + 1
+
+
+def test_odd_chunks_are_forgotten(libs, monkeypatch):
+    """Chunks that decode to another text: remembered within bounds, and still right after they are forgotten."""
+    from archivolt.llm import piece_codec
+
+    piece = libs[2]
+    codec = Codec(PIECE)
+    monkeypatch.setattr(piece_codec, "KEEP_CHUNKS", 3)
+    for i in range(40):
+        text = f"a{i}▁b \x00{i} ▁ " + "▁x" * (i % 3) * 40
+        ids = piece.encode(text)
+        assert codec.digest(text) == (len(ids), ",".join(map(str, ids)), piece.decode(ids))
+        assert len(codec.seen.odd) <= 3 + 12
+
+
 def test_runs_of_spaces(libs):
     for n in range(70):
         for tail in ("", "x", "\n"):
