@@ -7,11 +7,14 @@ that the field takes for bad are bad, and of its length at least BAD_SHARE. A do
 score is a logistic curve, fitted on the same sample, over the mean of its lines'
 forward-backward marginals, weighted by their lengths.
 
-Training uses at most ``sample`` labelled documents, chosen by a hash of doc_id.
+Training uses at most ``sample`` labelled documents, chosen by a hash of doc_id, of at
+most SAMPLE_LINES lines each.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 import uuid
 import zlib
@@ -27,6 +30,10 @@ from .base import columns, slices, texts
 
 #: Labelled documents that training takes at most.
 SAMPLE = 2000
+#: Lines of a document that training takes at most; documents of more are left out of the sample.
+SAMPLE_LINES = 500
+#: Lines whose features a worker holds at a time; chains of more than LONG lines are cut into blocks.
+LINES, LONG = 1 << 14, 512
 #: Rounds of labelling lines anew, and steps of the optimiser in each.
 ROUNDS, STEPS = 3, 60
 #: Share of a bad document's length that is bad at least.
@@ -76,22 +83,48 @@ def line_features(line: str, again: bool) -> list[float]:
     ]
 
 
-def features(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines of texts, lines by text, and weights (characters + 1)."""
+_short_line = functools.lru_cache(1 << 15)(line_features)
+
+
+def line_blocks(found: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of all lines of texts, text after text, at most ``most`` lines at a time, and weights (characters + 1).
+
+    Lines are cut from the text as they come, so besides the block a text costs no more than its distinct lines.
+    """
     rows: list[list[float]] = []
-    counts: list[int] = []
     weight: list[int] = []
     for text in found:
-        lines = text.split("\n")
         seen: set[str] = set()
-        for line in lines:
-            rows.append(line_features(line, bool(line) and line in seen))
+        at = 0
+        while at >= 0:
+            end = text.find("\n", at)
+            line = text[at : end if end >= 0 else None]
+            again = bool(line) and line in seen
+            rows.append(_short_line(line, again) if len(line) <= 16 else line_features(line, again))
             seen.add(line)
             weight.append(len(line) + 1)
-        counts.append(len(lines))
+            at = end + 1 if end >= 0 else -1
+            if len(rows) == most:
+                yield _stepped(rows), np.array(weight, np.float64)
+                rows, weight = [], []
+    if rows:
+        yield _stepped(rows), np.array(weight, np.float64)
+
+
+def _stepped(rows: list[list[float]]) -> np.ndarray:
     x = np.array(rows, np.float32).reshape(-1, 8 + N_SHARES)
     steps = (x[:, 8:, None] > _EDGES).reshape(len(x), -1)
-    return np.concatenate([x, steps.astype(np.float32)], axis=1), np.array(counts, np.int64), np.array(weight, np.float64)
+    return np.concatenate([x, steps.astype(np.float32)], axis=1)
+
+
+def line_counts(found: list[str]) -> np.ndarray:
+    return np.array([t.count("\n") + 1 for t in found], np.int64)
+
+
+def features(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines of texts, lines by text, and weights; all in memory."""
+    x, weight = zip(*line_blocks(found, 1 << 30), strict=True) if found else ([np.zeros((0, WIDTH), np.float32)], [np.zeros(0)])
+    return np.concatenate(x), line_counts(found), np.concatenate(weight)
 
 
 def beside(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -114,11 +147,12 @@ class Chains:
         live = np.searchsorted(-counts[order], -np.arange(longest), "left")
         self.steps = [first[:n] + t for t, n in enumerate(live)]
 
-    def marginals(self, emit: np.ndarray, change: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(good) of each line; sums of pair marginals (2 x 2) and of first marginals (2).
+    def marginals(self, emit: np.ndarray, change: np.ndarray, start: np.ndarray, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P(good) of each line; sums of pair marginals (2 x 2) and of first marginals (2), by the share of their document.
 
-        emit: score of good less that of bad. Forward and backward in logs.
+        emit: score of good less that of bad. share: weight of the document of each line. Forward and backward in logs.
         """
+        share = np.ones(len(emit)) if share is None else share
         n = len(emit)
         score = np.zeros((n, 2))
         score[:, 1] = emit
@@ -143,9 +177,49 @@ class Chains:
             z = add(both[at, 0], both[at, 1])
             for i in (0, 1):
                 for j in (0, 1):
-                    pairs[i, j] = np.exp(fwd[at - 1, i] + change[i, j] + score[at, j] + bwd[at, j] - z).sum()
-        firsts = good[self.steps[0]] if self.steps else np.zeros(0)
-        return good, pairs, np.array([(1 - firsts).sum(), firsts.sum()])
+                    pairs[i, j] = np.exp(fwd[at - 1, i] + change[i, j] + score[at, j] + bwd[at, j] - z) @ share[at]
+        first = self.steps[0] if self.steps else np.zeros(0, np.int64)
+        return good, pairs, np.array([(1 - good[first]) @ share[first], good[first] @ share[first]])
+
+
+def long_chain(emit: np.ndarray, change: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """P(good) of each line of one long chain, as ``Chains.marginals`` gives it.
+
+    The chain is cut into about as many blocks as a block has lines. A block's product of
+    2 x 2 steps is taken for all blocks at once; messages are carried over the blocks; then
+    all blocks go forward and backward from the messages at their ends. Some square roots
+    of n steps on rows of that length, 100 bytes a line.
+    """
+    n = len(emit)
+    size = max(1, math.isqrt(n))
+    blocks = -(-n // size)
+    none = -1e30
+    # step[t, b]: from the state before line b * size + t to that of the line.
+    score = np.zeros((blocks * size, 2))
+    score[:n, 1] = emit
+    step = change[None, :, :] + score[:, None, :]
+    step[0] = np.where(np.eye(2, dtype=bool), score[0], none)
+    step[n:] = np.where(np.eye(2, dtype=bool), 0.0, none)
+    step = step.reshape(blocks, size, 2, 2).swapaxes(0, 1)
+    add = np.logaddexp
+    whole = np.broadcast_to(np.where(np.eye(2, dtype=bool), 0.0, none), (blocks, 2, 2))
+    for t in range(size):
+        whole = add(whole[:, :, 0, None] + step[t, :, 0, None, :], whole[:, :, 1, None] + step[t, :, 1, None, :])
+    into, back = np.zeros((blocks, 2)), np.zeros((blocks, 2))
+    into[0] = start
+    for b in range(1, blocks):
+        into[b] = add(into[b - 1, 0] + whole[b - 1, 0], into[b - 1, 1] + whole[b - 1, 1])
+    for b in range(blocks - 1, 0, -1):
+        back[b - 1] = add(whole[b, :, 0] + back[b, 0], whole[b, :, 1] + back[b, 1])
+    both = np.zeros((size, blocks, 2))
+    for t in range(size):
+        into = add(into[:, 0, None] + step[t, :, 0], into[:, 1, None] + step[t, :, 1])
+        both[t] = into
+    for t in range(size - 1, -1, -1):
+        both[t] += back
+        back = add(step[t, :, :, 0] + back[:, 0, None], step[t, :, :, 1] + back[:, 1, None])
+    flat = both.swapaxes(0, 1).reshape(-1, 2)[:n]
+    return 1 / (1 + np.exp(np.clip(flat[:, 0] - flat[:, 1], -700, 700)))
 
 
 @dataclass
@@ -155,30 +229,64 @@ class Model:
     start: np.ndarray
     curve: tuple[float, float]
 
-    def document_means(self, x: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        good, _, _ = Chains(counts).marginals((beside(x, counts) @ self.weights.astype(np.float32)).astype(np.float64), self.change, self.start)
-        at = np.cumsum(counts) - counts
-        return np.add.reduceat(good * weight, at) / np.add.reduceat(weight, at) if len(counts) else np.zeros(0)
+    def emissions(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Score of good less that of bad of all lines, and their weights; features of LINES lines at a time.
+
+        What a line gives to its own score and to those of its neighbours are three
+        numbers, so only these are kept of it.
+        """
+        w = self.weights.reshape(3, WIDTH).T
+        parts = [(x.astype(np.float64) @ w, weight) for x, weight in line_blocks(found, LINES)]
+        own, weight = (np.concatenate(p) for p in zip(*parts, strict=True))
+        counts = line_counts(found)
+        ends = np.cumsum(counts)
+        emit = own[:, 0].copy()
+        before, after = own[:-1, 1].copy(), own[1:, 2].copy()
+        before[ends[:-1] - 1] = after[ends[:-1] - 1] = 0
+        emit[1:] += before
+        emit[:-1] += after
+        return emit, weight
+
+    def document_means(self, emit: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Mean of the lines' marginals by weight. Chains up to LONG lines go side by side, longer ones alone."""
+        if not len(counts):
+            return np.zeros(0)
+        good = np.zeros(len(emit))
+        first = np.cumsum(counts) - counts
+        long = counts > LONG
+        for at, n in zip(first[long], counts[long], strict=True):
+            good[at : at + n] = long_chain(emit[at : at + n], self.change, self.start)
+        rows = np.repeat(~long, counts)
+        good[rows] = Chains(counts[~long]).marginals(emit[rows], self.change, self.start)[0]
+        return np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
 
     def score(self, found: list[str]) -> np.ndarray:
         if not found:
             return np.zeros(0)
         a, b = self.curve
-        return 1 / (1 + np.exp(-np.clip(a + b * self.document_means(*features(found)), -700, 700)))
+        emit, weight = self.emissions(found)
+        return 1 / (1 + np.exp(-np.clip(a + b * self.document_means(emit, line_counts(found), weight), -700, 700)))
+
 
+def gradient(big: np.ndarray, chains: Chains, follow: np.ndarray, first: np.ndarray, y: np.ndarray, share: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Of the log-likelihood of line labels y, each document's by its share, a line; less the ridge.
 
-def _fit_lines(big: np.ndarray, chains: Chains, first: np.ndarray, pairs_of: np.ndarray, y: np.ndarray, theta: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Steps of Adam on the likelihood of line labels y; share: weight of each line's document class."""
-    n, width = big.shape
-    follow = pairs_of  # lines that have one before them
+    follow: lines that have one before them; first: those that have none.
+    """
+    width = big.shape[1]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[follow - 1], y[follow]), 1.0)
-    begun = np.bincount(y[first], minlength=2).astype(float)
+    np.add.at(seen, (y[follow - 1], y[follow]), share[follow])
+    begun = np.bincount(y[first], weights=share[first], minlength=2)
+    w, change, start = theta[:width], theta[width : width + 4].reshape(2, 2), theta[width + 4 :]
+    good, pairs, firsts = chains.marginals((big @ w.astype(np.float32)).astype(np.float64), change, start, share)
+    return np.concatenate([(((y - good) * share).astype(np.float32) @ big).astype(np.float64), (seen - pairs).ravel(), begun - firsts]) / len(big) - RIDGE * theta
+
+
+def _fit_lines(big: np.ndarray, chains: Chains, first: np.ndarray, follow: np.ndarray, y: np.ndarray, theta: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Steps of Adam along ``gradient``; share: weight of each line's document, by its class."""
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        w, change, start = theta[:width], theta[width : width + 4].reshape(2, 2), theta[width + 4 :]
-        good, pairs, firsts = chains.marginals((big @ w.astype(np.float32)).astype(np.float64), change, start)
-        grad = np.concatenate([(((y - good) * share).astype(np.float32) @ big).astype(np.float64), (seen - pairs).ravel(), begun - firsts]) / n - RIDGE * theta
+        grad = gradient(big, chains, follow, first, y, share, theta)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta
@@ -215,7 +323,7 @@ def train(x: np.ndarray, counts: np.ndarray, weight: np.ndarray, labels: np.ndar
             y[least & (labels[doc] == 0)] = 0
         theta = _fit_lines(big, chains, first, follow, y, theta, share)
     model = Model(theta[:width], theta[width : width + 4].reshape(2, 2), theta[width + 4 :], (0.0, 1.0))
-    mean = model.document_means(x, counts, weight)
+    mean = model.document_means((big @ model.weights.astype(np.float32)).astype(np.float64), counts, weight)
     a = b = 0.0  # Newton on two parameters
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a + b * mean, -700, 700)))
@@ -248,7 +356,8 @@ def fitted(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model
             )
 
     # At most ``sample`` rows of two numbers are broadcast.
-    rows = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, x binary, weight binary, quality int").orderBy("doc_id").collect()
+    short = F.length("text") - F.length(F.translate("text", "\n", "")) < SAMPLE_LINES
+    rows = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.coalesce(short, F.lit(True))).select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, x binary, weight binary, quality int").orderBy("doc_id").collect()
     if not rows:
         return train(np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
     weight = [np.frombuffer(r["weight"]) for r in rows]
@@ -268,7 +377,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, sampl
     Repeated rows get equal scores; null ids stay, and are never held out. An empty table
     gives an empty table; without labels of both classes every score is one constant.
     After training on a bounded sample, one narrow stage; a very long text is held by its
-    task. extra: further columns to carry along, as x0, x1 and so on.
+    task, with its distinct lines and some 200 bytes a line. extra: further columns to carry along, as x0, x1 and so on.
     """
     model = fitted(docs, labels, sample=sample)
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))

@@ -44,6 +44,74 @@ def test_marginals_as_by_enumeration():
     assert np.allclose(good, want) and np.allclose(pairs, want_pairs) and np.allclose(firsts, want_first)
 
 
+def test_gradient_is_that_of_the_weighted_likelihood():
+    """Against differences of the likelihood, by enumeration of all labellings."""
+    rng = np.random.default_rng(1)
+    counts, width = np.array([3, 1, 4]), 5
+    big = rng.normal(size=(8, width)).astype(np.float32)
+    y, share = rng.integers(0, 2, 8), np.repeat([2.0, 0.5, 3.0], counts)
+    first = np.cumsum(counts) - counts
+    follow = np.setdiff1d(np.arange(8), first)
+
+    def likelihood(theta):
+        w, change, start = theta[:width], theta[width : width + 4].reshape(2, 2), theta[width + 4 :]
+        emit, out = big.astype(float) @ w, 0.0
+        for at, n in zip(first, counts, strict=True):
+            of = lambda z: start[z[0]] + sum(emit[at + i] * z[i] for i in range(n)) + sum(change[a, b] for a, b in zip(z, z[1:], strict=False))  # noqa: B023, E731
+            total = np.logaddexp.reduce([of(z) for z in itertools.product((0, 1), repeat=int(n))])
+            out += share[at] * (of(y[at : at + n]) - total)
+        return out / 8 - Q.RIDGE / 2 * (theta**2).sum()
+
+    theta = rng.normal(size=width + 6)
+    got = Q.gradient(big, Q.Chains(counts), follow, first, y, share, theta)
+    step = 1e-5 * np.eye(len(theta))
+    want = [(likelihood(theta + e) - likelihood(theta - e)) / 2e-5 for e in step]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_long_chains_as_in_one_piece():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 16, 17, 1000):
+        emit, change, start = rng.normal(size=n) * 3, rng.normal(size=(2, 2)), rng.normal(size=2)
+        assert np.allclose(Q.long_chain(emit, change, start), Q.Chains(np.array([n])).marginals(emit, change, start)[0])
+
+
+def test_scores_do_not_depend_on_the_blocks(monkeypatch):
+    """Lines held at a time, and chains cut or not: the same scores, as from features all at once."""
+    rng = np.random.default_rng(3)
+    model = Q.Model(rng.normal(size=3 * Q.WIDTH) / 8, rng.normal(size=(2, 2)), rng.normal(size=2), (0.3, 2.0))
+    found = ["", "one line", "\n".join(f"Line {i % 7}, of many | #{i}" for i in range(90)), "\n\n", "a\nb\nc"]
+    x, counts, weight = Q.features(found)
+    good = Q.Chains(counts).marginals(Q.beside(x, counts).astype(float) @ model.weights, model.change, model.start)[0]
+    first = np.cumsum(counts) - counts
+    mean = np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
+    want = 1 / (1 + np.exp(-(0.3 + 2.0 * mean)))
+    for lines, long in ((1 << 14, 512), (1, 512), (7, 2), (64, 10)):
+        monkeypatch.setattr(Q, "LINES", lines)
+        monkeypatch.setattr(Q, "LONG", long)
+        assert np.allclose(model.score(found), want)
+
+
+def test_many_short_lines_take_bounded_memory():
+    """Two-byte lines, 1, 2 and 4 MB: time in proportion, and memory far below that of all features at once."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    model = Q.Model(rng.normal(size=3 * Q.WIDTH) / 8, rng.normal(size=(2, 2)), rng.normal(size=2), (0.0, 1.0))
+    took = []
+    for mb in (1, 2, 4):
+        text = "a\nb\n" * (mb * 250_000)
+        start = time.process_time()
+        model.score([text])
+        took.append(time.process_time() - start)
+    assert took[2] < 8 * took[0] + 1
+    tracemalloc.start()
+    model.score(["a\nb\n" * 100_000])
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20  # all features at once: 200,000 lines of 58 * 3 numbers
+    tracemalloc.stop()
+
+
 def test_held_out_accuracy(spark):
     d = SMALL.replace("sf0.001", "sf0.01")
     out = registry.op6_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
