@@ -6,14 +6,12 @@ status F and has other prices and priorities for some, C is orders as it is.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sequences as S
 from ..operators import versions as V
+from ..sources.shared import Shared
 from ..sources.tables import table
 from ..streaming import counters
 from .registry import query
@@ -195,8 +193,7 @@ def daily_views_stream(spark: SparkSession, d: str) -> DataFrame:
     source = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(source).option("pathGlobFilter", "events.parquet*" if d.endswith("/") else "*").parquet(f"{d}/events.parquet*")
     counts = counters.daily_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], late="60 days")
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="archivolt-stream-")
-    run = f"{top.rstrip('/')}/daily-{os.urandom(8).hex()}"
+    run = Shared(spark).path()
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{run}/out/part={number}")

@@ -7,14 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of a file's row group, which one task reads: a file below it cannot be split.
+ROW_GROUP = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = False) -> DataFrame:
-    """A table by name. spread: a file or few that would keep most cores idle are dealt out evenly.
+    """A table by name. spread: for work that is heavy by row, a few small files are dealt out evenly.
 
-    For work that is heavy by row; tables of as many files as there are cores are read as they lie.
+    Files are split among tasks by row groups, without a shuffle. Only files below a row
+    group, fewer than the cores, would leave cores idle; their rows are dealt out, at most
+    a row group for each core.
     """
     out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not spread:
+        return out
     cores = spark.sparkContext.defaultParallelism
-    return out.repartition(cores) if spread and len(out.inputFiles()) < cores else out
+    files = out.inputFiles()
+    if len(files) >= cores or any(file_bytes(spark, f) >= ROW_GROUP for f in files):
+        return out
+    return out.repartition(cores)
+
+
+def file_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
 
 
 def conformed(df: DataFrame, schema: T.StructType) -> DataFrame:
