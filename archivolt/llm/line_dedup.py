@@ -2,16 +2,15 @@
 
 1. A scan hashes each document's distinct line keys to 128 bits; a sum with partial
    aggregation counts the documents of each key.
-2. Keys of two or more documents (or of ``min_docs``, if that is less) are dealt to
-   shards by hash. Each shard becomes one small array triple: a minimal perfect hash
-   in levels of bits (a key owns a bit of the first level where no other key of that
-   level hits it; its slot is the rank of that bit), a fingerprint and a count a slot.
-3. A document's line is looked up by hash: shard, slot, fingerprint, count. No line
-   text and no list of lines is joined.
-
-If all shards together are small (their size is checked), they go to the executors
-whole and a document is cleaned where it is read. Beyond that, the hashes of the
-lines go to the shards, and only the numbers of the lines to drop come back.
+2. All distinct keys are dealt to shards by hash. A shard indexes its keys of two or more
+   documents (or of ``min_docs``, if that is less) in small arrays: a minimal perfect
+   hash in levels of bits (a key owns a bit of the first level where no other key of that
+   level hits it; its slot is the rank of that bit), a fingerprint of 16 bits and a count
+   a slot. Keys of fewer documents are probed at once, and the few that a fingerprint
+   takes for another key are listed, so every answer is exact.
+3. The arrays go to the executors as files, which tasks map. A document's line is looked
+   up where the document is read, by hash: shard, slot, fingerprint, count. No line and
+   no list of lines is joined or shuffled, whatever the number of keys.
 """
 
 from __future__ import annotations
@@ -26,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import Shared, columns, slices, texts
+from .mapped import deliver, mapped, pack
 
-#: Arrays of all shards up to so many bytes are sent to every executor.
-BROADCAST_BYTES = 32 << 20
-#: Keys that a shard has on average at most.
-SHARD_KEYS = 1 << 18
+#: Distinct keys that a shard has on average at most, and shards of a file.
+SHARD_KEYS, FILE_SHARDS = 1 << 18, 256
 #: Bits a key has in each level of the hash.
 GAMMA = 2.0
+#: Bits of a key's second hash that are its fingerprint.
+PRINT = 0xFFFF
+#: Most levels of a shard; keys that are left then are listed as they are. A level has about 4/10 of the keys of the one before.
+LEVELS = 32
 BLANK = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -61,83 +63,116 @@ def _mix(x: np.ndarray, level: int) -> np.ndarray:
         return x ^ x >> np.uint64(33)
 
 
-class Shard:
-    """Fingerprints and counts of distinct keys, at the slots of a minimal perfect hash."""
-
-    def __init__(self, levels: list[np.ndarray], prints: np.ndarray, counts: np.ndarray, rest: np.ndarray):
-        """rest: hash, fingerprint and count of the keys whose hash an earlier key has; as a rule none."""
-        self.levels, self.prints, self.counts, self.rest = levels, prints, counts, rest
-        self.ranks = []
-        before = 0
-        for bits in levels:
-            per = np.bitwise_count(bits).astype(np.int64)
-            self.ranks.append(np.concatenate([[before], before + np.cumsum(per)]))
-            before += int(per.sum())
-
-    @classmethod
-    def build(cls, hashes: np.ndarray, prints: np.ndarray, counts: np.ndarray) -> Shard:
-        """Distinct pairs of 64-bit hashes and fingerprints; counts above the width of the array are kept at its top."""
-        _, first = np.unique(hashes, return_index=True)
-        again = np.setdiff1d(np.arange(len(hashes)), first)
-        rest = np.stack([hashes[again].astype(np.uint64), prints[again].astype(np.uint64), counts[again].astype(np.uint64)], axis=1)
-        hashes, prints, counts = hashes[first], prints[first], counts[first]
-        left = hashes.astype(np.uint64)
-        levels: list[np.ndarray] = []
-        while len(left):
-            words = max(1, -(-int(GAMMA * len(left)) // 64))
-            at = _mix(left, len(levels)) % np.uint64(words * 64)
-            n = np.bincount(at.astype(np.int64), minlength=words * 64)
-            alone = n == 1
-            levels.append(np.packbits(alone, bitorder="little").view(np.uint64))
-            left = left[~alone[at.astype(np.int64)]]
-        out = cls(levels, np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint16), rest)
-        slot = out.slots(hashes.astype(np.uint64))
-        out.prints[slot] = prints.astype(np.uint64)
-        out.counts[slot] = np.minimum(counts, 65535).astype(np.uint16)
-        return out
+def build(hashes: np.ndarray, prints: np.ndarray, counts: np.ndarray, least: int) -> dict[str, np.ndarray]:
+    """The arrays of a shard from distinct pairs of 64-bit hashes and prints, and the documents of each.
 
-    def slots(self, hashes: np.ndarray) -> np.ndarray:
-        """The slot of each hash; -1 where no level has one (never for keys of the shard)."""
-        out = np.full(len(hashes), -1, np.int64)
-        left = np.arange(len(hashes))
-        for level, (bits, ranks) in enumerate(zip(self.levels, self.ranks, strict=True)):
-            at = _mix(hashes[left], level) % np.uint64(len(bits) * 64)
-            word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            hit = bits[word] >> bit & np.uint64(1) == 1
-            below = bits[word[hit]] & (np.uint64(1) << bit[hit]) - np.uint64(1)
-            out[left[hit]] = ranks[word[hit]] + np.bitwise_count(below)
-            left = left[~hit]
-        return out
+    bits and ranks: the words of all levels end to end, and the slots before each word;
+    words: how many each level has; prints and counts by slot, counts above 65,535 kept
+    there; listed: hash, print and count of keys whose answer the slots do not give.
+    """
+    member = counts >= least
+    order = np.lexsort((prints, hashes))
+    order = order[member[order]]
+    h = hashes[order]
+    # Of members of one hash the first owns the slot.
+    own = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    left = np.flatnonzero(own)
+    at_slot: list[np.ndarray] = []
+    bits: list[np.ndarray] = []
+    words = np.zeros(LEVELS, np.int64)
+    for level in range(LEVELS):
+        if not len(left):
+            break
+        words[level] = max(1, -(-int(GAMMA * len(left)) // 64))
+        at = (_mix(h[left], level) % np.uint64(words[level] * 64)).astype(np.int64)
+        alone = np.bincount(at, minlength=words[level] * 64) == 1
+        bits.append(np.packbits(alone, bitorder="little").view(np.uint64))
+        sure = alone[at]
+        at_slot.append(left[sure][np.argsort(at[sure])])
+        left = left[~sure]
+    flat = np.concatenate(bits) if bits else np.empty(0, np.uint64)
+    per = np.bitwise_count(flat).astype(np.int64)
+    slot = order[np.concatenate(at_slot)] if at_slot else np.empty(0, np.int64)
+    out = {
+        "bits": flat, "ranks": (np.cumsum(per) - per).astype(np.uint32), "words": words,
+        "prints": (prints[slot] & np.uint64(PRINT)).astype(np.uint16), "counts": np.minimum(counts[slot], 65535).astype(np.uint16), "listed": np.empty(0, np.uint64),
+    }
+    alone = Index([{k: (v, np.array([0, len(v)])) for k, v in out.items()}], 1)
+    wrong = np.flatnonzero(alone.count(hashes, prints) != np.where(member, np.minimum(counts, 65535), 0))
+    out["listed"] = np.stack([hashes[wrong], prints[wrong], np.where(member[wrong], counts[wrong], 0).astype(np.uint64)], axis=1).ravel()
+    return out
+
+
+class Index:
+    """Shards of one or more files, probed for many keys at once.
+
+    files: by name an array of all shards of the file end to end, and where each shard's
+    part begins; ``keys`` has the shards' numbers, by default from 0.
+    """
+
+    def __init__(self, files: list[dict[str, tuple[np.ndarray, np.ndarray]]], n_shards: int, keys: list[np.ndarray] | None = None):
+        self.n_shards = n_shards
+        #: File and row of each shard; no row where a shard has none.
+        self.file, self.row = np.full(n_shards, -1, np.int64), np.zeros(n_shards, np.int64)
+        self.files = []
+        for i, f in enumerate(files):
+            rows = len(f["bits"][1]) - 1
+            own = keys[i] if keys else np.arange(rows)
+            self.file[own], self.row[own] = i, np.arange(rows)
+            words = np.asarray(f["words"][0]).reshape(rows, LEVELS)
+            listed = np.asarray(f["listed"][0]).reshape(-1, 3)
+            self.files.append({k: f[k][0] for k in ("bits", "ranks", "prints", "counts")} | {
+                "words": words, "word": f["bits"][1][:-1, None] + np.cumsum(words, axis=1) - words, "slot": f["counts"][1][:-1],
+                "listed": listed[np.argsort(listed[:, 0], kind="stable")],
+            })
 
     def count(self, hashes: np.ndarray, prints: np.ndarray) -> np.ndarray:
-        """The stored count of each key; 0 if the fingerprint says that it is another."""
+        """The documents of each key as far as they are kept; 0 for those of too few."""
+        out = np.zeros(len(hashes), np.int64)
+        where = shard_of(hashes, self.n_shards)
+        file = self.file[where]
+        for i, f in enumerate(self.files):
+            asked = np.flatnonzero(file == i) if len(self.files) > 1 or (file < 0).any() else np.arange(len(hashes))
+            out[asked] = self._count(f, hashes[asked], prints[asked], self.row[where[asked]])
+        return out
+
+    @staticmethod
+    def _count(f: dict[str, np.ndarray], hashes: np.ndarray, prints: np.ndarray, row: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.int64)
-        slot = self.slots(hashes)
-        found = slot >= 0
-        found[found] = self.prints[slot[found]] == prints[found]
-        out[found] = self.counts[slot[found]]
-        for h, p, n in self.rest:
-            out[(hashes == h) & (prints == p)] = n
+        left = np.arange(len(hashes))
+        for level in range(LEVELS):
+            words = f["words"][row[left], level]
+            left, words = left[words > 0], words[words > 0]
+            if not len(left):
+                break
+            at = _mix(hashes[left], level) % (words * 64).astype(np.uint64)
+            word, bit = f["word"][row[left], level] + (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            found = f["bits"][word]
+            hit = found >> bit & np.uint64(1) == 1
+            sure = left[hit]
+            below = found[hit] & (np.uint64(1) << bit[hit]) - np.uint64(1)
+            slot = f["slot"][row[sure]] + f["ranks"][word[hit]] + np.bitwise_count(below)
+            same = f["prints"][slot] == (prints[sure] & np.uint64(PRINT)).astype(np.uint16)
+            out[sure[same]] = f["counts"][slot[same]]
+            left = left[~hit]
+        listed = f["listed"]
+        if len(listed):
+            low, high = np.searchsorted(listed[:, 0], hashes, "left"), np.searchsorted(listed[:, 0], hashes, "right")
+            for i in np.flatnonzero(low < high).tolist():
+                for _, p, n in listed[low[i] : high[i]]:
+                    if p == prints[i]:
+                        out[i] = n
         return out
 
-    def pack(self) -> bytes:
-        head = np.array([len(self.levels), len(self.counts), len(self.rest), *map(len, self.levels)], "<u8")
-        return b"".join([head.tobytes(), *(x.tobytes() for x in self.levels), self.prints.tobytes(), self.rest.tobytes(), self.counts.tobytes()])
 
-    @classmethod
-    def unpack(cls, raw: bytes) -> Shard:
-        n_levels, n, n_rest = (int(x) for x in np.frombuffer(raw, "<u8", 3))
-        sizes = np.frombuffer(raw, "<u8", n_levels, 24)
-        at, levels = 24 + 8 * n_levels, []
-        for size in map(int, sizes):
-            levels.append(np.frombuffer(raw, np.uint64, size, at))
-            at += 8 * size
-        rest = np.frombuffer(raw, np.uint64, 3 * n_rest, at + 8 * n).reshape(-1, 3)
-        return cls(levels, np.frombuffer(raw, np.uint64, n, at), np.frombuffer(raw, np.uint16, n, at + 8 * n + 24 * n_rest), rest)
+def index(names: list[str], n_shards: int) -> Index:
+    """On an executor: the shards of files of ``deliver``."""
+    files = mapped(names)
+    return Index([{k: (a, m.starts[k]) for k, a in m.arrays.items()} for m in files], n_shards, [m.keys for m in files])
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    """By the top bits, which no level uses alone; the same number as in ``counted``."""
+    """By the top bits, which no level uses alone; the same number as in ``build_shards``."""
     return (hashes.astype(np.uint64) >> np.uint64(32)).astype(np.int64) % n
 
 
@@ -149,8 +184,8 @@ def _lines(text: str, min_chars: int) -> tuple[list[str], list[tuple[int, int] |
     return lines, [key_hash(k) if len(k := line_key(x)) >= min_chars else None for x in lines]
 
 
-def counted(docs: DataFrame, min_chars: int, least: int) -> DataFrame:
-    """h1, h2 and n (documents) of the keys that at least ``least`` documents have.
+def counted(docs: DataFrame, min_chars: int) -> DataFrame:
+    """h1, h2 and n (documents) of all distinct keys.
 
     Distinct within a row; rows are documents, so repeated rows count each.
     """
@@ -166,19 +201,19 @@ def counted(docs: DataFrame, min_chars: int, least: int) -> DataFrame:
                 b += [x[1] for x in own]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["h1", "h2"])
 
-    return columns(docs, "text").mapInArrow(run, "h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return columns(docs, "text").mapInArrow(run, "h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n"))
 
 
-def build_shards(keys: DataFrame, n_shards: int) -> DataFrame:
-    """shard and bytes of ``Shard.pack``. Shards are even: they are dealt by a hash of distinct keys."""
+def build_shards(keys: DataFrame, n_shards: int, least: int) -> DataFrame:
+    """key (the shard) and bytes of the arrays of ``build``. Shards are even: they are dealt by a hash of distinct keys."""
 
     def run(table: pa.Table) -> pa.Table:
         h, p = (table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
-        raw = Shard.build(h, p, table.column("n").to_numpy()).pack()
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "bytes": pa.array([raw], pa.binary())})
+        raw = pack(**build(h, p, table.column("n").to_numpy(), least))
+        return pa.table({"key": pa.array([table.column("shard")[0].as_py()], pa.int32()), "bytes": pa.array([raw], pa.binary())})
 
     placed = keys.withColumn("shard", F.pmod(F.shiftrightunsigned("h1", 32), F.lit(n_shards)).cast("int"))
-    return placed.groupBy("shard").applyInArrow(run, "shard int, bytes binary")
+    return placed.groupBy("shard").applyInArrow(run, "key int, bytes binary")
 
 
 # -- probing ----------------------------------------------------------------------
@@ -194,17 +229,7 @@ def _result(doc_ids: pa.Array, lines: list[list[str]], gone: list[set[int]], ful
     return pa.RecordBatch.from_arrays(cols + extra, names=names + [f"x{i}" for i in range(len(extra))])
 
 
-def _probe(shards: dict[int, Shard], n_shards: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(a), np.int64)
-    where = shard_of(a, n_shards)
-    for s in np.unique(where).tolist():
-        if s in shards:
-            own = where == s
-            out[own] = shards[s].count(a[own], b[own])
-    return out
-
-
-def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, full: bool = False, extra: tuple[str, ...] = (), broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, full: bool = False, extra: tuple[str, ...] = (), shard_keys: int = SHARD_KEYS) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of every row; full: also kept, the text that stays.
 
     Lines whose key (blanks off both ends, A-Z lower) has at least ``min_chars`` code
@@ -216,75 +241,29 @@ def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, full:
     """
     if min_docs > 65535:
         raise ValueError("counts are kept up to 65535")
-    spark = docs.sparkSession
-    shared = Shared(spark)
-    keys = shared.keep(counted(docs, min_chars, min(2, min_docs)))
-    n_keys = keys.count()
-    n_shards = max(1, -(-n_keys // shard_keys))
-    index = shared.keep(build_shards(keys, n_shards))
+    shared = Shared(docs.sparkSession)
+    keys = shared.keep(counted(docs, min_chars))
+    n_shards = max(1, -(-keys.count() // shard_keys))
+    names = deliver(shared, build_shards(keys, n_shards, min(2, min_docs)), -(-n_shards // FILE_SHARDS))
     shared.drop(keys)
     src = columns(docs, "doc_id", "text", *extra).toDF("doc_id", "text", *(f"x{i}" for i in range(len(extra))))
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * full + "".join(f", x{i} {src.schema[f'x{i}'].dataType.simpleString()}" for i in range(len(extra)))
-    size = index.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
-        sent = spark.sparkContext.broadcast({r["shard"]: r["bytes"] for r in index.collect()})
-
-        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shards = {k: Shard.unpack(v) for k, v in sent.value.items()}
-            for batch in slices(batches):
-                found = [_lines(t, min_chars) for t in texts(batch)]
-                flat = [h for _, own in found for h in own if h is not None]
-                n = _probe(shards, n_shards, np.array([x[0] for x in flat], np.int64).view(np.uint64), np.array([x[1] for x in flat], np.int64).view(np.uint64))
-                hit, at, gone = (n >= min_docs).tolist(), 0, []
-                for _, own in found:
-                    out = set()
-                    for i, h in enumerate(own):
-                        if h is not None:
-                            if hit[at]:
-                                out.add(i)
-                            at += 1
-                    gone.append(out)
-                yield _result(batch.column("doc_id"), [x[0] for x in found], gone, full, batch.columns[2:])
-
-        return src.mapInArrow(clean, schema)
-    return _routed(shared, src, index, schema, n_shards, min_docs, min_chars, full)
-
-
-def _routed(shared: Shared, src: DataFrame, index: DataFrame, schema: str, n_shards: int, min_docs: int, min_chars: int, full: bool) -> DataFrame:
-    """As ``line_dedup``, with the line hashes sent to the shards.
-
-    Rows get a number of their own. A shard is repeated once for each salt, so that no
-    task has all probes of a hot shard; the numbers of the lines to drop return.
-    """
-    salts = 4
-    rows = shared.keep(src.withColumn("row", F.monotonically_increasing_id()))
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: list[list[int]] = [[], [], [], []]
-            for row, text in zip(batch.column("row").to_pylist(), texts(batch), strict=True):
-                for i, h in enumerate(_lines(text, min_chars)[1]):
-                    if h is not None:
-                        for values, x in zip(out, (row, i, *h), strict=True):
-                            values.append(x)
-            where = shard_of(np.array(out[2], np.int64).view(np.uint64), n_shards) * salts + np.array(out[0], np.int64) % salts
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), *(pa.array(x, pa.int64()) for x in out)], names=["place", "row", "line", "h1", "h2"])
-
-    def look(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return left.select(["row", "line"]).slice(0, 0)
-        n = Shard.unpack(right.column("bytes")[0].as_py()).count(left.column("h1").to_numpy().view(np.uint64), left.column("h2").to_numpy().view(np.uint64))
-        return left.select(["row", "line"]).filter(pa.array(n >= min_docs))
-
-    asked = rows.select("row", "text").mapInArrow(probes, "place long, row long, line long, h1 long, h2 long")
-    held = index.select("bytes", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "shard").select((F.col("shard").cast("long") * salts + F.col("salt")).alias("place"), "bytes")
-    hits = asked.groupBy("place").cogroup(held.groupBy("place")).applyInArrow(look, "row long, line long")
-    found = rows.join(hits.groupBy("row").agg(F.collect_list("line").alias("gone")), "row", "left").drop("row")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = index(names, n_shards)
         for batch in slices(batches):
-            lines = [t.split("\n") for t in texts(batch)]
-            names = [n for n in batch.schema.names if n[0] == "x"]
-            yield _result(batch.column("doc_id"), lines, [set(x or ()) for x in batch.column("gone").to_pylist()], full, [batch.column(n) for n in names])
+            found = [_lines(t, min_chars) for t in texts(batch)]
+            flat = [h for _, own in found for h in own if h is not None]
+            n = shards.count(np.array([x[0] for x in flat], np.int64).view(np.uint64), np.array([x[1] for x in flat], np.int64).view(np.uint64))
+            hit, at, gone = (n >= min_docs).tolist(), 0, []
+            for _, own in found:
+                out = set()
+                for i, h in enumerate(own):
+                    if h is not None:
+                        if hit[at]:
+                            out.add(i)
+                        at += 1
+                gone.append(out)
+            yield _result(batch.column("doc_id"), [x[0] for x in found], gone, full, batch.columns[2:])
 
-    return found.mapInArrow(clean, schema)
+    return src.mapInArrow(clean, schema)

@@ -9,10 +9,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from archivolt.llm import line_dedup as L
+from archivolt.llm import mapped as M
 from archivolt.llm.base import Shared
 from archivolt.llm.components import components
 from archivolt.llm.decontaminate import decontaminate, without, words
-from archivolt.llm.line_dedup import Shard, key_hash, line_dedup, line_key
+from archivolt.llm.line_dedup import key_hash, line_dedup, line_key
 from archivolt.llm.near_dedup import near_dedup
 from archivolt.llm.shards import pack, shard
 from archivolt.llm.sketch import shingles, sketches
@@ -122,36 +124,65 @@ def brute_lines(rows, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
-def test_lines_as_by_brute_force(spark, broadcast_bytes):
-    """-1: the hashes go to the shards."""
+@pytest.mark.parametrize("shard_keys", [1 << 18, 8])
+def test_lines_as_by_brute_force(spark, shard_keys):
+    """8: many shards."""
     rng = random.Random(2)
     common = ["Home | About", "  HOME | about\t", "©2020", "É", "é", ""]
     rows = [(i, "\n".join(rng.choice(common) if rng.random() < 0.4 else f"line {rng.randrange(60)}" for _ in range(rng.randint(1, 9)))) for i in range(80)]
     rows += [(None, "Home | About\nown"), (3, "Home | About"), (3, "Home | About"), (90, None), (91, ""), (92, "\n\n"), (93, "x" * 20_000 + "\nHome | About")]
     df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, row int").repartition(3)
-    out = line_dedup(df, min_docs=5, broadcast_bytes=broadcast_bytes, shard_keys=8, full=True, extra=("row",)).collect()
+    out = line_dedup(df, min_docs=5, shard_keys=shard_keys, full=True, extra=("row",)).collect()
     assert sorted([(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in out], key=repr) == brute_lines(rows, 5)
     assert all(r["x0"] == 5 and SHA(r["kept"]) == r["kept_sha256"] for r in out)
-    assert line_dedup(df.limit(0), broadcast_bytes=broadcast_bytes).collect() == []
+    assert line_dedup(df.limit(0)).collect() == []
+
+
+def test_a_hot_line_is_nothing_special(spark):
+    """One line in every document, many of it, and lines around the threshold; no line is shuffled but for counting."""
+    rows = [(i, f"hot\nHOT \nown {i}\nshared {i // 9}\nten {i // 10}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = line_dedup(df, shard_keys=500)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted([(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in out.collect()], key=repr) == brute_lines(rows, 10)
+
+
+def one_shard(h, p, c, least):
+    raw = M.unpack(M.pack(**L.build(h, p, c, least)))
+    return raw, L.Index([{k: (v, np.array([0, len(v)])) for k, v in raw.items()}], 1)
 
 
 def test_shards_are_minimal_and_perfect():
+    """A slot for each key of enough documents and no more; keys of fewer are told apart exactly."""
     rng = np.random.default_rng(0)
-    for n in (0, 1, 2, 63, 5000):
+    for n in (0, 1, 2, 63, 5000, 200_000):
         h = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-        p, c = rng.integers(0, 1 << 63, len(h)).astype(np.uint64), rng.integers(1, 70_000, len(h))
-        s = Shard.unpack(Shard.build(h, p, c).pack())
-        assert sorted(s.slots(h).tolist()) == list(range(len(h)))
-        assert s.count(h, p).tolist() == np.minimum(c, 65535).tolist()
-        other = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
-        assert not s.count(other, other).any()
+        p, c = rng.integers(0, 1 << 63, len(h)).astype(np.uint64), rng.integers(1, 4, len(h)) * rng.choice([1, 40_000], len(h))
+        raw, s = one_shard(h, p, c, 2)
+        assert len(raw["counts"]) == len(raw["prints"]) == (c >= 2).sum() == np.bitwise_count(raw["bits"]).sum()
+        assert s.count(h, p).tolist() == np.where(c >= 2, np.minimum(c, 65535), 0).tolist()
+        if n == 200_000:
+            assert 0 < len(raw["listed"]) // 3 < 20
+            assert sum(a.nbytes for k, a in raw.items() if k != "listed") < 5.5 * len(raw["counts"])
 
 
 def test_keys_of_one_hash_are_told_apart():
-    h, p, c = np.array([5, 7, 5, 5], np.uint64), np.array([1, 2, 3, 4], np.uint64), np.array([9, 8, 7, 6])
-    s = Shard.unpack(Shard.build(h, p, c).pack())
-    assert s.count(h, p).tolist() == c.tolist() and s.count(h, p + np.uint64(9)).tolist() == [0] * 4
+    h, p, c = np.array([5, 7, 5, 5, 5], np.uint64), np.array([1, 2, 3, 4, 65537], np.uint64), np.array([9, 8, 7, 6, 1])
+    assert one_shard(h, p, c, 2)[1].count(h, p).tolist() == [9, 8, 7, 6, 0]
+
+
+def test_shards_of_several_files():
+    rng = np.random.default_rng(5)
+    h = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2))
+    p, c = rng.integers(0, 1 << 63, len(h)).astype(np.uint64), rng.integers(1, 9, len(h))
+    where, n = L.shard_of(h, 7), 7
+    files, keys = [], []
+    for own in ([0, 3], [1, 2, 6], [5]):  # nothing of shard 4
+        parts = [L.build(h[where == k], p[where == k], c[where == k], 2) for k in own]
+        files.append({x: (np.concatenate([a[x] for a in parts]), np.cumsum([0] + [len(a[x]) for a in parts])) for x in parts[0]})
+        keys.append(np.array(own))
+    got = L.Index(files, n, keys).count(h, p)
+    assert got.tolist() == np.where((c >= 2) & (where != 4), c, 0).tolist()
 
 
 def test_keys():
