@@ -1,29 +1,32 @@
-"""Benchmark decontamination: a broadcast hash set of test n-grams, scanned and verified.
+"""Benchmark decontamination: a hash set of test n-grams on every executor, scanned and verified.
 
-A word of the benchmark gets a number; other words are 0. A document becomes a row
-of numbers, and only windows without a 0 can be test windows: they are hashed, looked
-up in the sorted hashes of the test windows, and compared number by number.
-
-The benchmark goes to the executors in blocks of at most BLOCK_BYTES of text, one
-scan of the documents a block, so no broadcast grows with it.
+Every word has a 64-bit hash, and a window one of the hashes of its words. The distinct
+windows of the benchmark, with their words and items, become sorted arrays, dealt to
+parts by ranges of the hash. They reach the executors as files, which tasks map: so one
+scan of the documents serves a benchmark of any size, and no worker holds it. A window of
+a document whose hash is there is compared word by word before it counts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, slices, texts
+from .base import Shared, columns, slices, texts
+from .mapped import Mapped, deliver, mapped, pack
 
-#: Text bytes of the benchmark that are broadcast at a time.
-BLOCK_BYTES = 4 << 20
+#: Test windows of a part, about, and parts of a file.
+PART_WINDOWS, FILE_PARTS = 1 << 16, 64
+#: Words whose hashes a worker remembers; it starts anew when full.
+KEEP_WORDS = 400_000
+_M1 = np.uint64(0xFF51AFD7ED558CCD)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Bytes to bytes: A-Z in lower case, and a space for ASCII that is no letter or digit.
@@ -34,80 +37,136 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_TABLE).split()
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, never 0: that parts documents."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = xxhash.xxh3_64_intdigest(word) or 1
+        if len(self) >= KEEP_WORDS:
+            self.clear()
+        self[word] = out
+        return out
+
+
+_hashes = _Hashes()
+
+
+def window_hashes(row: np.ndarray, size: int) -> np.ndarray:
+    """Of all runs of ``size`` word hashes; windows of other sizes have other hashes."""
+    n = max(0, len(row) - size + 1)
+    out = np.full(n, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            out = (out ^ row[i : n + i]) * _M1
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def benchmark_windows(tests: DataFrame, n: int) -> DataFrame:
+    """h, size, words (joined by spaces) and items (ascending) of the distinct windows of item_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=1 << 18):
+            h: list[np.ndarray] = []
+            size: list[int] = []
+            found: list[bytes] = []
+            item: list[int] = []
+            for name, text in zip(batch.column("item_id").to_pylist(), texts(batch), strict=True):
+                own = words(text)
+                k = min(n, len(own))
+                if k:
+                    h.append(window_hashes(np.array([_hashes[w] for w in own], np.uint64), k).view(np.int64))
+                    found += [b" ".join(own[i : i + k]) for i in range(len(own) - k + 1)]
+                    size += [k] * len(h[-1])
+                    item += [name] * len(h[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h) if h else np.empty(0, np.int64)), pa.array(size, pa.int32()), pa.array(found, pa.binary()), pa.array(item, pa.int64())], names=["h", "size", "words", "item"])
+
+    return tests.mapInArrow(run, "h long, size int, words binary, item long").groupBy("h", "size", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def build_parts(windows: DataFrame, parts: int) -> DataFrame:
+    """key (the part) and bytes: hashes in order, and of each where its words and its items end."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h = table.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h, kind="stable")
+        found, items = table.column("words").to_pylist(), table.column("items").to_pylist()
+        raw = pack(
+            hash=h[order], words_end=np.cumsum([len(found[i]) for i in order], dtype=np.int64), words=np.frombuffer(b"".join(found[i] for i in order), np.uint8),
+            items_end=np.cumsum([len(items[i]) for i in order], dtype=np.int64), items=np.concatenate([np.array(items[i], np.int64) for i in order]),
+        )
+        return pa.table({"key": pa.array([table.column("part")[0].as_py()], pa.int32()), "bytes": pa.array([raw], pa.binary())})
+
+    top = F.shiftrightunsigned("h", 40)
+    placed = windows.select(F.shiftright(top * parts, 24).cast("int").alias("part"), "h", "words", "items")
+    return placed.groupBy("part").applyInArrow(run, "key int, bytes binary")
+
+
 class Windows:
-    """The test windows of some items."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int):
-        self.number: dict[bytes, int] = {}
-        by_size: dict[int, list[np.ndarray]] = {}
-        number = self.number
-        owner: dict[int, list[int]] = {}
-        for item, text in items:
-            own = np.array([number.setdefault(w, len(number) + 1) for w in words(text)], np.uint32)
-            size = min(n, len(own))
-            if size:
-                grams = np.lib.stride_tricks.sliding_window_view(own, size)
-                by_size.setdefault(size, []).append(grams)
-                owner.setdefault(size, []).extend([item] * len(grams))
-        #: By size: hashes in order, and at the same places windows and items.
-        self.sets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size, found in by_size.items():
-            grams = np.concatenate(found)
-            hashes = self.hash(grams)
-            order = np.argsort(hashes, kind="stable")
-            self.sets[size] = hashes[order], grams[order], np.array(owner[size], np.int64)[order]
+    """The test windows of files of ``deliver``; sizes: the numbers of words that there are."""
+
+    def __init__(self, files: list[Mapped], sizes: list[int]):
+        self.files, self.sizes = files, sizes
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, list[tuple[Mapped, int]]]:
+        """The places in ``hashes`` that are some window's hash, and the first such window of each."""
+        at: list[np.ndarray] = []
+        out: list[tuple[Mapped, int]] = []
+        for f in self.files:
+            own = f.arrays["hash"]
+            place = np.searchsorted(own, hashes)
+            hit = np.flatnonzero(own[np.minimum(place, len(own) - 1)] == hashes)
+            at.append(hit)
+            out += [(f, i) for i in place[hit].tolist()]
+        return np.concatenate(at) if at else np.empty(0, np.int64), out
 
     @staticmethod
-    def hash(grams: np.ndarray) -> np.ndarray:
-        odd = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(grams.shape[1])], np.uint64)
-        out = np.zeros(len(grams), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(grams.shape[1]):
-                x = grams[:, k].astype(np.uint64)
-                out += x * odd[k] ^ x >> np.uint64(7)
-        return out
+    def items(f: Mapped, i: int, found: bytes) -> list[int] | None:
+        """Items of the window ``found``, one of those that have the hash at place i; None if it is none of them."""
+        a = f.arrays
+        for j in range(i, len(a["hash"])):
+            if a["hash"][j] != a["hash"][i]:
+                return None
+            row = int(np.searchsorted(f.starts["hash"], j, "right")) - 1
+            local = j - f.starts["hash"][row]
+            own = {}
+            for name in ("words", "items"):
+                begin = a[f"{name}_end"][j - 1] if local else 0
+                start = f.starts[name][row]
+                own[name] = a[name][start + begin : start + a[f"{name}_end"][j]]
+            if own["words"].tobytes() == found:
+                return own["items"].tolist()
+        return None
 
     def scan(self, docs: list[list[bytes]]) -> tuple[list[np.ndarray], list[set[int]]]:
         """For each document a mask of the words hit, and the items with a window in it."""
-        get = self.number.get
-        flat: list[int] = []
         starts: list[int] = []
+        flat: list[bytes] = []
         for own in docs:
             starts.append(len(flat))
-            flat += [get(w, 0) for w in own]
-            flat.append(0)
-        row = np.array(flat, np.uint32)
+            flat += own
+            flat.append(b"")
+        row = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat))
+        begin = np.array(starts, np.int64)
+        row[[s + len(own) for s, own in zip(starts, docs, strict=True)]] = 0
         zeros = np.concatenate([[0], np.cumsum(row == 0)])
         edge = np.zeros(len(row) + 1, np.int64)
         items: list[set[int]] = [set() for _ in docs]
-        begin = np.array(starts, np.int64)
-        for size, (hashes, windows, owner) in self.sets.items():
+        for size in self.sizes:
             if len(row) < size:
                 continue
             at = np.flatnonzero(zeros[size:] == zeros[: len(zeros) - size])
-            grams = row[at[:, None] + np.arange(size)] if len(at) else np.empty((0, size), np.uint32)
-            h = self.hash(grams)
-            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for i in np.flatnonzero(low < high).tolist():
-                same = (windows[low[i] : high[i]] == grams[i]).all(axis=1)
-                if same.any():
-                    edge[at[i]] += 1
-                    edge[at[i] + size] -= 1
-                    items[int(np.searchsorted(begin, at[i], "right")) - 1].update(owner[low[i] : high[i]][same].tolist())
+            place, found = self.find(window_hashes(row, size)[at])
+            for i, (f, k) in zip(at[place].tolist(), found, strict=True):
+                own = self.items(f, k, b" ".join(flat[i : i + size]))
+                if own is not None:
+                    edge[i] += 1
+                    edge[i + size] -= 1
+                    items[int(np.searchsorted(begin, i, "right")) - 1].update(own)
         hit = np.cumsum(edge)[:-1] > 0
         return [hit[s : s + len(own)] for s, own in zip(starts, docs, strict=True)], items
 
 
-_built: dict[str, Windows] = {}
-
-
-def _windows(key: str, items: list[tuple[int, str]], n: int) -> Windows:
-    if key not in _built:
-        _built.clear()
-        _built[key] = Windows(items, n)
-    return _built[key]
-
-
 def without(text: str, hit: np.ndarray) -> str:
     """The text less every run of hit words, from the start of its first to the end of its last."""
     out: list[str] = []
@@ -125,7 +184,7 @@ def without(text: str, hit: np.ndarray) -> str:
     return "".join(out) + text[at:]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, full: bool = False, extra: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, full: bool = False, extra: tuple[str, ...] = (), part_windows: int = PART_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row.
 
     full: also items (their ids) and clean, the text without the hit spans.
@@ -134,46 +193,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, full: b
     fewer. Rows of the benchmark without words or without item_id have none; repeated
     ones count once. A null text has no words. Repeated rows and null ids stay as they
     are; an empty table gives an empty table, and with an empty benchmark nothing is
-    hit. No shuffle. A task holds one slice of texts and their word numbers; a very
-    long text is a slice alone. extra: further columns to carry along, as x0, x1 and so on.
+    hit. Documents are not shuffled. A task holds one slice of texts and their word hashes;
+    a very long text is a slice alone. extra: further columns to carry along, as x0, x1 and so on.
     """
-    spark = docs.sparkSession
+    shared = Shared(docs.sparkSession)
     tests = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    windows = shared.keep(benchmark_windows(tests, n))
+    found = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    sizes, parts = sorted(found), max(1, -(-sum(found.values()) // part_windows))
+    names = deliver(shared, build_parts(windows, parts), -(-parts // FILE_PARTS))
+    shared.drop(windows)
     src = columns(docs, "doc_id", "text", *extra).toDF("doc_id", "text", *(f"x{i}" for i in range(len(extra))))
     more = "".join(f", x{i} {src.schema[f'x{i}'].dataType.simpleString()}" for i in range(len(extra)))
-    state = "doc_id long, text string, hit binary, items array<long>" + more
-    for block in range(blocks):
-        own = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["item_id"], r["text"]) for r in own.distinct().collect()]))
-        src = src.mapInArrow(_scan(sent, n, block == 0, block == blocks - 1, full), _schema(full) + more if block == blocks - 1 else state)
-    return src
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", items array<long>, clean string" * full + more
 
-
-def _schema(full: bool) -> str:
-    return "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", items array<long>, clean string" * full
-
-
-def _scan(sent, n: int, first: bool, last: bool, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = _windows(*sent.value, n)
+        own = Windows(mapped(names), sizes)
         for batch in slices(batches, most=1 << 20):
-            found = texts(batch)
-            carried = [c for c in batch.schema.names if c[0] == "x"]
-            masks, items = tests.scan([words(t) for t in found])
-            if not first:
-                masks = [m | np.frombuffer(old, bool) for m, old in zip(masks, batch.column("hit").to_pylist(), strict=True)]
-                items = [a | set(b) for a, b in zip(items, batch.column("items").to_pylist(), strict=True)]
-            if not last:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string()), pa.array([m.tobytes() for m in masks], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), *(batch.column(c) for c in carried)], names=["doc_id", "text", "hit", "items"] + carried)
-                continue
+            masks, items = own.scan([words(t) for t in texts(batch)])
             hits = [int(m.sum()) for m in masks]
             out = [batch.column("doc_id"), pa.array([len(m) for m in masks], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items], pa.string()), pa.array([h > 0 for h in hits], pa.bool_())]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+            names_ = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
             if full:
-                out += [pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array([without(t, m) for t, m in zip(found, masks, strict=True)], pa.string())]
-                names += ["items", "clean"]
-            yield pa.RecordBatch.from_arrays(out + [batch.column(c) for c in carried], names=names + carried)
+                out += [pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array([without(t, m) for t, m in zip(texts(batch), masks, strict=True)], pa.string())]
+                names_ += ["items", "clean"]
+            carried = [c for c in batch.schema.names if c[0] == "x"]
+            yield pa.RecordBatch.from_arrays(out + [batch.column(c) for c in carried], names=names_ + carried)
 
-    return run
+    return src.mapInArrow(run, schema)

@@ -214,8 +214,9 @@ def brute_leaks(rows, bench, n):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_leaks_as_by_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("part_windows", [1 << 16, 3])
+def test_leaks_as_by_brute_force(spark, part_windows):
+    """3: many parts."""
     rng = random.Random(4)
     vocab = [f"t{i}" for i in range(12)] + ["É1", "日"]
     text = lambda n: " ".join(rng.choice(vocab) + rng.choice(["", ",", "-"]) for _ in range(n))
@@ -223,13 +224,55 @@ def test_leaks_as_by_brute_force(spark, block_bytes):
     rows = [(i, text(rng.randint(0, 60))) for i in range(40)] + [(50, None), (51, ""), (None, text(30)), (7, "T1-t2"), (7, "T1-t2"), (52, bench[0][1].upper() + " end")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, hit string").repartition(3)
     b = spark.createDataFrame(bench, "item_id long, text string")
-    out = decontaminate(df, b, n=4, block_bytes=block_bytes, full=True, extra=("hit",)).collect()
+    out = decontaminate(df, b, n=4, part_windows=part_windows, full=True, extra=("hit",)).collect()
     assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out], key=repr) == brute_leaks(rows, bench, 4)
     assert all(r["x0"] == "x" for r in out)
     assert all(not r["contaminated"] for r in decontaminate(df, b.limit(0)).collect())
     assert decontaminate(df.limit(0), b).collect() == []
 
 
+def test_a_large_benchmark_takes_one_scan(spark):
+    """Hundreds of parts in several files: one pass of Python over the documents, no join, and the same rows as by brute force."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"v{rng.randrange(3000)}" for _ in range(n))
+    bench = [(i, text(60)) for i in range(400)]
+    rows = [(i, text(rng.randint(0, 80)) + " " + " ".join(bench[rng.randrange(400)][1].split()[5:25]) * (i % 2)) for i in range(120)]
+    out = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string").repartition(5), part_windows=100)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    got = sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out.collect()], key=repr)
+    assert got == brute_leaks(rows, bench, 10) and sum(r[5] for r in got) >= 60
+
+
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With hashes of two bits every window meets others; only equal words count."""
+    from archivolt.llm import decontaminate as D
+
+    class Weak(dict):
+        def __missing__(self, word):
+            return 1 + len(word) % 2
+
+    rng = random.Random(9)
+    text = lambda n: [rng.choice(["a", "bb", "cc", "d"]).encode() for _ in range(n)]
+    monkeypatch.setattr(D, "_hashes", Weak())
+    found = defaultdict(set)
+    for i in range(12):
+        w = text(8)
+        for k in range(6):
+            found[b" ".join(w[k : k + 3])].add(i)
+    h = np.concatenate([D.window_hashes(np.array([Weak()[x] for x in w.split()], np.uint64), 3) for w in found])
+    order = np.argsort(h, kind="stable")
+    ws = [list(found)[i] for i in order]
+    a = {"hash": h[order], "words_end": np.cumsum([len(w) for w in ws]), "words": np.frombuffer(b"".join(ws), np.uint8), "items_end": np.cumsum([len(found[w]) for w in ws]), "items": np.concatenate([sorted(found[w]) for w in ws])}
+    file = type("File", (), {"arrays": a, "starts": {k: np.array([0, len(v)]) for k, v in a.items()}})()
+    docs = [text(30) for _ in range(10)]
+    masks, items = D.Windows([file], [3]).scan(docs)
+    for own, mask, got in zip(docs, masks, items, strict=True):
+        hits = [k for k in range(28) if b" ".join(own[k : k + 3]) in found]
+        assert set(np.flatnonzero(mask).tolist()) == {k + j for k in hits for j in range(3)}
+        assert got == set().union(*(found[b" ".join(own[k : k + 3])] for k in hits))
+
+
 def test_spans_go():
     text = "Keep THIS, drop These Words! and keep."
     hit = np.array([w in (b"these", b"words") for w in words(text)])
