@@ -256,9 +256,10 @@ def write_blocks(docs: DataFrame, path: str, *, end_id: int, shards: int | None
         if names:
             yield flush()
 
-    src = columns(docs, "doc_id", "text").where("doc_id is not null")
+    # Among rows of one doc_id their place in the input decides, so that many of them are many ranges.
+    src = columns(docs, "doc_id", "text").where("doc_id is not null").withColumn("at", F.monotonically_increasing_id())
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return src.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, BLOCK_SCHEMA)
+    return src.repartitionByRange(n, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA)
 
 
 def read_blocks(blocks: DataFrame, *, ids: bool = False) -> DataFrame:
@@ -290,7 +291,8 @@ def id_files(docs: DataFrame, path: str, *, end_id: int = 2, shards: int | None
 
     A null text counts as empty: end_id alone. Repeated ids keep all their rows, one
     after another; among them the order is free. Rows without a doc_id have no place
-    in the order: they get start null and are read back from blocks of their own.
+    in the order: they get start null and are read back from blocks of their own, written
+    by many tasks.
     Very long texts fill a block alone. An empty table gives an empty table.
     """
     shared = Shared(docs.sparkSession)
@@ -299,5 +301,5 @@ def id_files(docs: DataFrame, path: str, *, end_id: int = 2, shards: int | None
     rest = columns(docs, "doc_id", "text").where("doc_id is null")
     if rest.isEmpty():
         return out
-    other = shared.keep(write_blocks(rest.withColumn("doc_id", F.lit(0)), path, end_id=end_id, shards=1))
+    other = shared.keep(write_blocks(rest.withColumn("doc_id", F.monotonically_increasing_id()), path, end_id=end_id, shards=shards))
     return out.unionByName(read_blocks(other, ids=ids).withColumns({"doc_id": F.lit(None).cast("long"), "start": F.lit(None).cast("long")}))
