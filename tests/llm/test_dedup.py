@@ -315,6 +315,53 @@ def test_pack_puts_items_where_most_room_is():
     assert pack([], 3) == {}
 
 
+def brute_place(items, left, weights):
+    """Largest first; every bin's dot product written out."""
+    out = [None] * len(items)
+    left = [list(x) for x in left]
+    for i in sorted(range(len(items)), key=lambda i: (-max(items[i]), i)):
+        dots = [sum(w * a * b for w, a, b in zip(weights, items[i], own, strict=True)) for own in left]
+        best = dots.index(max(dots))
+        left[best] = [a - b for a, b in zip(left[best], items[i], strict=True)]
+        out[i] = best
+    return out
+
+
+def test_items_are_placed_as_by_brute_force(spark):
+    """Whole numbers, so that sums are exact; then the bins of tasks, as the operator makes them."""
+    from archivolt.llm import shards as H
+
+    rng = np.random.default_rng(7)
+    for n, bins in ((0, 3), (1, 1), (200, 7)):
+        v, left = rng.integers(0, 50, (n, 3)).astype(float), rng.integers(20, 400, (bins, 3)).astype(float)
+        want = brute_place(v.tolist(), left.tolist(), H.WEIGHTS)
+        assert H.place(v, left).tolist() == want
+    rows = [(i, 0, int(a), int(b), 1) for i, (a, b) in enumerate(rng.integers(1, 1000, (300, 2)))]
+    df = spark.createDataFrame(rows, "h long, part int, bytes long, tokens long, rows long").repartition(3, "h")
+    totals = tuple(sum(r[k] for r in rows) for k in (2, 3, 4))
+    out = H.packed(df, 4, totals).collect()
+    by_task = defaultdict(list)
+    for r in out:
+        by_task[r["task"]].append(r)
+    assert len(out) == 300 and len(by_task) == 3
+    sizes = np.repeat(3.0 ** -np.arange(6), 4)
+    for own in by_task.values():
+        v = np.array([[rows[r["h"]][k] for k in (2, 3, 4)] for r in own]) / (np.array(totals) / 4)
+        assert [r["bin"] for r in own] == brute_place(v.tolist(), (sizes[:, None] / sizes.sum() * v.sum(axis=0)).tolist(), H.WEIGHTS)
+
+
+def test_items_are_packed_in_batches(spark, monkeypatch):
+    from archivolt.llm import shards as H
+
+    rng = random.Random(3)
+    rows = [(i, f"{i} " + "w " * rng.randint(1, 90)) for i in range(4000)]
+    monkeypatch.setattr(H, "BATCH", 100)
+    sizes = Counter()
+    for r in shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=5).collect():
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) < 0.01 * sum(sizes.values()) / 5
+
+
 def test_tokens_are_words(spark):
     from pyspark.sql import functions as F
 
