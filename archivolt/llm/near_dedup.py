@@ -5,12 +5,16 @@
 2. Bands of the sketch are keys; nodes of equal keys are candidates. All (key, node) rows
    are sorted by range, so that a hot key is dealt to many tasks, and neighbours in the
    order are tied. The components of these ties are clusters: candidates share one.
-3. Candidates are verified on full sets inside jobs of at most about BLOCK nodes, which return
-   only links that join something (fewer than their nodes), never pairs. A cluster beyond
-   BLOCK is dealt to half blocks by hash, and each job has two neighbouring ones, so the
-   work is linear and a group of true copies grows together. Only nodes that are still
-   outside the largest component of such a cluster are then held against all of it, block by
-   block: this loses no link, as links inside a component add nothing.
+3. Candidates are verified on full sets inside jobs of at most about BLOCK nodes and ELEMENTS
+   shingles, which return only links that join something (fewer than their nodes), never
+   pairs. A cluster beyond that is dealt to half blocks by hash, and each job has two
+   neighbouring ones, so the work is linear and a group of true copies grows together. Only
+   nodes that are still outside the largest component of such a cluster are then held
+   against others of it, block by block: this loses no link, as links inside a component
+   add nothing. A node goes to a block of outside nodes only if the two share a shingle of
+   their prefixes, the shingles that are rarest in the cluster: of two sets as similar as
+   asked, both prefixes have one in common. So in a large loose cluster, whose texts share
+   a frame and no more, the work stays near linear.
 4. Components of the links name the documents to keep.
 """
 
@@ -30,8 +34,8 @@ from .sketch import band_keys, shingles, sketches
 
 #: A pair of similarity 0.8 shares none of 40 bands of 6 coordinates with probability 6e-6, one of 0.85 with 6e-9.
 BANDS, ROWS = 40, 6
-#: Nodes of a job, about.
-BLOCK = 1024
+#: Nodes of a job, and shingles of all its sets, about. A single larger set is a job's as well.
+BLOCK, ELEMENTS = 1024, 8 << 20
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -102,16 +106,18 @@ def ties(shared: Shared, nodes: DataFrame) -> DataFrame:
 def _similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """Which pairs have 100 * intersection >= percent * union; exact, for all pairs at once.
 
-    Only shingles of both sides count; they are columns of 0/1 matrices, taken some
-    thousands at a time, and the product of these has the sizes of all intersections.
+    Only shingles of both sides and of two sets at least count; they are columns of 0/1
+    matrices, taken some thousands at a time, and the product of these has the sizes of
+    all intersections of different sets.
     """
     a, b = np.concatenate(left), np.concatenate(right)
-    both = np.intersect1d(a, b)
+    found, times = np.unique(np.concatenate(list({id(x): x for x in (*left, *right)}.values())), return_counts=True)
+    both = np.intersect1d(np.intersect1d(a, b), found[times > 1])
     inter = np.zeros((len(left), len(right)), np.float32)
     sides = []
     for sets, flat in ((left, a), (right, b)):
         row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))  # the last, where it is none of them
         hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
         row, at = row[hit], at[hit]
         order = np.argsort(at, kind="stable")
@@ -176,12 +182,38 @@ def _jobs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("job").applyInArrow(run, "a long, b long")
 
 
-def links(shared: Shared, docs: DataFrame, nodes: DataFrame, percent: int, k: int, block: int) -> DataFrame:
+def _prefixes(rest: DataFrame, percent: int) -> DataFrame:
+    """cluster, node, mine, out, n (size of the set) and t: of each node the shingles t of its prefix that another node of the cluster has.
+
+    Shingles are in order of their number of nodes in the cluster. A set of n shingles
+    shares ceil(percent * n / 100) with one as similar as asked, so the first of these is
+    among its first n - ceil(percent * n / 100) + 1. Those that no other node has come first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.frombuffer(batch.column("set")[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(c)[i].as_py())) for c in ("cluster", "node")] + [pa.array(own)], names=["cluster", "node", "t"])
+
+    every = rest.select("cluster", "node", "set").mapInArrow(run, "cluster long, node long, t long")
+    often = every.groupBy("cluster", "t").agg(F.count("*").alias("f")).where("f > 1")
+    shared = every.join(often, ["cluster", "t"]).groupBy("cluster", "node").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("ts"))
+    n = (F.length("set") / 8).cast("int")
+    length = n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1
+    lone = n - F.size("ts")
+    prefix = F.slice("ts", 1, F.greatest(length - lone, F.lit(0)))
+    return rest.join(shared, ["cluster", "node"]).select("cluster", "node", "mine", "out", n.alias("n"), F.explode(prefix).alias("x")).select("cluster", "node", "mine", "out", "n", "x.t")
+
+
+def links(shared: Shared, docs: DataFrame, nodes: DataFrame, percent: int, k: int, block: int, elements: int) -> DataFrame:
     """Verified links between nodes; their components are those of all links."""
     cluster = shared.keep(components(shared, ties(shared, nodes)))
-    sizes = cluster.groupBy("component").agg(F.count("*").alias("m"))
+    known = cluster.join(nodes.select("node", "n", "keys"), "node")
+    sizes = known.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     # Half blocks of a cluster: one if it fits a job.
-    own = cluster.join(sizes, "component").select("node", F.col("component").alias("cluster"), F.when(F.col("m") <= block, 1).otherwise(F.ceil(F.col("m") * 2 / block)).cast("int").alias("parts"))
+    jobs = F.greatest(F.col("m") / block, F.col("w") / elements)
+    own = known.join(sizes, "component").select("node", "keys", F.col("component").alias("cluster"), F.when(jobs <= 1, 1).otherwise(F.ceil(jobs * 2)).cast("int").alias("parts"))
     own = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +221,7 @@ def links(shared: Shared, docs: DataFrame, nodes: DataFrame, percent: int, k: in
             sets = [shingles(t, k).tobytes() for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "cluster", "parts", "part", "keys")), pa.array(sets, pa.binary())], names=["node", "cluster", "parts", "part", "keys", "set"])
 
-    full = docs.join(own.join(nodes.select("node", "keys"), "node"), F.col("doc_id") == F.col("node")).select("node", "cluster", "parts", "part", "keys", "text")
+    full = docs.join(own, F.col("doc_id") == F.col("node")).select("node", "cluster", "parts", "part", "keys", "text")
     full = shared.keep(full.mapInArrow(run, "node long, cluster long, parts int, part int, keys binary, set binary"))
     job = lambda *c: F.struct(F.col("cluster"), *c)
     # A half block goes to its own job and to the one before, which has both.
@@ -199,19 +231,27 @@ def links(shared: Shared, docs: DataFrame, nodes: DataFrame, percent: int, k: in
     big = full.where("parts > 2")
     if big.isEmpty():
         return found
-    # Nodes outside the largest component of a large cluster, against all of it.
+    # Nodes outside the largest component of a large cluster, against others of it.
     now = shared.keep(components(shared, found))
     placed = big.select("node", "cluster").join(now, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
     largest = placed.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("x"), F.sum("n").alias("m"))
-    largest = largest.select("cluster", (-F.col("x.c")).alias("main"), F.ceil((F.col("m") - F.col("x.n")) * 2 / block).cast("int").alias("apart"))
-    out = placed.join(largest, "cluster").select("node", "apart", (F.col("component") != F.col("main")).alias("out")).where("apart > 0")
-    rest = shared.keep(big.join(out, "node").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("apart")).cast("int")))
-    lone = rest.where("out").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(job("mine", F.col("other").alias("other")).alias("job"), F.lit(1).alias("side"), "node", "set", "keys")
-    every = rest.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("apart") - 1))).select(job("mine", F.col("part").alias("other")).alias("job"), F.lit(2).alias("side"), "node", "set", "keys")
-    return found.union(_jobs(lone.union(every), percent))
-
-
-def near_dedup(docs: DataFrame, *, percent: int = 80, k: int = 5, block: int = BLOCK) -> DataFrame:
+    largest = largest.select("cluster", (-F.col("x.c")).alias("main"), F.col("m"), F.col("x.n").alias("inside"))
+    out = placed.join(largest, "cluster").where("m > inside").select("node", "m", "inside", (F.col("component") != F.col("main")).alias("out"))
+    # Blocks of outside nodes are as large, on average, as the half blocks are.
+    apart = F.ceil((F.col("m") - F.col("inside")) * F.col("parts") / F.col("m")).cast("int")
+    rest = shared.keep(big.join(out, "node").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), apart).cast("int")).drop("m", "inside"))
+    prefixes = shared.keep(_prefixes(rest, percent))
+    asked = prefixes.where("out").select("cluster", "t", F.col("mine").alias("at")).distinct()
+    meets = shared.keep(prefixes.select("cluster", "node", "n", "t").join(asked, ["cluster", "t"]).select("cluster", "node", "n", "at").distinct())
+    # What meets a block of outside nodes is dealt to jobs of half a block, and the block goes to each of these.
+    deal = meets.groupBy("cluster", "at").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / elements) * 2).cast("int").alias("others"))
+    every = rest.join(meets.join(deal, ["cluster", "at"]).drop("n"), ["cluster", "node"]).withColumn("other", F.pmod(F.xxhash64("node", F.lit(2)), F.col("others")).cast("int"))
+    every = every.select(job(F.col("at").alias("mine"), "other").alias("job"), F.lit(2).alias("side"), "node", "set", "keys")
+    lone = rest.where("out").join(deal.withColumnRenamed("at", "mine"), ["cluster", "mine"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    return found.union(_jobs(lone.select(job("mine", "other").alias("job"), F.lit(1).alias("side"), "node", "set", "keys").union(every), percent))
+
+
+def near_dedup(docs: DataFrame, *, percent: int = 80, k: int = 5, block: int = BLOCK, elements: int = ELEMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     Documents are linked if 100 * |A and B| >= percent * |A or B| of their sets of k-word
@@ -225,11 +265,11 @@ def near_dedup(docs: DataFrame, *, percent: int = 80, k: int = 5, block: int = B
     src = columns(docs, "doc_id", "text")
     rows = shared.keep(signatures(src, k))
     named = rows.where("doc_id is not null and n > 0")
-    nodes = shared.keep(named.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "keys")).alias("x"), F.count("*").alias("copies")).select("s1", "s2", F.col("x.doc_id").alias("node"), F.col("x.keys").alias("keys"), "copies"))
+    nodes = shared.keep(named.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "keys", "n")).alias("x"), F.count("*").alias("copies")).select("s1", "s2", F.col("x.doc_id").alias("node"), F.col("x.keys").alias("keys"), F.col("x.n").alias("n"), "copies"))
     # Sets of one doc_id belong together: the id is linked with the node of each.
     several = named.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo <> hi").select("doc_id")
     tied = named.join(several, "doc_id").join(nodes.select("s1", "s2", "node"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = links(shared, src.where("doc_id is not null"), nodes, percent, k, block).union(tied)
+    found = links(shared, src.where("doc_id is not null"), nodes, percent, k, block, elements).union(tied)
     comps = shared.keep(components(shared, found))
     # Only sets with copies or links differ from their own doc_id.
     moved = shared.keep(nodes.select("s1", "s2", "node", "copies").join(comps, "node", "left").where("copies > 1 or component is not null").select("s1", "s2", F.coalesce("component", "node").alias("component")))

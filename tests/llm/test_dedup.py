@@ -68,16 +68,51 @@ def near_rows(seed, n_groups=12, size=8):
     return [*rows, (k, None), (k + 1, " \n "), (k + 2, "one two"), (k + 3, "One\ttwo"), (k + 4, "one two three")]
 
 
-@pytest.mark.parametrize(("percent", "block"), [(85, 1024), (80, 16)])
-def test_components_as_by_brute_force(spark, percent, block):
-    """block 16: clusters are dealt to several jobs."""
-    rows = near_rows(7, 4, 40) if block == 16 else near_rows(5)
+@pytest.mark.parametrize(("percent", "block", "elements"), [(85, 1024, 1 << 23), (80, 16, 1 << 23), (80, 1024, 1000)])
+def test_components_as_by_brute_force(spark, percent, block, elements):
+    """block 16, elements 1000: clusters are dealt to several jobs."""
+    rows = near_rows(5) if percent == 85 else near_rows(7, 4, 40)
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, component_id int, keys int").repartition(3)
-    got = {r["doc_id"]: r for r in near_dedup(df, percent=percent, block=block).collect()}
+    got = {r["doc_id"]: r for r in near_dedup(df, percent=percent, block=block, elements=elements).collect()}
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(rows, percent)
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def loose_rows(n, seed=1):
+    """Texts of one frame, alike enough to share bands and not to be linked, and some copies of them with a word changed."""
+    rng = random.Random(seed)
+    frame = [f"f{i}" for i in range(80)]
+    rows = [(i, " ".join([*frame[: 40], *(f"u{i}x{j}" for j in range(30)), *frame[40:]])) for i in range(n)]
+    for i in range(0, n, 10):
+        w = rows[rng.randrange(n)][1].split()
+        w[rng.randrange(len(w))] = "changed"
+        rows.append((n + i, " ".join(w)))
+    return rows
+
+
+def test_large_loose_clusters_take_near_linear_work(spark, monkeypatch):
+    """Nodes given to the last jobs: some for each copy, not the square of the cluster. And no link is lost."""
+    from archivolt.llm import near_dedup as N
+
+    jobs, work = N._jobs, []
+
+    def counted(rows, percent):
+        work[-1].append(rows.count())
+        return jobs(rows, percent)
+
+    monkeypatch.setattr(N, "_jobs", counted)
+    for n in (600, 1800):
+        work.append([])
+        rows = loose_rows(n)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup(df, block=64).collect()}
+        if n == 600:
+            assert got == {i: c for i, (_, c) in brute_components(rows, 80).items()}
+        assert sum(i != c for i, c in got.items()) == n // 10
+        assert len(work[-1]) == 2 and work[-1][0] >= 2 * n  # one large cluster, all of it outside any component
+    assert work[1][1] < 4 * work[0][1] < 4 * 5 * 600
+
+
 def test_near_dedup_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert near_dedup(spark.createDataFrame([], schema)).collect() == []
