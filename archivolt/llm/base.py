@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import Shared
 from ..sources.tables import table
 
-__all__ = ["Shared", "columns", "slices", "table", "texts"]
+__all__ = ["Shared", "carried", "columns", "slices", "table", "texts"]
 
 #: Text bytes that a worker turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
@@ -28,6 +28,22 @@ def columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(f"`{n}`").cast(kinds[n]).alias(n) if n in kinds else F.col(f"`{n}`") for n in names))
 
 
+def carried(docs: DataFrame, extra: tuple[str, ...]) -> tuple[DataFrame, list[str], str]:
+    """``doc_id`` and ``text`` with the columns to carry along; under which name each comes; their part of a schema.
+
+    Carried columns are x0, x1 and so on in a result; a ``doc_id`` or ``text`` among them
+    that is what the operator reads comes but once.
+    """
+    once = {"doc_id": "bigint", "text": "string"}
+    kinds = [docs.schema[c].dataType.simpleString() for c in extra]
+    names = [c if once.get(c) == kind else f"x{i}" for i, (c, kind) in enumerate(zip(extra, kinds, strict=True))]
+    own = [c for c, n in zip(extra, names, strict=True) if n != c]
+    src = columns(docs, "doc_id", "text").select("doc_id", "text") if not own else docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(extra, names, strict=True) if n != c)
+    )
+    return src, names, "".join(f", x{i} {kind}" for i, kind in enumerate(kinds))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``most`` text bytes; one row at least."""
     for batch in batches:

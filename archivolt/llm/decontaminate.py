@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Shared, columns, slices, texts
+from .base import Shared, carried, slices, texts
 from .mapped import Mapped, deliver, mapped, pack
 
 #: Test windows of a part, about, and parts of a file.
@@ -201,23 +201,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, full: b
     windows = shared.keep(benchmark_windows(tests, n))
     found = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}
     sizes, parts = sorted(found), max(1, -(-sum(found.values()) // part_windows))
-    names = deliver(shared, build_parts(windows, parts), -(-parts // FILE_PARTS))
+    files = deliver(shared, build_parts(windows, parts), -(-parts // FILE_PARTS))
     shared.drop(windows)
-    src = columns(docs, "doc_id", "text", *extra).toDF("doc_id", "text", *(f"x{i}" for i in range(len(extra))))
-    more = "".join(f", x{i} {src.schema[f'x{i}'].dataType.simpleString()}" for i in range(len(extra)))
+    src, names, more = carried(docs, extra)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", items array<long>, clean string" * full + more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Windows(mapped(names), sizes)
+        own = Windows(mapped(files), sizes)
         for batch in slices(batches, most=1 << 20):
             masks, items = own.scan([words(t) for t in texts(batch)])
             hits = [int(m.sum()) for m in masks]
             out = [batch.column("doc_id"), pa.array([len(m) for m in masks], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items], pa.string()), pa.array([h > 0 for h in hits], pa.bool_())]
-            names_ = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+            heads = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
             if full:
                 out += [pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array([without(t, m) for t, m in zip(texts(batch), masks, strict=True)], pa.string())]
-                names_ += ["items", "clean"]
-            carried = [c for c in batch.schema.names if c[0] == "x"]
-            yield pa.RecordBatch.from_arrays(out + [batch.column(c) for c in carried], names=names_ + carried)
+                heads += ["items", "clean"]
+            yield pa.RecordBatch.from_arrays(out + [batch.column(n) for n in names], names=heads + [f"x{i}" for i in range(len(names))])
 
     return src.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Shared, columns, slices, texts
+from .base import Shared, carried, columns, slices, texts
 from .mapped import deliver, mapped, pack
 
 #: Distinct keys that a shard has on average at most, and shards of a file.
@@ -244,13 +244,13 @@ def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, full:
     shared = Shared(docs.sparkSession)
     keys = shared.keep(counted(docs, min_chars))
     n_shards = max(1, -(-keys.count() // shard_keys))
-    names = deliver(shared, build_shards(keys, n_shards, min(2, min_docs)), -(-n_shards // FILE_SHARDS))
+    files = deliver(shared, build_shards(keys, n_shards, min(2, min_docs)), -(-n_shards // FILE_SHARDS))
     shared.drop(keys)
-    src = columns(docs, "doc_id", "text", *extra).toDF("doc_id", "text", *(f"x{i}" for i in range(len(extra))))
-    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * full + "".join(f", x{i} {src.schema[f'x{i}'].dataType.simpleString()}" for i in range(len(extra)))
+    src, names, more = carried(docs, extra)
+    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * full + more
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = index(names, n_shards)
+        shards = index(files, n_shards)
         for batch in slices(batches):
             found = [_lines(t, min_chars) for t in texts(batch)]
             flat = [h for _, own in found for h in own if h is not None]
@@ -264,6 +264,6 @@ def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, full:
                             out.add(i)
                         at += 1
                 gone.append(out)
-            yield _result(batch.column("doc_id"), [x[0] for x in found], gone, full, batch.columns[2:])
+            yield _result(batch.column("doc_id"), [x[0] for x in found], gone, full, [batch.column(n) for n in names])
 
     return src.mapInArrow(clean, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import columns, slices, texts
+from .base import carried, columns, slices, texts
 
 #: Labelled documents that training takes at most.
 SAMPLE = 2000
@@ -382,14 +382,15 @@ def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, sampl
     model = fitted(docs, labels, sample=sample)
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
 
+    src, names, more = carried(docs, extra)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, one = sent.value
         for batch in slices(batches):
             score = np.round(one.score(texts(batch)), 9)
-            rest = [i for i, n in enumerate(batch.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + [pa.array(score, pa.float64())], names=[batch.schema.names[i] for i in rest] + ["score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), *(batch.column(n) for n in names)], names=["doc_id", "held_out", "score", *(f"x{i}" for i in range(len(names)))]
+            )
 
-    src = columns(docs, "doc_id", "text", *extra).toDF("doc_id", "text", *(f"x{i}" for i in range(len(extra)))).withColumn("held_out", held_out("doc_id"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "text") + ", score double"
-    out = src.mapInArrow(run, schema).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
-    return out.select("doc_id", "held_out", "score", "predicted", *(f"x{i}" for i in range(len(extra))))
+    out = src.withColumn("held_out", held_out("doc_id")).mapInArrow(run, "doc_id long, held_out boolean, score double" + more)
+    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).select("doc_id", "held_out", "score", "predicted", *(f"x{i}" for i in range(len(names))))
