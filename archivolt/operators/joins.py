@@ -103,3 +103,15 @@ def shared_counts(rows: DataFrame, owner: str, item: str, of: object) -> DataFra
 def siblings(rows: DataFrame, key: list[str], of: DataFrame) -> DataFrame:
     """Rows of equal key; null in any column matches nothing."""
     return rows.join(of.select(*key).distinct(), key, "left_semi")
+
+
+def same_value(rows: DataFrame, owner: str, value: str, of: object) -> DataFrame:
+    """Every other owner and whether it has the value of one owner; null is like nothing."""
+    own = rows.where(F.col(owner) == of).select(F.col(value).alias("_own")).limit(1)
+    return rows.where(F.col(owner) != of).crossJoin(F.broadcast(own)).select(owner, F.coalesce(F.col(value) == F.col("_own"), F.lit(False)).alias("same"))
+
+
+def cited(rows: DataFrame, citations: list[tuple[int, int]], doc: str, page: str) -> DataFrame:
+    """The rows of a batch of citations (document, page), each once."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (doc, page))
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(sorted(set(citations)), kinds)), [doc, page], "left_semi")

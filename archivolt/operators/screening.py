@@ -30,6 +30,11 @@ PLAIN = (
     "monitoring", "results", "analysis", "analyses", "data", "field", "notes", "note", "transcripts", "transcript", "exhibits", "exhibit",
     "schedule", "schedules", "epa", "dep", "osha", "fema", "niosh", "atsdr", "cdc", "doh", "dob", "oem", "qa", "qc", "plm", "tem",
 )
+ACRONYMS = (
+    "epa", "dep", "osha", "fema", "niosh", "atsdr", "cdc", "doh", "dohmh", "nysdec", "nysdoh", "usace", "ddc", "dcas", "fdny", "nypd",
+    "dob", "oem", "doris", "lmdc", "hpd", "dsny", "wtc", "nyc", "acp", "acp7", "plm", "tem", "qa", "qc", "llc",
+)
+PORTAL = r"(?i)^\s*NYC\s*9[/\s]*1+1?\s*Public\s*Portal\s*Document\s*$"
 PLACEHOLDER = r"(?i)^(?:untitled|document|page|scan(?:ned)?(?: document)?|n/?a|none)\W*\d*$"
 DESCRIBES = r"(?i)\b(?:this (?:document|page|excerpt)|the (?:excerpt|text) (?:shows|contains))\b"
 JUNK = r"[{}<>]|\\n|```"
@@ -108,10 +113,44 @@ def names_a_person(label: Column) -> Column:
     pair = F.regexp_extract_all(t, F.lit(CAPITAL_PAIR), 1)
     word = lambda p, i: F.lower(F.get(F.split(p, r"\s+"), F.lit(i)))
     personal = F.exists(pair, lambda p: ~((word(p, 0).isin(*PLACES) & word(p, 1).isin(*PLACES)) | word(p, 0).isin(*BODIES, "broadway") | word(p, 1).isin(*BODIES, "broadway")))
-    lone = t.rlike(LONE_NAME) & ~F.lower(t).isin(*PLACES, *BODIES, *PLAIN)
+    lone = t.rlike(LONE_NAME) & ~F.lower(t).isin(*PLACES, *BODIES, *PLAIN, *ACRONYMS)
     return (t != "") & (t.rlike(LAST_FIRST) | t.rlike(INITIAL_NAME) | personal | lone)
 
 
+def is_portal_mark(label: Column) -> Column:
+    """The line that the portal puts on every page, which is no title."""
+    return F.coalesce(label.rlike(PORTAL), F.lit(False))
+
+
+def accepted_reading(original: Column, candidates: Column, vocabulary: Column) -> Column:
+    """The text of the best reading of a page that may replace its own; null if none may.
+
+    original: text. candidates: array of (engine, text). A reading has 15 tokens or more,
+    65 of 100 known, 10 different ones, and another engine has 10 of its known words. It
+    has more known words than the page's own text, by 8 and by a fifth at least, or 9 of 10 of
+    them and a share of known ones that is .2 higher. A text that was readable, or that has
+    five decimals, loses no decimal. The best has most known words times their share; of
+    equals the first.
+    """
+    from .windows import multiset_overlap
+
+    known = lambda t: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(t), F.lit(WORD), 1), lambda w: F.array_contains(vocabulary, w)))
+    decimals = lambda t: F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"(\d+\.\d+)"), 1)
+    own, n = lexical_quality(original, vocabulary), F.size(decimals(original))
+    read = F.transform(candidates, lambda c, i: F.struct(i.alias("i"), c["engine"].alias("engine"), c["text"].alias("text"), lexical_quality(c["text"], vocabulary).alias("q"), known(F.coalesce(c["text"], F.lit(""))).alias("w")))
+
+    def may(c: Column) -> Column:
+        q = c["q"]
+        borne_out = F.exists(read, lambda o: (o["i"] != c["i"]) & (F.size(F.array_intersect(o["w"], c["w"])) >= 10))
+        more = (q["good"] >= own["good"] + 8) & (q["good"] >= own["good"] * 1.2)
+        cleaner = (q["good"] >= own["good"] * 0.9) & (q["ratio"] >= own["ratio"] + 0.2)
+        strict = ((own["ratio"] >= 0.65) & (own["good"] >= 15)) | (n >= 5)
+        return (q["tokens"] >= 15) & (q["ratio"] >= 0.65) & (q["unique"] >= 10) & borne_out & (more | cleaner) & (~strict | (multiset_overlap(decimals(original), decimals(c["text"])) >= n))
+
+    best = F.array_max(F.transform(F.filter(read, may), lambda c: F.struct((c["q"]["good"] * c["q"]["ratio"]).alias("score"), (-c["i"]).alias("i"), c["text"].alias("text"))))
+    return best["text"]
+
+
 def excerpt_page(first: Column, second: Column, least: int = 200, most: int = 1500) -> Column:
     """Page 1 if it says enough and is no separator sheet, else page 2, else page 1."""
     one, two = F.coalesce(first, F.lit("")), F.coalesce(second, F.lit(""))

@@ -98,7 +98,12 @@ def blended(views: Column, rank: Column) -> Column:
 
 def shuffled_head(df: DataFrame, key: str, seed: int, most: int) -> DataFrame:
     """A fixed order that looks random, and its head."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(most)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(most)
+
+
+def by_latest(df: DataFrame, dates: str, key: str) -> DataFrame:
+    """Rows by the last of their dates, newest first, rows without one at the end."""
+    return df.orderBy(F.array_max(dates).desc_nulls_last(), key)
 
 
 def middle_of_strata(df: DataFrame, stratum: str, size: str, key: str, each: int = 1) -> DataFrame:

@@ -230,7 +230,59 @@ def test_mentions():
 
 def test_roles():
     got = E.roles("Reviewed by: John Smith, Chief Engineer\nFrom: The City\nTo: Ann Lee\n")
-    assert [(r[2], r[3], r[4], r[5]) for r in got] == [("reviewed", "John Smith", "Chief Engineer", True), ("to", "Ann Lee", None, False)]
+    assert [(r[2], r[3], r[4], r[6]) for r in got] == [("reviewed", "John Smith", "Chief Engineer", True), ("to", "Ann Lee", None, False)]
+
+
+def test_roles_of_letters():
+    """Closings, organisations of an agency or a laboratory, and what is no name."""
+    text = "Very truly yours,\n\n  Jane Q. Doe\nDirector, Acme Testing Labs\n\nApproved by: Max Roe\nEPA Region 2\nRegards\nThe City\nx\nSincerely\nnot a name here\n"
+    got = E.roles(text, agencies=E.mixed(("EPA",), ("health department",)))
+    assert [(text[r[0] : r[1]], *r[2:]) for r in got] == [("Jane Q. Doe", "signed", "Jane Q. Doe", "Director", "DIRECTOR ACME TESTING LABS", True), ("Max Roe", "approved", "Max Roe", None, "EPA", True)]
+
+
+def test_mentions_of_places_and_firms():
+    text = "At 12 Warren Street, near 250 Broadway: BIN #1001234, Block: 38 Lot 17. Big Apple Contracting and Ace Environmental Services; the Health Department, not the epa."
+    got = [(m[2], m[4]) for m in E.mentions(text, agencies=E.mixed(("EPA",), ("health department",)))]
+    assert got == [
+        ("address", "12 WARREN STREET"), ("address", "250 BROADWAY"), ("bin", "1001234"), ("block_lot", "38/17"), ("contractor", "BIG APPLE CONTRACTING"), ("contractor", "ACE ENVIRONMENTAL SERVICES"),
+        ("agency", "HEALTH DEPARTMENT"),
+    ]
+
+
+def test_dates_of_forms_are_none():
+    text = "Q:\\forms\\air 01/05/99\nRev. 02/02/2000\n7\\S 04/26/99 \\a b\\c 10/01/2001 13/40/2000 5/5/2000\nSept. 3 1999 1/1/75"
+    assert [m[4] for m in E.mentions(text) if m[2] == "date"] == ["1999-04-26", "2001-10-01", "1999-09-03"]
+
+
+def test_limits_near_readings(spark):
+    text = "x" * 300 + " Action Level: 0.10 f/cc and lead 0.05 " + "y" * 300 + " PEL < 1,200.5 ppm"
+    df = spark.createDataFrame([(text, p) for p in (330, 0, 551, 552, 700)], "t string, p int")
+    got = [tuple(r[0]) for r in df.select(E.limit_near(F.col("t"), F.col("p"))).collect()]
+    assert got == [(0.1, "Action Level", "f/cc"), (None, None, None), (0.1, "Action Level", "f/cc"), (1200.5, "PEL", "ppm"), (1200.5, "PEL", "ppm")]
+
+
+def test_a_reading_is_accepted(spark):
+    from archivolt.operators import screening as C
+
+    words = [chr(97 + i) * 4 for i in range(24)]
+    good, junk = " ".join(words), " ".join(f"zz{c}z" for c in "abcdefghijklmnopqrst")
+    rows = [
+        ("few words", [("a", good), ("b", good + " 1.5")], good),  # the first of equals
+        ("few words", [("a", good), ("b", junk)], None),  # no other engine bears it out
+        (good, [("a", good), ("b", good)], None),  # says no more
+        (junk + " aaaa", [("a", good), ("b", good)], good),
+        ("1.1 2.2 3.3 4.4 5.5", [("a", good), ("b", good + " 5.5 4.4 3.3 2.2 1.1")], good + " 5.5 4.4 3.3 2.2 1.1"),  # keeps the decimals
+    ]
+    df = spark.createDataFrame([(o, [{"engine": e, "text": t} for e, t in c]) for o, c, _ in rows], "o string, c array<struct<engine:string,text:string>>")
+    vocabulary = F.array(*map(F.lit, words))
+    assert [r[0] for r in df.select(C.accepted_reading(F.col("o"), F.col("c"), vocabulary)).collect()] == [w for _, _, w in rows]
+
+
+def test_acronyms_and_marks_are_no_names(spark):
+    from archivolt.operators import screening as C
+
+    df = spark.createDataFrame([("NYPD",), ("FDNY",), ("DCAS",), ("SMITH",), ("NYC 9/11 Public Portal Document",)], "n string")
+    assert [tuple(r) for r in df.select(C.names_a_person(F.col("n")), C.is_portal_mark(F.col("n"))).collect()] == [(False, False)] * 3 + [(True, False)] + [(True, True)]
 
 
 @pytest.mark.parametrize(("text", "pages", "want"), [
