@@ -145,7 +145,8 @@ def tfidf(df: DataFrame, key: str, text: str, *, most_share: float = 0.5) -> Dat
 
     Terms in fewer than min(3, max(1, n // 50)) rows or in more than ``most_share`` of them go.
     """
-    p = postings(df, key, text)
+    # Written once: document frequencies, weights and lengths all read the postings.
+    p = Shared(df.sparkSession).keep(postings(df, key, text).select("term", key, "tf"))
     n = df.agg(F.count("*").alias("n"))
     dfs = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
     dfs = dfs.where((F.col("df") >= F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("n") / 50)))) & (F.col("df") <= most_share * F.col("n")))

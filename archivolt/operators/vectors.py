@@ -99,6 +99,14 @@ def central(df: DataFrame, by: str, vector: str, key: str, most: int) -> DataFra
     return scored.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def neighbours_of(df: DataFrame, key: str, vector: str, of: list[object], most: int = 20) -> DataFrame:
+    """As ``related``, for some rows alone: their vectors are broadcast, and the table is read once more, whatever their neighbours."""
+    own = df.where(F.col(key).isin(of)).select(F.col(key).alias("_k"), F.col(vector).alias("_v"))
+    scored = df.crossJoin(F.broadcast(own)).where(F.col(key) != F.col("_k")).select(F.col("_k"), F.col(key).alias("other"), F.round(dot(F.col(vector), F.col("_v")), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("score"), "other"))
+    return scored.withColumn("rank", rank - 1).where(F.col("rank") < most).withColumnRenamed("_k", key)
+
+
 def pooled_suggestions(saved: DataFrame, pairs: DataFrame, key: str, most: int = 8) -> DataFrame:
     """V8: neighbours of the saved rows (key, place in order), best score first, the earlier saved one on ties; none that is saved."""
     out = pairs.join(saved, key).select(F.col("other").alias("item"), "score", "place")

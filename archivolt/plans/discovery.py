@@ -139,7 +139,7 @@ def near_dupes_cosine(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 with h as (select sha256(text) h, min(doc_id) as first, count(*) n from documents group by all) select doc_id, first as kept_doc, n::bigint copies from documents join h on h = sha256(text) where n > 1""".replace("min(doc_id) as first", 'min(doc_id) as "first"').replace("first as kept_doc", '"first" as kept_doc'))
 def near_dupes_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Equal content by hash."""
+    """Equal content by hash."""
     x = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     g = x.groupBy("h").agg(F.min("doc_id").alias("kept_doc"), F.count("*").alias("copies")).where("copies > 1")
     return x.join(g, "h").select("doc_id", "kept_doc", "copies")
@@ -152,7 +152,7 @@ s as (select vec_id, e.label, list_dot_product(embedding::double[], u) s from em
 r as (select vec_id, label, s, greatest(0.05, least(1.0, 1 - dd / max(dd) over (partition by label))) p, row_number() over (partition by label order by round(s, 9) desc, vec_id) k from d)
 select vec_id, label, round(s, 6) as score, round(p, 6) as probability, k::int as rank from r""")
 def centroid_membership(spark: SparkSession, d: str) -> DataFrame:
-    """A30, V11, V13."""
+    """A30, V11; the rank of V13 over all rows."""
     e = table(spark, d, "embeddings")
     mean = A.mean_vector(e, ["label"], "embedding").withColumnRenamed("embedding", "u")
     s = e.join(mean, "label").withColumn("s", V.dot(F.col("embedding"), F.col("u")))
@@ -167,7 +167,7 @@ k as (select r.*, row_number() over (partition by place order by score desc, ite
 select g.item, g.score, min(place)::int as place from g join f on f.item = g.item and f.score = g.score group by g.item, g.score order by g.score desc, place, item limit 8""")
 def pooled_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """V8."""
-    pairs = V.related(table(spark, d, "embeddings"), "vec_id", "embedding", block=256)
+    pairs = V.neighbours_of(table(spark, d, "embeddings"), "vec_id", "embedding", [1, 5, 9])
     saved = spark.createDataFrame([(1, 0), (5, 1), (9, 2)], "vec_id long, place int")
     return V.pooled_suggestions(saved, pairs, "vec_id").select("item", "score", "place")
 
@@ -217,7 +217,7 @@ def whole_text_selection(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+'))::int as n_mail, len(regexp_extract_all(text, '[0-9]+\\.[0-9]+'))::int as n_decimal, len(regexp_extract_all(lower(text), '\\b(the|des|und|los)\\b'))::int as n_listed from documents""")
 def pii_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of patterns and of listed words."""
+    """Spans of patterns and of listed words."""
     n = lambda c, p: F.size(F.regexp_extract_all(c, F.lit(p), 1))
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", n(t, "([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)").alias("n_mail"), n(t, r"([0-9]+\.[0-9]+)").alias("n_decimal"), n(F.lower(t), r"(?<![A-Za-z0-9_])(the|des|und|los)(?![A-Za-z0-9_])").alias("n_listed"))

@@ -86,7 +86,7 @@ from orders where o_orderpriority = '1-URGENT' and o_orderdate >= date '1998-01-
  and (o_totalprice > 200000 or exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R'))
 order by day, o_orderkey limit 500""")
 def documents_by_type(spark: SparkSession, d: str) -> DataFrame:
-    """Type and half-open dates, a correlated minimum, a condition or an existing child; one pre-aggregate serves both."""
+    """Q5: type and half-open dates, a correlated minimum, a condition or an existing child; one pre-aggregate serves both."""
     kids = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linenumber").alias("first_page"), F.bool_or(F.col("l_returnflag") == "R").alias("has"))
     x = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderdate >= date '1998-01-01' and o_orderdate < date '1998-04-01'").join(kids, "o_orderkey", "left")
     kept = x.where((F.col("o_totalprice") > 200000) | F.coalesce("has", F.lit(False)))
@@ -183,7 +183,7 @@ p as (select p.event_id, v.event_id as other, abs(v.t - p.t) gap, row_number() o
  from e p join e v on p.user_id = v.user_id and v.event_type = 'view' and abs(v.t - p.t) <= 3600000000 where p.event_type = 'purchase')
 select event_id, other, gap from p where k = 1""")
 def nearest_match(spark: SparkSession, d: str) -> DataFrame:
-    """Each purchase with the user's nearest view within an hour; views meet purchases in hour cells, not all of a user's."""
+    """Each purchase with the user's nearest view within an hour; views meet purchases in hour cells, not all of a user's."""
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     hour = 3_600_000_000
     bought = e.where("event_type = 'purchase'").select("event_id", "user_id", F.col("t").alias("at"), F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.floor(F.col("t") / hour) + i)).alias("cell"))
