@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .base import Shared
 
 LINK = "a long, b long"
+#: Nodes that a task's union-find holds, about.
+ROOM = 1 << 20
 
 
 class Union:
@@ -48,47 +50,59 @@ class Union:
         return True
 
 
-def forest(links: DataFrame) -> DataFrame:
-    """Fewer links with the same components: each task replaces its own by stars."""
+def forest(links: DataFrame, room: int = ROOM) -> DataFrame:
+    """Fewer links with the same components: each task replaces its own by stars, some ``room`` nodes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Union()
         for batch in batches:
             for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 own.link(x, y)
-        nodes = list(own.up)
-        yield pa.RecordBatch.from_arrays([pa.array([own.root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
+            if len(own.up) >= room:
+                yield _stars(own)
+                own = Union()
+        yield _stars(own)
 
     return links.select("a", "b").mapInArrow(run, LINK)
 
 
-def _star(shared: Shared, near: DataFrame, large: bool) -> DataFrame:
-    """near: node u and neighbour v. The new links, smaller node first."""
-    least = shared.keep(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    joined = near.join(least, "u")
-    if large:
-        return joined.where("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    return joined.where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.where("u <> m").select(F.col("m"), F.col("u")))
+def _stars(own: Union) -> pa.RecordBatch:
+    nodes = list(own.up)
+    return pa.RecordBatch.from_arrays([pa.array([own.root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
+
+
+def _least(near: DataFrame) -> DataFrame:
+    """near: node u and neighbour v. Of every u the smallest m of itself and its neighbours; loose, if it is not yet the top of a star or linked to one alone."""
+    less = F.sum((F.col("v") < F.col("u")).cast("long"))
+    loose = (less > 1) | ((less > 0) & (F.max("v") > F.col("u")))
+    return near.groupBy("u").agg(F.min("v").alias("m"), loose.alias("loose")).select("u", F.least("u", "m").alias("m"), "loose")
 
 
 def components(shared: Shared, links: DataFrame) -> DataFrame:
-    """node and component (the smallest node) of every node in links a, b; links to itself count for nothing."""
-    cols = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    now = shared.keep(forest(links.where("a <> b").select(*cols)).distinct())
-    seen = None
+    """node and component (the smallest node) of every node in links a, b; links to itself count for nothing.
+
+    A round is a large star, a small star, and forests of what tasks hold after each: these
+    keep components too and only lower a node's smallest neighbour, so paths whose links
+    meet in a task are contracted at once.
+    """
+    now = shared.keep(forest(links.where("a <> b")).distinct())
     while True:
-        # Settled: a round has changed nothing.
-        sums = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first()
-        if sums == seen or not sums[0]:
+        near = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
+        least = shared.keep(_least(near))
+        if least.where("loose").isEmpty():
             break
-        seen = sums
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
-        big = shared.keep(_star(shared, both, True).distinct())
-        small = shared.keep(_star(shared, big.select(F.col("b").alias("u"), F.col("a").alias("v")), False).distinct())
-        shared.drop(now, big)
-        now = small
-    tops = now.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(tops)
+        big = shared.keep(forest(near.join(least, "u").where("v > u and v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))))
+        shared.drop(now, least)
+        near = big.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        least = shared.keep(near.groupBy("u").agg(F.min("v").alias("m")))
+        small = near.join(least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m"), F.col("u")))
+        small = shared.keep(forest(small))
+        now = shared.keep(forest(small).distinct())
+        shared.drop(big, least, small)
+    # Settled: the smallest of a component is the only neighbour of all its others.
+    out = least.select(F.col("u").alias("node"), F.col("m").alias("component"))
+    shared.drop(now)
+    return out
 
 
 def as_links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:

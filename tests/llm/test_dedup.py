@@ -12,7 +12,7 @@ import pytest
 from archivolt.llm import line_dedup as L
 from archivolt.llm import mapped as M
 from archivolt.llm.base import Shared
-from archivolt.llm.components import components
+from archivolt.llm.components import Union, components, forest
 from archivolt.llm.decontaminate import decontaminate, without, words
 from archivolt.llm.line_dedup import key_hash, line_dedup, line_key
 from archivolt.llm.near_dedup import near_dedup
@@ -145,6 +145,20 @@ def test_components_of_long_paths(spark):
     assert components(Shared(spark), df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("room", [2, 1 << 20])
+def test_components_of_random_links(spark, monkeypatch, room):
+    """Also where a task forgets its union-find again and again, with a hot node and repeated links."""
+    rng = random.Random(room)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(7, x) for x in range(2000, 2100)] * 2
+    monkeypatch.setattr(forest, "__defaults__", (room,))
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    own = Union()
+    for x, y in links:
+        own.link(x, y)
+    got = [(r["node"], r["component"]) for r in components(Shared(spark), df).collect()]
+    assert sorted(got) == sorted((x, own.root(x)) for x in {x for x, y in links if x != y} | {y for x, y in links if x != y})
+
+
 # -- line dedup -------------------------------------------------------------------
 
 
