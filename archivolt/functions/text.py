@@ -157,13 +157,16 @@ def text_slice(c: Column, offset: int, most: int) -> tuple[Column, Column]:
 
 
 def short_code(number: Column, page: Column) -> Column:
-    """A number and a page in base 36, parted by a hyphen."""
-    return F.lower(F.concat_ws("-", F.conv(number.cast("string"), 10, 36), F.conv(page.cast("string"), 10, 36)))
+    """A number and a page in base 36, parted by a hyphen; no number, no code."""
+    return F.when(number.isNotNull(), F.lower(F.concat_ws("-", F.conv(number.cast("string"), 10, 36), F.conv(page.cast("string"), 10, 36))))
 
 
 def from_short_code(code: Column, width: int = 9) -> tuple[Column, Column]:
+    """The digits of the number, ``width`` at least, and the page."""
     parts = F.split(F.upper(code), "-")
-    return F.lpad(F.conv(F.get(parts, F.lit(0)), 36, 10), F.lit(width), F.lit("0")), F.conv(F.get(parts, F.lit(1)), 36, 10).cast("int")
+    digits = F.conv(F.get(parts, F.lit(0)), 36, 10)
+    # lpad cuts what is longer.
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")), F.conv(F.get(parts, F.lit(1)), 36, 10).cast("int")
 
 
 def redacted_names(c: Column, allowed: tuple[str, ...]) -> Column:

@@ -346,7 +346,7 @@ def short_codes(spark: SparkSession, d: str) -> DataFrame:
     """There and back."""
     p = table(spark, d, "part").select("p_partkey", T.short_code(F.col("p_partkey") * 7919, F.col("p_size")).alias("code"), "p_size")
     number, page = T.from_short_code(F.col("code"))
-    return p.where(page == F.col("p_size")).select("p_partkey", (number.cast("long") / 7919).cast("long").alias("back"))
+    return p.where(F.col("code").isNull() | page.eqNullSafe(F.col("p_size"))).select("p_partkey", number.cast("long").alias("n")).selectExpr("p_partkey", "n div 7919 as back")
 
 
 @query("""

@@ -81,6 +81,21 @@ def test_codes(spark):
     assert [tuple(r) for r in df.select(key, page).collect()] == [("000058159", 12), ("000000000", 1)]
 
 
+def test_codes_of_numbers_beyond_nine_digits(spark):
+    df = spark.createDataFrame([(9502792081, 12), (7919, None), (None, 3)], "n long, p int").withColumn("code", T.short_code(F.col("n"), F.col("p")))
+    key, page = T.from_short_code(F.col("code"))
+    assert [tuple(r) for r in df.select(key, page).collect()] == [("9502792081", 12), ("000007919", None), (None, None)]
+
+
+def test_short_codes_of_large_keys(spark, tmp_path):
+    from archivolt.plans import QUERIES
+
+    keys = [0, 126278, 126279, 1199999, 2_000_000_000_001, None]
+    spark.createDataFrame([(k, i if i else None) for i, k in enumerate(keys)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["short_codes"](spark, str(tmp_path)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(((k, k) for k in keys), key=str)
+
+
 def test_pages_and_columns(spark):
     assert one(spark, "a\fb\f \n", T.pages_of) == ["a", "b"]
     assert one(spark, " a b   c  d ", T.columns_of) == ["a b", "c", "d"]
