@@ -71,21 +71,34 @@ def _stars(own: Union) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([own.root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
 
 
+def contracted(shared: Shared, links: DataFrame, room: int = ROOM) -> DataFrame:
+    """The forests of the tasks, and forests of these, some ``room`` links to a task: what fits into one is settled.
+
+    So the number of tasks follows the links that are left and not the partitions before, and few links need no rounds.
+    """
+    own = shared.keep(forest(links))
+    tasks = max(1, -(-own.count() // room))
+    out = forest(own.coalesce(tasks))
+    out = shared.keep(out.distinct() if tasks > 1 else out)
+    shared.drop(own)
+    return out
+
+
 def _least(near: DataFrame) -> DataFrame:
-    """near: node u and neighbour v. Of every u the smallest m of itself and its neighbours; loose, if it is not yet the top of a star or linked to one alone."""
-    less = F.sum((F.col("v") < F.col("u")).cast("long"))
-    loose = (less > 1) | ((less > 0) & (F.max("v") > F.col("u")))
+    """near: node u and neighbour v, the same ones any number of times. Of every u the smallest m of itself and its neighbours; loose, if it is not yet the top of a star or linked to one alone."""
+    less = F.when(F.col("v") < F.col("u"), F.col("v"))
+    loose = (F.min(less) < F.max(less)) | (F.min(less).isNotNull() & (F.max("v") > F.col("u")))
     return near.groupBy("u").agg(F.min("v").alias("m"), loose.alias("loose")).select("u", F.least("u", "m").alias("m"), "loose")
 
 
-def components(shared: Shared, links: DataFrame) -> DataFrame:
+def components(shared: Shared, links: DataFrame, room: int = ROOM) -> DataFrame:
     """node and component (the smallest node) of every node in links a, b; links to itself count for nothing.
 
     A round is a large star, a small star, and forests of what tasks hold after each: these
     keep components too and only lower a node's smallest neighbour, so paths whose links
     meet in a task are contracted at once.
     """
-    now = shared.keep(forest(links.where("a <> b")).distinct())
+    now = contracted(shared, links.where("a <> b"), room)
     while True:
         near = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
         least = shared.keep(_least(near))
@@ -96,9 +109,8 @@ def components(shared: Shared, links: DataFrame) -> DataFrame:
         near = big.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = shared.keep(near.groupBy("u").agg(F.min("v").alias("m")))
         small = near.join(least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m"), F.col("u")))
-        small = shared.keep(forest(small))
-        now = shared.keep(forest(small).distinct())
-        shared.drop(big, least, small)
+        now = contracted(shared, small, room)
+        shared.drop(big, least)
     # Settled: the smallest of a component is the only neighbour of all its others.
     out = least.select(F.col("u").alias("node"), F.col("m").alias("component"))
     shared.drop(now)

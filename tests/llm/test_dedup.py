@@ -145,6 +145,25 @@ def test_components_of_long_paths(spark):
     assert components(Shared(spark), df.limit(0)).collect() == []
 
 
+def test_few_links_need_no_rounds_whatever_the_partitions(spark):
+    shared = Shared(spark)
+    df = spark.createDataFrame([(i, i + 1) for i in range(2000)], "a long, b long").repartition(16)
+    got = components(shared, df)
+    assert shared.n == 3  # the tasks' forests, the forest of these, and the smallest neighbours that settle it
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(2001)}
+
+
+@pytest.mark.parametrize("room", [20, 300])
+def test_components_of_links_beyond_a_task(spark, room):
+    shared = Shared(spark)
+    df = spark.createDataFrame([(i, i + 1) for i in range(700) if i % 70] + [(i, i - 7) for i in range(1000, 1200)], "a long, b long").repartition(16)
+    want = Union()
+    for r in df.collect():
+        want.link(r["a"], r["b"])
+    assert {tuple(r) for r in components(shared, df, room).collect()} == {(x, want.root(x)) for r in df.collect() for x in r}
+    assert shared.n > 3
+
+
 @pytest.mark.parametrize("room", [2, 1 << 20])
 def test_components_of_random_links(spark, monkeypatch, room):
     """Also where a task forgets its union-find again and again, with a hot node and repeated links."""
