@@ -198,6 +198,37 @@ def test_related_in_blocks(spark):
     assert got == {(i, r): int(j) for i in range(60) for r, j in enumerate(np.lexsort((np.arange(60), -s[i]))[:3])}
 
 
+def test_related_with_copies_ties_and_keys_of_any_kind(spark, monkeypatch):
+    """Halves, many equal vectors, repeated and absent keys; runs and blocks smaller than the table."""
+    import numpy as np
+
+    monkeypatch.setattr(V, "RUN", 16)
+    rng = np.random.default_rng(2)
+    some = np.concatenate([rng.integers(-32, 32, (60, 3)) / 32, np.tile([[0.5, 0.25, -0.5]], (50, 1)), np.eye(3)[rng.integers(0, 3, 20)]])
+    keys = [int(x) for x in rng.permutation(130)] + [7, 7, 8]
+    x = np.concatenate([some, rng.integers(-32, 32, (3, 3)) / 32])
+    for name in (lambda k: k, lambda k: f"k{k}é"):
+        df = spark.createDataFrame([(name(k), v.tolist()) for k, v in zip(keys, x, strict=True)] + [(None, [1.0, 0.0, 0.0])], f"k {'long' if name(1) == 1 else 'string'}, v array<float>").repartition(5)
+        want = {}
+        for a, v in zip(keys, x, strict=True):
+            want.setdefault(name(a), []).extend((-float(np.sign(s) * np.floor(abs(s) * 1e9 + 0.5) / 1e9), name(b)) for b, s in zip(keys, x @ v, strict=True) if b != a)
+        want = sorted((k, o, -s, r) for k, found in want.items() for r, (s, o) in enumerate(sorted(found)[:4]))
+        assert sorted(tuple(r) for r in V.related(df, "k", "v", most=4, block=9).collect()) == want
+
+
+def test_related_deals_each_row_once(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "k long, v array<float>")
+    plan = V.related(df, "k", "v", most=3, block=7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Generate" not in plan
+
+
+def test_related_refuses_what_is_no_vector(spark):
+    for bad in (None, [1.0], [1.0, None], [1.0, float("nan")]):
+        with pytest.raises(Exception, match="finite numbers and one dimension"):
+            V.related(spark.createDataFrame([(1, [1.0, 0.0]), (2, bad)], "k long, v array<float>").coalesce(1), "k", "v").collect()
+    assert V.related(spark.createDataFrame([], "k long, v array<float>"), "k", "v").collect() == []
+
+
 def test_clusters(spark):
     df = spark.createDataFrame([(i, [float(i % 3 * 10), float(i % 2) / 9]) for i in range(30)], "k long, v array<float>")
     made, centres = V.clusters(df, "v", "k", k=3)
