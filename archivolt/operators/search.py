@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,17 +129,26 @@ def excerpt(text: Column, terms: list[str], size: int = 900, hits: int = 200) ->
     clean = [t.strip().lower() for t in terms if t.strip()]
     if not clean:
         return F.substring(text, 1, size)
-    low = F.lower(text)
 
-    def places(t: str) -> Column:
-        # Starts of a term, overlapping ones too.
-        return F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - len(t) + 1)), lambda i: F.substring(low, i, F.lit(len(t))) == t)
+    def places(low: Column, t: str) -> Column:
+        # Starts of a term, overlapping ones too: the text parted before each; no part begins at the first character but the first.
+        first = F.when(F.startswith(low, F.lit(t)), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+        step = lambda x, p: F.struct((x["at"] + F.length(p)).alias("at"), F.when(x["at"] > 1, F.concat(x["found"], F.array(x["at"]))).otherwise(x["found"]).alias("found"))
+        return F.aggregate(F.split(low, f"(?={re.escape(t)})", hits + 1), F.struct(F.lit(1).alias("at"), first.alias("found")), step)["found"]
+
+    def best(x: Column) -> Column:
+        def window(s: Column) -> Column:
+            b = F.floor((s - 1) / F.lit(size)).cast("int")
+            return F.substring(F.concat(F.get(x["blocks"], b), F.coalesce(F.get(x["blocks"], b + 1), F.lit(""))), s - b * size, F.lit(size))
 
-    found = F.slice(F.flatten(F.array(*map(places, clean))), 1, hits)
-    starts = F.transform(F.array_sort(F.array_distinct(found)), lambda s: F.greatest(F.lit(1), s - size // 2))
-    scored = F.transform(starts, lambda s: F.struct((-sum((F.contains(F.substring(low, s, F.lit(size)), F.lit(t)).cast("int") for t in clean), F.lit(0))).alias("n"), s.alias("s")))
-    best = F.array_min(scored)["s"]
-    return F.when(F.size(found) == 0, F.substring(text, 1, size)).otherwise(F.substring(text, best, F.lit(size)))
+        starts = F.transform(F.array_distinct(x["found"]), lambda s: F.greatest(F.lit(1), s - size // 2))
+        scored = F.transform(starts, lambda s: F.struct((-sum((F.contains(window(s), F.lit(t)).cast("int") for t in clean), F.lit(0))).alias("n"), s.alias("s")))
+        return F.array_min(scored)["s"]
+
+    # Values that lambdas read are bound as variables, else each call makes them anew; blocks of the window's size are cut once, so a window costs its own length.
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    parts = lambda low: F.struct(F.slice(F.flatten(F.array(*(places(low, t) for t in clean))), 1, hits).alias("found"), F.regexp_extract_all(low, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("blocks"))
+    return F.substring(text, F.coalesce(bound(bound(F.lower(text), parts), best), F.lit(1)), F.lit(size))
 
 
 def tfidf(df: DataFrame, key: str, text: str, *, most_share: float = 0.5) -> DataFrame:
@@ -218,8 +229,6 @@ def more_like(weights: DataFrame, key: str, of: object, most_terms: int = 25, mo
 
 def highlighted(text: Column, terms: list[str], size: int = 220, before: str = "<mark>", after: str = "</mark>") -> Column:
     """One excerpt with the terms marked; everything else is HTML-escaped."""
-    import re
-
     from ..functions.text import html_escaped
 
     clean = sorted({t.strip() for t in terms if t.strip()}, key=lambda t: (-len(t), t))

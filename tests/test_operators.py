@@ -157,6 +157,42 @@ def test_excerpt(spark):
     assert got[1:] == ["none here", ""]
 
 
+def brute_excerpt(text, terms, size, hits):
+    low, starts = text.lower(), []
+    clean = [t.strip().lower() for t in terms if t.strip()]
+    for t in clean:
+        at = low.find(t)
+        while at >= 0 and len(starts) < hits:
+            starts.append(at)
+            at = low.find(t, at + 1)
+    best, most = 0, -1
+    for s in sorted(set(starts)):
+        start = max(0, s - size // 2)
+        n = sum(t in low[start : start + size] for t in clean)
+        if n > most:
+            best, most = start, n
+    return text[best : best + size]
+
+
+@given(st.lists(st.text("abAê.\n😀", max_size=60), min_size=1, max_size=8), st.sampled_from([["a"], ["aba", "b"], ["bb", "ê😀", "a.", "a."], ["\\E", " "]]), st.integers(1, 12), st.integers(1, 5))
+@settings(max_examples=25, deadline=None)
+def test_excerpt_as_by_brute_force(spark, texts, terms, size, hits):
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").coalesce(1)
+    got = [r[0] for r in df.select(X.excerpt(F.col("t"), terms, size, hits)).collect()]
+    assert got == [*(brute_excerpt(t, terms, size, hits) for t in texts), None]
+
+
+def test_excerpt_of_long_texts_takes_time_in_proportion(spark):
+    import time
+
+    text = "lorem ipsum dolor sit amet é " * 12_000 + "alpha " + "x" * 100 + " beta alpha " + "y" * 200_000
+    df = spark.createDataFrame([(text,), ("ab" * 200_000,)], "t string")
+    began = time.time()
+    got = [r[0] for r in df.select(X.excerpt(F.col("t"), ["alpha", "beta", "aba"], 300)).collect()]
+    assert time.time() - began < 30
+    assert got == [brute_excerpt(text, ["alpha", "beta", "aba"], 300, 200), ("ab" * 200_000)[:300]]
+
+
 @pytest.mark.parametrize(("query", "want"), [
     ("", "keyword"), ("123456", "id"), ("asbestos", "keyword"), ("fulton street air", "keyword"), ("what was found", "model"), ("wat caused it", "model"),
     ("wher testing", "model"), ("dust?", "model"), ("one two three four five", "model"), ("hwo knew", "model"), ("!!!", "model"),
