@@ -258,6 +258,29 @@ def test_related_deals_each_row_once(spark):
     assert plan.count("Exchange ") == 1 and "Generate" not in plan
 
 
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e18])
+def test_related_of_nearly_equal_vectors(spark, scale):
+    """Scores that single precision cannot tell apart, and numbers whose products are beyond it."""
+    import numpy as np
+
+    x = (scale * (1 + np.random.default_rng(4).normal(size=(90, 6)) * 1e-6)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<float>")
+    s = np.array([[sum(float(a) * float(b) for a, b in zip(u, v, strict=True)) for v in x] for u in x])
+    s = np.round(s, 9) if scale <= 1 else s
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, r): int(j) for i in range(90) for r, j in enumerate(np.lexsort((np.arange(90), -s[i]))[:5])}
+    assert {(r["k"], r["rank"]): r["other"] for r in V.related(df, "k", "v", most=5, block=30).collect()} == want
+
+
+def test_near_pairs_within_the_best_shuffle_each_row_once(spark):
+    from conftest import SMALL
+
+    from archivolt.plans import QUERIES
+
+    plan = QUERIES["near_dupes_cosine"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Generate" not in plan
+
+
 def test_related_refuses_what_is_no_vector(spark):
     for bad in (None, [1.0], [1.0, None], [1.0, float("nan")]):
         with pytest.raises(Exception, match="finite numbers and one dimension"):
