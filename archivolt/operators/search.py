@@ -121,33 +121,40 @@ def facets(df: DataFrame, fields: list[str], most: int = 15) -> DataFrame:
     return long.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def excerpt(text: Column, terms: list[str], size: int = 900, hits: int = 200) -> Column:
+def excerpt(text: Column, terms: list[str], size: int = 900, hits: int | None = None) -> Column:
     """X11: the window around a hit that has the most distinct terms, the earliest of equals; no hit: the start.
 
-    At most ``hits`` hits are looked at, in order of the terms.
+    All hits are looked at; ``hits`` gives the source's limit of so many, in order of the terms.
     """
     clean = [t.strip().lower() for t in terms if t.strip()]
     if not clean:
         return F.substring(text, 1, size)
-
-    def places(low: Column, t: str) -> Column:
-        # Starts of a term, overlapping ones too: the text parted before each; no part begins at the first character but the first.
-        first = F.when(F.startswith(low, F.lit(t)), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-        step = lambda x, p: F.struct((x["at"] + F.length(p)).alias("at"), F.when(x["at"] > 1, F.concat(x["found"], F.array(x["at"]))).otherwise(x["found"]).alias("found"))
-        return F.aggregate(F.split(low, f"(?={re.escape(t)})", hits + 1), F.struct(F.lit(1).alias("at"), first.alias("found")), step)["found"]
+    # Values that lambdas read are bound as variables, else each call makes them anew.
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
 
     def best(x: Column) -> Column:
-        def window(s: Column) -> Column:
+        def scored(s: Column) -> Column:
             b = F.floor((s - 1) / F.lit(size)).cast("int")
-            return F.substring(F.concat(F.get(x["blocks"], b), F.coalesce(F.get(x["blocks"], b + 1), F.lit(""))), s - b * size, F.lit(size))
-
-        starts = F.transform(F.array_distinct(x["found"]), lambda s: F.greatest(F.lit(1), s - size // 2))
-        scored = F.transform(starts, lambda s: F.struct((-sum((F.contains(window(s), F.lit(t)).cast("int") for t in clean), F.lit(0))).alias("n"), s.alias("s")))
-        return F.array_min(scored)["s"]
-
-    # Values that lambdas read are bound as variables, else each call makes them anew; blocks of the window's size are cut once, so a window costs its own length.
-    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
-    parts = lambda low: F.struct(F.slice(F.flatten(F.array(*(places(low, t) for t in clean))), 1, hits).alias("found"), F.regexp_extract_all(low, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("blocks"))
+            window = F.substring(F.concat(F.get(x["blocks"], b), F.coalesce(F.get(x["blocks"], b + 1), F.lit(""))), s - b * size, F.lit(size))
+            return bound(window, lambda w: F.struct((-sum((F.contains(w, F.lit(t)).cast("int") for t in clean), F.lit(0))).alias("n"), s.alias("s")))
+
+        def over(t: str, before: Column) -> Column:
+            # The text parted before each hit, overlapping ones too; no part begins at the first character but the first. Only the best window so far is kept.
+            def step(a: Column, p: Column) -> Column:
+                hit = (a["at"] > 1) | F.startswith(x["low"], F.lit(t))
+                looked = hit if hits is None else hit & (a["seen"] < hits)
+                top = F.when(looked, F.least(a["top"], bound(F.greatest(F.lit(1), a["at"] - size // 2), scored))).otherwise(a["top"])
+                return F.struct((a["at"] + F.length(p)).alias("at"), (a["seen"] + hit.cast("int")).alias("seen"), top.alias("top"))
+            # Starts anew at the text's first character, with what the terms before have left.
+            return F.aggregate(F.split(x["low"], f"(?={re.escape(t)})", -1 if hits is None else hits + 1), before, step, lambda a: F.struct(F.lit(1).alias("at"), a["seen"].alias("seen"), a["top"].alias("top")))
+
+        out = F.struct(F.lit(1).alias("at"), F.lit(0).alias("seen"), F.lit(None).cast("struct<n:int,s:int>").alias("top"))
+        for t in clean:
+            out = over(t, out)
+        return out["top"]["s"]
+
+    # Blocks of the window's size are cut once, so a window costs its own length.
+    parts = lambda low: F.struct(low.alias("low"), F.regexp_extract_all(low, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("blocks"))
     return F.substring(text, F.coalesce(bound(bound(F.lower(text), parts), best), F.lit(1)), F.lit(size))
 
 

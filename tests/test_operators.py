@@ -193,6 +193,30 @@ def test_excerpt_of_long_texts_takes_time_in_proportion(spark):
     assert got == [brute_excerpt(text, ["alpha", "beta", "aba"], 300, 200), ("ab" * 200_000)[:300]]
 
 
+def test_excerpt_looks_at_all_hits(spark):
+    import time
+
+    # The best window lies behind 200 hits of the first term, the last term has only a hit behind 300 of the others, and hits by the hundred thousand.
+    texts = ["alpha " * 300 + "- " * 50 + "alpha beta gamma end", "alpha " * 300 + "." * 90 + "gamma" + "." * 90 + "beta gamma end", "ab" * 200_000 + "alpha gamma"]
+    terms = ["alpha", "aba", "beta", "gamma"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    began = time.time()
+    got = [r[0] for r in df.select(X.excerpt(F.col("t"), terms, 40)).collect()]
+    assert time.time() - began < 30
+    assert got == [brute_excerpt(t, terms, 40, float("inf")) for t in texts]
+    assert all(len({w for w in terms if w in g}) >= 2 for g in got)
+    assert got[0].endswith("gamma end")
+
+
+@given(st.lists(st.text("abAê.\n😀", max_size=60), min_size=1, max_size=8), st.sampled_from([["a"], ["aba", "b"], ["bb", "ê😀", "a.", "a."], ["a" * 9, "ab"]]), st.integers(1, 12))
+@settings(max_examples=25, deadline=None)
+def test_excerpt_of_all_hits_as_by_brute_force(spark, texts, terms, size):
+    texts = [*texts, terms[0] * 201 + "." * size + "".join(texts)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = [r[0] for r in df.select(X.excerpt(F.col("t"), terms, size)).collect()]
+    assert got == [brute_excerpt(t, terms, size, float("inf")) for t in texts]
+
+
 @pytest.mark.parametrize(("query", "want"), [
     ("", "keyword"), ("123456", "id"), ("asbestos", "keyword"), ("fulton street air", "keyword"), ("what was found", "model"), ("wat caused it", "model"),
     ("wher testing", "model"), ("dust?", "model"), ("one two three four five", "model"), ("hwo knew", "model"), ("!!!", "model"),
